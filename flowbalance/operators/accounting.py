@@ -69,23 +69,19 @@ def domain_check(
 ) -> DataFrame:
     """One row per violated rule, with the columns of the input row kept.
 
-    The checks of a row form one array of which only the violations are fanned out, so a clean
-    table produces no rows and nothing is shuffled. NaN is greater than any bound, so it is found.
+    Clean rows are filtered before anything is fanned out, and nothing is shuffled. NaN is greater
+    than any bound, so it is found.
     """
-    def check(column: str, rule: str, broken: str) -> str:
-        def found(what: str) -> str:
-            return (f"STRUCT('{column}' AS parameter, '{what}' AS rule, "
-                    f"CAST({column} AS STRING) AS found)")
-
-        return (f"CASE WHEN {column} IS NULL THEN {found('missing')} "
-                f"WHEN {broken} THEN {found(rule)} END")
-
-    checks = [check(c, "range", f"NOT ({c} BETWEEN {number(low)} AND {number(high)})")
-              for c, (low, high) in ranges.items()]
-    checks += [check(c, "member", f"{c} NOT IN ({', '.join(repr(m) for m in allowed)})")
-               for c, allowed in members.items()]
-    return rows.selectExpr(
-        "*", f"INLINE(FILTER(ARRAY({', '.join(checks)}), v -> v IS NOT NULL))")
+    broken = {c: ("range", f"NOT ({c} BETWEEN {number(low)} AND {number(high)})")
+              for c, (low, high) in ranges.items()}
+    broken |= {c: ("member", f"{c} NOT IN ({', '.join(repr(m) for m in allowed)})")
+               for c, allowed in members.items()}
+    any_broken = " OR ".join(f"{c} IS NULL OR {condition}" for c, (_, condition) in broken.items())
+    checks = fan([
+        f"STRUCT('{c}' AS parameter, CASE WHEN {c} IS NULL THEN 'missing' "
+        f"WHEN {condition} THEN '{rule}' END AS rule, CAST({c} AS STRING) AS found)"
+        for c, (rule, condition) in broken.items()])
+    return rows.where(any_broken).selectExpr("*", checks).where("rule IS NOT NULL")
 
 
 def domain_summary(violations: DataFrame, keys: Sequence[str]) -> DataFrame:

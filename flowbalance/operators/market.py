@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..constants import PRODUCTS
@@ -85,42 +85,66 @@ def bar_ratio(supply: DataFrame, keys: Sequence[str]) -> DataFrame:
             .drop("_largest"))
 
 
-def price_direction(
-    quotes: DataFrame, keys: Sequence[str], order: str = "tick", segment: Column | None = None
+def _with_history(
+    quotes: DataFrame, keys: Sequence[str], order: str, segment: Column, depth: int
+) -> DataFrame:
+    """Rows cut into ``_segment``, each opened by the ``depth`` quotes before it (``_carried``).
+
+    The last quotes before a segment are among the last quotes of the segments before it, so they
+    follow from a thin table of segment tails.
+    """
+    cut = quotes.withColumn("_segment", segment)
+    backwards = Window.partitionBy(*keys, "_segment").orderBy(F.desc(order))
+    tails = (cut.select(*keys, "_segment", order, "price")
+             .withColumn("_back", F.row_number().over(backwards)).filter(F.col("_back") <= depth))
+    so_far = Window.partitionBy(*keys).orderBy(order).rowsBetween(1 - depth, Window.currentRow)
+    closing = tails.withColumn(
+        "_past", F.collect_list(F.struct(order, "price")).over(so_far)).filter("_back = 1")
+    following = F.lead("_segment").over(Window.partitionBy(*keys).orderBy("_segment"))
+    opening = (closing.withColumn("_segment", following).filter("_segment IS NOT NULL")
+               .select(*keys, "_segment", F.inline("_past"), F.lit(True).alias("_carried")))
+    return cut.withColumn("_carried", F.lit(False)).unionByName(opening, allowMissingColumns=True)
+
+
+def _over_history(
+    quotes: DataFrame, keys: Sequence[str], order: str, segment: Column | None, depth: int,
+    added: Callable[[WindowSpec], dict[str, Column]],
 ) -> DataFrame:
-    """Change against the previous quote of the key and its direction outside the dead band.
+    """Add window columns that look back over at most ``depth`` quotes of a key.
 
     A key has one quote per tick, so its window grows with the time covered and not with the
-    events. ``segment``, a coarse bucket of ``order``, cuts that window too: each segment starts
-    with the closing price of the last one before it, carried in as one extra row.
+    events. ``segment``, a coarse bucket of ``order``, cuts that window too.
     """
     if segment is None:
-        window = Window.partitionBy(*keys).orderBy(order)
-        previous = F.lag("price").over(window)
-        rows = quotes.withColumn("prev_price", F.coalesce(previous, F.col("price")))
-    else:
-        cut = quotes.withColumn("_segment", segment)
-        closing = cut.groupBy(*keys, "_segment").agg(F.max_by("price", order).alias("_close"))
-        by_segment = Window.partitionBy(*keys).orderBy("_segment")
-        opening = closing.select(
-            *keys, "_segment", F.lag("_close").over(by_segment).alias("price"),
-            F.lit(True).alias("_carried")).filter(F.col("price").isNotNull())
-        rows = cut.withColumn("_carried", F.lit(False)).unionByName(
-            opening, allowMissingColumns=True)
-        window = Window.partitionBy(*keys, "_segment").orderBy(F.asc_nulls_first(order))
-        previous = F.lag("price").over(window)
-        rows = (rows.withColumn("prev_price", F.coalesce(previous, F.col("price")))
-                .filter(~F.col("_carried")).drop("_segment", "_carried"))
+        return quotes.withColumns(added(Window.partitionBy(*keys).orderBy(order)))
+    rows = _with_history(quotes, keys, order, segment, depth)
+    window = Window.partitionBy(*keys, "_segment").orderBy(order)
+    return rows.withColumns(added(window)).filter("NOT _carried").select(
+        *quotes.columns, *added(window))
+
+
+def price_direction(
+    quotes: DataFrame, keys: Sequence[str], order: str = "tick", segment: Column | None = None
+) -> DataFrame:
+    """Change against the previous quote of the key and its direction outside the dead band."""
+    def previous(window: WindowSpec) -> dict[str, Column]:
+        return {"prev_price": F.coalesce(F.lag("price").over(window), F.col("price"))}
+
+    rows = _over_history(quotes, keys, order, segment, 1, previous)
     return rows.selectExpr("*", "price - prev_price AS delta", f"{direction()} AS direction")
 
 
 def price_trend(
-    quotes: DataFrame, keys: Sequence[str], n: int, order: str = "tick"
+    quotes: DataFrame, keys: Sequence[str], n: int, order: str = "tick",
+    segment: Column | None = None,
 ) -> DataFrame:
     """Mean, least and greatest price of the last ``n`` quotes of a key."""
-    recent = Window.partitionBy(*keys).orderBy(order).rowsBetween(-(n - 1), Window.currentRow)
-    return quotes.withColumns({
-        "mean_price": exact_sum("price", over=recent) / F.count("price").over(recent),
-        "min_price": F.min("price").over(recent),
-        "max_price": F.max("price").over(recent),
-    })
+    def recent(window: WindowSpec) -> dict[str, Column]:
+        last_n = window.rowsBetween(1 - n, Window.currentRow)
+        return {
+            "mean_price": exact_sum("price", over=last_n) / F.count("price").over(last_n),
+            "min_price": F.min("price").over(last_n),
+            "max_price": F.max("price").over(last_n),
+        }
+
+    return _over_history(quotes, keys, order, segment, max(n - 1, 1), recent)

@@ -42,7 +42,7 @@ from ..operators.market import (
     with_market,
 )
 from ..operators.params import asof_params, override_market
-from ..operators.reconcile import node_balance, reconcile
+from ..operators.reconcile import OUTFLOW_KINDS, node_balance, reconcile
 from ..operators.scenarios import (
     best_scenario,
     compare_scenarios,
@@ -54,13 +54,14 @@ from ..operators.scenarios import (
 from ..sources.dims import allocations, market_params, recipes
 from ..sources.sinks import shared_folder, write_quotes
 from ..sources.tables import (
-    EVENT_SCHEMA,
+    read_fact_stream,
     read_facts,
     read_lots,
     read_orders,
     read_param_changes,
     read_supply_events,
     read_supply_stream,
+    spread,
 )
 from ..streaming.feed import (
     DIRECTION_SCHEMA,
@@ -164,11 +165,13 @@ def masses_by_region(spark: SparkSession, path: str) -> DataFrame:
 # ---- ledger and reconciliation
 
 def _ledger(spark: SparkSession, path: str) -> DataFrame:
-    return lot_ledger(usable(read_lots(spark, path)), recipes(spark), ["site"])
+    return lot_ledger(usable(spread(read_lots(spark, path))), recipes(spark), ["site"])
 
 
 def lot_ledger_rollup(spark: SparkSession, path: str) -> DataFrame:
-    return production_by_product(_ledger(spark, path), ["site"])
+    sold = lot_ledger(usable(spread(read_lots(spark, path))), recipes(spark), ["site"],
+                      OUTFLOW_KINDS)
+    return production_by_product(sold, ["site"])
 
 
 def ledger_edges(spark: SparkSession, path: str) -> DataFrame:
@@ -256,6 +259,13 @@ def price_trend_by_day(spark: SparkSession, path: str) -> DataFrame:
         "site", "product", "tick", "mean_price", "min_price", "max_price")
 
 
+def price_trend_segmented(spark: SparkSession, path: str) -> DataFrame:
+    week = F.expr("tick DIV 7")
+    rows = price_trend(_daily_quotes(spark, path), ["site", "product"], 5, segment=week)
+    return _rounded(rows, "mean_price", "min_price", "max_price").select(
+        "site", "product", "tick", "mean_price", "min_price", "max_price")
+
+
 def bar_ratio_by_day(spark: SparkSession, path: str) -> DataFrame:
     return _rounded(bar_ratio(supply_long(spark, path), ["site", "tick"]), "bar_pct")
 
@@ -293,7 +303,7 @@ def asof_params_small_log(spark: SparkSession, path: str) -> DataFrame:
 # ---- scenarios
 
 def _scenario_lots(spark: SparkSession, path: str) -> DataFrame:
-    return with_scenarios(usable(read_lots(spark, path)), STRESS_SCENARIOS)
+    return with_scenarios(usable(spread(read_lots(spark, path))), STRESS_SCENARIOS)
 
 
 def _sweep(spark: SparkSession, path: str) -> DataFrame:
@@ -375,10 +385,7 @@ def price_direction_feed(spark: SparkSession, path: str) -> DataFrame:
 def params_stream(spark: SparkSession, path: str) -> DataFrame:
     """Arriving facts with the parameters in effect, resolved per micro-batch."""
     out, state = shared_folder(spark, "params"), shared_folder(spark, "params-state")
-    facts = (spark.readStream.schema(EVENT_SCHEMA).option("pathGlobFilter", "events*.parquet")
-             .option("recursiveFileLookup", "true").parquet(path)
-             .where("event_type = 'purchase'")
-             .selectExpr("event_id AS fact_id", "user_id % 10 AS site", "ts", "value AS volume"))
+    facts = read_fact_stream(spark, path)
     params_in_effect_stream(
         facts, lambda: read_param_changes(spark, path), _asof, out, state).awaitTermination()
     return spark.read.parquet(out).drop("batch_id")
@@ -412,6 +419,7 @@ CATALOGUE: dict[str, Query] = {
     "price_direction": price_direction_by_day,
     "price_direction_segmented": price_direction_segmented,
     "price_trend": price_trend_by_day,
+    "price_trend_segmented": price_trend_segmented,
     "bar_ratio": bar_ratio_by_day,
     "market_override": market_override,
     "asof_params": asof_params_by_fact,

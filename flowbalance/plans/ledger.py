@@ -95,12 +95,19 @@ def _product(name: str | None) -> str:
     return f"'{name}'" if name in PRODUCTS else name
 
 
-def lot_ledger(lots: DataFrame, recipes: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Every movement of every lot: ``keys, from_node, to_node, kind, product`` and the masses."""
+def lot_ledger(
+    lots: DataFrame, recipes: DataFrame, keys: Sequence[str],
+    kinds: Sequence[str] | None = None,
+) -> DataFrame:
+    """Movements of every lot: ``keys, from_node, to_node, kind, product`` and the masses.
+
+    ``kinds`` restricts them where the long rows are made, so that the others, and the columns
+    only they need, are never computed.
+    """
     return plant(lots, recipes).selectExpr(*keys, fan([
         flow_struct(prefix, from_node=f"'{source}'", to_node=f"'{target}'", kind=f"'{kind}'",
                     product=_product(product))
-        for source, target, kind, prefix, product in EDGES]))
+        for source, target, kind, prefix, product in EDGES if kinds is None or kind in kinds]))
 
 
 def production_by_product(movements: DataFrame, keys: Sequence[str]) -> DataFrame:

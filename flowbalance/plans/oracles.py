@@ -292,6 +292,11 @@ configs AS (SELECT site, g AS grid_id, {r('volume')} AS volume, {r('fat / volume
  80e0 AS butter_b_fat_pct, 'nfdm' AS powder_a, 'bmp' AS powder_b
  FROM sites CROSS JOIN (SELECT unnest(generate_series(0, 63)) AS g))"""
 
+TREND = f"""WITH {DAILY}, micro AS (SELECT *, {u('price')} AS p FROM quotes)
+SELECT site, product, tick, {r('CAST(sum(p) OVER w AS DOUBLE) / 1e6 / count(p) OVER w')} AS mean_price,
+ {r('min(price) OVER w')} AS min_price, {r('max(price) OVER w')} AS max_price FROM micro
+ WINDOW w AS (PARTITION BY site, product ORDER BY tick ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)"""
+
 ORACLES: dict[str, str] = {
     "cream_and_skim_by_site": f"""WITH {SEPARATED} SELECT site, kind, {sums()},
  count(*) FILTER (WHERE NOT abs(fat + snf + water - volume) < 0.001e0) AS n_open
@@ -369,10 +374,8 @@ SELECT site, product_ord, product, volume, elasticity, {r('price')} AS price,
  FROM quotes ORDER BY quotes.revenue DESC, product_ord""",
     "price_direction": DIRECTION,
     "price_direction_segmented": DIRECTION,
-    "price_trend": f"""WITH {DAILY}, micro AS (SELECT *, {u('price')} AS p FROM quotes)
-SELECT site, product, tick, {r('CAST(sum(p) OVER w AS DOUBLE) / 1e6 / count(p) OVER w')} AS mean_price,
- {r('min(price) OVER w')} AS min_price, {r('max(price) OVER w')} AS max_price FROM micro
- WINDOW w AS (PARTITION BY site, product ORDER BY tick ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)""",
+    "price_trend": TREND,
+    "price_trend_segmented": TREND,
     "bar_ratio": f"""WITH {dense('site, tick')} SELECT *, {r('''volume / greatest(max(volume)
  OVER (PARTITION BY site, tick), 1e0) * 100e0''')} AS bar_pct FROM filled WHERE volume > 0""",
     "market_override": f"""WITH {dense('site, tick')}, goal AS (SELECT site, product,

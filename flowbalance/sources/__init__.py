@@ -3,18 +3,21 @@
 from .dims import allocations, defaults, market_params, recipes
 from .sinks import write_quotes
 from .tables import (
+    read_fact_stream,
     read_facts,
     read_lots,
     read_orders,
     read_param_changes,
     read_supply_events,
     read_supply_stream,
+    spread,
 )
 
 __all__ = [
     "allocations",
     "defaults",
     "market_params",
+    "read_fact_stream",
     "read_facts",
     "read_lots",
     "read_orders",
@@ -22,5 +25,6 @@ __all__ = [
     "read_supply_events",
     "read_supply_stream",
     "recipes",
+    "spread",
     "write_quotes",
 ]

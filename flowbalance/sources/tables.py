@@ -68,6 +68,19 @@ def read_lots(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def spread(lots: DataFrame) -> DataFrame:
+    """Lots over all cores, for work that costs far more per row than a shuffle does.
+
+    Only a scan with fewer tasks than the session has cores is repartitioned; a large table keeps
+    its splits and is not shuffled. Takes the plain scan of ``read_lots``, whose number of tasks is
+    known without running anything.
+    """
+    cores = lots.sparkSession.sparkContext.defaultParallelism
+    if lots.rdd.getNumPartitions() >= cores:
+        return lots
+    return lots.repartition(cores, *LOT_KEYS)
+
+
 def read_orders(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Order totals (inflow) and line amounts (outflow) for a two-sided reconciliation."""
     orders = spark.read.parquet(f"{path}/orders.parquet").selectExpr(
@@ -94,16 +107,21 @@ def read_supply_events(spark: SparkSession, path: str) -> DataFrame:
                       f"{day_tick('ts')} AS day", f"{hour_tick('ts')} AS hour")
 
 
-def read_supply_stream(
-    spark: SparkSession, path: str, pattern: str = "events*.parquet",
-    max_files_per_trigger: int | None = None,
+def _event_stream(
+    spark: SparkSession, path: str, max_files_per_trigger: int | None
 ) -> DataFrame:
-    """Supply events as a file stream, with ``ts`` as an event-time TIMESTAMP."""
-    reader = (spark.readStream.schema(EVENT_SCHEMA)
-              .option("pathGlobFilter", pattern).option("recursiveFileLookup", "true"))
+    reader = spark.readStream.schema(EVENT_SCHEMA)
     if max_files_per_trigger is not None:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    return _as_supply(reader.parquet(path)).withColumn("ts", F.expr(as_instant("ts")))
+    return reader.parquet(f"{path}/events*.parquet")
+
+
+def read_supply_stream(
+    spark: SparkSession, path: str, max_files_per_trigger: int | None = None
+) -> DataFrame:
+    """Supply events as a file stream, with ``ts`` as an event-time TIMESTAMP."""
+    return _as_supply(_event_stream(spark, path, max_files_per_trigger)).withColumn(
+        "ts", F.expr(as_instant("ts")))
 
 
 def read_param_changes(spark: SparkSession, path: str) -> DataFrame:
@@ -118,7 +136,18 @@ def read_param_changes(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def _as_facts(events: DataFrame) -> DataFrame:
+    return events.where("event_type = 'purchase'").selectExpr(
+        "event_id AS fact_id", "user_id % 10 AS site", "ts", "value AS volume")
+
+
 def read_facts(spark: SparkSession, path: str) -> DataFrame:
     """Facts that need the parameters in effect at their time."""
-    return _events(spark, path).where("event_type = 'purchase'").selectExpr(
-        "event_id AS fact_id", "user_id % 10 AS site", "ts", "value AS volume")
+    return _as_facts(_events(spark, path))
+
+
+def read_fact_stream(
+    spark: SparkSession, path: str, max_files_per_trigger: int | None = None
+) -> DataFrame:
+    """The same facts as they arrive."""
+    return _as_facts(_event_stream(spark, path, max_files_per_trigger))
