@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,12 +34,17 @@ def apply_overrides(
 def override_market(
     supply_with_market: DataFrame, overrides: DataFrame, keys: Sequence[str]
 ) -> DataFrame:
-    """Replace market fields per key where an override sets them; other fields stay."""
+    """Replace market fields per key where an override sets them; other fields stay.
+
+    The keys match null-safe. That also keeps Catalyst from adding a not-null filter to one side,
+    so overrides derived from the same rollup reuse its shuffle instead of reading it again.
+    """
     fields = [f for f in MARKET_FIELDS if f in overrides.columns]
-    named = overrides.select(*keys, *[F.col(f).alias(f"_{f}") for f in fields])
-    return (supply_with_market.join(named, list(keys), "left")
-            .withColumns({f: F.coalesce(F.col(f"_{f}"), F.col(f)) for f in fields})
-            .drop(*[f"_{f}" for f in fields]))
+    plain, changed = supply_with_market.alias("s"), overrides.alias("o")
+    same = reduce(and_, [F.col(f"s.{k}").eqNullSafe(F.col(f"o.{k}")) for k in keys])
+    return plain.join(changed, same, "left").select(*[
+        F.coalesce(F.col(f"o.{c}"), F.col(f"s.{c}")).alias(c) if c in fields else F.col(f"s.{c}")
+        for c in supply_with_market.columns])
 
 
 def asof_params(
@@ -117,10 +124,7 @@ def _by_interval(
         *[F.last(c, ignorenulls=True).over(so_far).alias(c) for c in columns])
     # Of changes at the same time all but the last have an empty interval and match nothing.
     f, i = stamped.alias("f"), F.broadcast(intervals.alias("i"))
-    same = [F.col(f"f.{k}").eqNullSafe(F.col(f"i.{k}")) for k in (*keys, "_bucket")]
+    same = reduce(and_, [F.col(f"f.{k}").eqNullSafe(F.col(f"i.{k}")) for k in (*keys, "_bucket")])
     started = F.col("i._from").isNull() | (F.col(f"f.{ts}") >= F.col("i._from"))
     not_over = F.col("i._until").isNull() | (F.col(f"f.{ts}") < F.col("i._until"))
-    on = started & not_over
-    for condition in same:
-        on = on & condition
-    return f.join(i, on, "left").select("f.*", *[F.col(f"i.{c}") for c in columns])
+    return f.join(i, same & started & not_over, "left").select("f.*", *[F.col(f"i.{c}") for c in columns])

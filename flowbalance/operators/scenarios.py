@@ -47,20 +47,22 @@ def with_scenarios(
 
 
 def scenario_grid(
-    base: DataFrame, ranges: Mapping[str, Sequence[object]], partitions: int | None = None
+    base: DataFrame, ranges: Mapping[str, Sequence[object]], keys: Sequence[str] = (),
+    partitions: int | None = None,
 ) -> DataFrame:
-    """All combinations of the value lists for every row of ``base``.
+    """All combinations of the value lists for every row of ``base``, told apart by ``grid_id``.
 
     A combination is a number whose digits, in mixed radix, index the lists. So the grid is
     generated in place of being cross-joined. ``partitions`` spreads it before heavy work, as a
-    small ``base`` may sit in a single partition; rows are told apart by ``grid_id``.
+    small ``base`` may sit in a single partition; it does so by ``keys`` and ``grid_id``, which a
+    later aggregate by the same columns needs no second shuffle for.
     """
     size = prod(len(values) for values in ranges.values())
     grid = base.selectExpr(
         *[c for c in base.columns if c not in ranges],
         f"EXPLODE(SEQUENCE(0L, {size - 1}L)) AS grid_id")
     if partitions is not None:
-        grid = grid.repartition(partitions, *grid.columns)
+        grid = grid.repartition(partitions, *keys, "grid_id")
     picks, stride = [], 1
     for name, values in ranges.items():
         listed = ", ".join(sql_literal(v) for v in values)

@@ -344,6 +344,7 @@ GRID = {
     "cream_fat_pct": [30.0, 35.0, 40.0, 45.0],
     "skim_split_pct": [0.0, 30.0, 60.0, 100.0],
     "cheese_a": ["cheddar", "mozzarella", "swiss", "parmesan"],
+    "cheese_b": ["mozzarella", "swiss"],
 }
 
 
@@ -354,8 +355,8 @@ def grid_sweep(spark: SparkSession, path: str) -> DataFrame:
         *[F.lit(v).alias(k) for k, v in DEFAULT_CONFIG.items()
           if k not in ("volume", "fat_pct", "snf_pct")])
     tasks = spark.sparkContext.defaultParallelism
-    rows = evaluate_scenarios(scenario_grid(pooled, GRID, tasks), recipes(spark),
-                              market_params(spark), ["site", "grid_id"])
+    grid = scenario_grid(pooled, GRID, ["site"], tasks)
+    rows = evaluate_scenarios(grid, recipes(spark), market_params(spark), ["site", "grid_id"])
     return rows.groupBy("site", "grid_id").agg(exact_sum("revenue").alias("revenue"))
 
 

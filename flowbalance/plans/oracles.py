@@ -288,9 +288,9 @@ _GRID = f"""{MILK}, {_SITE_MASSES},
 configs AS (SELECT site, g AS grid_id, {r('volume')} AS volume, {r('fat / volume * 100e0')} AS fat_pct,
  {r('snf / volume * 100e0')} AS snf_pct, [30e0, 35e0, 40e0, 45e0][1 + g % 4] AS cream_fat_pct,
  [0e0, 30e0, 60e0, 100e0][1 + g // 4 % 4] AS skim_split_pct, {CHEESES}[1 + g // 16 % 4] AS cheese_a,
- 'mozzarella' AS cheese_b, 50e0 AS cream_split_pct, 82e0 AS butter_a_fat_pct,
+ ['mozzarella', 'swiss'][1 + g // 64] AS cheese_b, 50e0 AS cream_split_pct, 82e0 AS butter_a_fat_pct,
  80e0 AS butter_b_fat_pct, 'nfdm' AS powder_a, 'bmp' AS powder_b
- FROM sites CROSS JOIN (SELECT unnest(generate_series(0, 63)) AS g))"""
+ FROM sites CROSS JOIN (SELECT unnest(generate_series(0, 127)) AS g))"""
 
 TREND = f"""WITH {DAILY}, micro AS (SELECT *, {u('price')} AS p FROM quotes)
 SELECT site, product, tick, {r('CAST(sum(p) OVER w AS DOUBLE) / 1e6 / count(p) OVER w')} AS mean_price,

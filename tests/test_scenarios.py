@@ -82,7 +82,7 @@ def test_invariants_count_what_is_broken(spark):
 @pytest.mark.parametrize("partitions", [None, 3])
 def test_grid_is_the_full_product(spark, partitions):
     ranges = {"a": [1.0, 2.0, 3.0], "b": ["x", "y"], "c": [True, False]}
-    grid = scenario_grid(spark.range(2), ranges, partitions)
+    grid = scenario_grid(spark.range(2), ranges, ["id"], partitions)
     got = sorted((r.id, r.a, r.b, r.c) for r in grid.collect())
     assert got == sorted((i, *c) for i in range(2) for c in combinations(*ranges.values()))
     text = grid._jdf.queryExecution().executedPlan().toString()
