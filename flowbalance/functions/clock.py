@@ -17,6 +17,11 @@ def hour_tick(ts: str) -> str:
     return f"({day_tick(ts)} * 24 + HOUR({ts}))"
 
 
+def minute_tick(ts: str) -> str:
+    """Minutes since 1970-01-01."""
+    return f"({hour_tick(ts)} * 60 + MINUTE({ts}))"
+
+
 def as_instant(ts: str) -> str:
     """A zone-less timestamp read as UTC, as event time needs a TIMESTAMP."""
     return (f"MAKE_TIMESTAMP(YEAR({ts}), MONTH({ts}), DAY({ts}), HOUR({ts}), MINUTE({ts}), "

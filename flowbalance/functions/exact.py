@@ -24,9 +24,10 @@ def micro_units(x: str) -> str:
     return f"CAST(RINT(({x}) * 1000000D) AS BIGINT)"
 
 
-def micro_round(x: str) -> str:
-    """``x`` rounded to six decimals, half to even, without leaving DOUBLE."""
-    return f"(RINT(({x}) * 1000000D) / 1000000D)"
+def rounded(x: str, digits: int = 6) -> str:
+    """``x`` rounded half to even, without leaving DOUBLE."""
+    scale = f"{float(10 ** digits)!r}D"
+    return f"(RINT(({x}) * {scale}) / {scale})"
 
 
 def exact_sum(*xs: str, where: str | None = None, over: WindowSpec | None = None) -> Column:

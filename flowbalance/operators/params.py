@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import CONFIG_GROUPS
-from ..functions.clock import hour_tick
+from ..functions.clock import minute_tick
 from .market import MARKET_FIELDS
 
 
@@ -56,8 +56,8 @@ def asof_params(
     ts: str = "ts",
     fact_id: str = "fact_id",
     change_id: str = "change_id",
-    bucket: Callable[[str], str] = hour_tick,
-    salts: int = 8,
+    bucket: Callable[[str], str] = minute_tick,
+    salts: int = 1,
     broadcast_rows: int = 0,
 ) -> DataFrame:
     """Add to each fact the latest value of every path at its time, or the default.
@@ -65,10 +65,12 @@ def asof_params(
     ``changes`` is a sparse log (``path``, ``value``); a change at the time of a fact counts, and
     of changes at the same time the one with the higher id.
 
-    A key may hold any share of the facts, so no window spans a key. Time is cut into buckets.
-    What is in effect when a bucket opens follows from the closing values of the earlier buckets,
-    a table with one row per key and bucket, and enters the bucket as one more change. Within a
-    bucket the facts are spread over ``salts`` groups and the few changes are copied to each.
+    A key may hold any share of the facts and changes, so no window spans a key. Time is cut into
+    buckets (``bucket``, an expression over ``ts``), narrow enough that one key's rows of a bucket
+    fit a task. What is in effect when a bucket opens follows from the closing values of the
+    earlier buckets, a thin table with one row per key and touched bucket, and enters the bucket
+    as one more change. Where facts crowd in one bucket and changes are few, ``salts`` spreads
+    the facts of a bucket over that many groups and copies its changes to each.
 
     With ``broadcast_rows`` the states of all buckets are counted, and if there are no more than
     that they are broadcast and the facts are not shuffled at all. This runs a job at call time.
@@ -99,13 +101,15 @@ def asof_params(
         return (_by_interval(stamped, states, keys, columns, ts)
                 .withColumns(fallback).select(*facts.columns, *columns))
 
-    every_salt = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt")
-    rows = stamped.withColumns({
-        "_salt": F.pmod(F.xxhash64(fact_id), F.lit(salts)).cast("int"),
-        "_is_fact": F.lit(True),
-    }).unionByName(
-        states.select("*", every_salt, F.lit(False).alias("_is_fact")), allowMissingColumns=True)
-    so_far = (Window.partitionBy(*keys, "_bucket", "_salt")
+    group = [*keys, "_bucket"]
+    known = stamped.withColumn("_is_fact", F.lit(True))
+    states = states.withColumn("_is_fact", F.lit(False))
+    if salts > 1:
+        group.append("_salt")
+        known = known.withColumn("_salt", F.pmod(F.xxhash64(fact_id), F.lit(salts)).cast("int"))
+        states = states.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    rows = known.unionByName(states, allowMissingColumns=True)
+    so_far = (Window.partitionBy(*group)
               .orderBy(F.asc_nulls_first(ts), "_is_fact", F.asc_nulls_first("_order"))
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return (rows.withColumns({c: F.last(c, ignorenulls=True).over(so_far) for c in columns})

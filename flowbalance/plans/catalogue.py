@@ -1,7 +1,7 @@
 """The query catalogue: every operator over whole tables, by name.
 
-Each query takes ``(spark, path)``. Results that went through ``pow`` are rounded to six decimals,
-as the last bit of ``pow`` depends on the maths library.
+Each query takes ``(spark, path)``. Results that went through ``pow`` are rounded, prices to six
+decimals and revenues to four, as the last bit of ``pow`` depends on the maths library.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..constants import DEFAULT_CONFIG, PARAM_PATHS, PRODUCTS, STRESS_SCENARIOS
-from ..functions.exact import exact_sum, micro_round
+from ..functions.exact import exact_sum, rounded
 from ..operators.accounting import (
     closure_check,
     closure_summary,
@@ -76,7 +76,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _rounded(df: DataFrame, *columns: str) -> DataFrame:
-    return df.withColumns({c: F.expr(micro_round(c)) for c in columns})
+    return df.withColumns({
+        c: F.expr(rounded(c, 4 if c.endswith("revenue") else 6)) for c in columns})
 
 
 def _milk(spark: SparkSession, path: str) -> DataFrame:
@@ -97,7 +98,7 @@ def closure_by_site(spark: SparkSession, path: str) -> DataFrame:
 
 def composition_by_site(spark: SparkSession, path: str) -> DataFrame:
     return composition_pct(lot_masses_by_site(spark, path)).select(
-        "site", *[F.expr(micro_round(f"{c}_pct")).alias(f"{c}_pct") for c in ("fat", "snf", "water")])
+        "site", *[F.expr(rounded(f"{c}_pct")).alias(f"{c}_pct") for c in ("fat", "snf", "water")])
 
 
 def domain_violations(spark: SparkSession, path: str) -> DataFrame:
@@ -221,11 +222,11 @@ def price_sensitivity_by_site(spark: SparkSession, path: str) -> DataFrame:
 
 
 def revenue_by_day(spark: SparkSession, path: str) -> DataFrame:
-    return revenue(_daily_quotes(spark, path), ["site", "tick"])
+    return _rounded(revenue(_daily_quotes(spark, path), ["site", "tick"]), "revenue")
 
 
 def revenue_rollup(spark: SparkSession, path: str) -> DataFrame:
-    return revenue_breakdown(_daily_quotes(spark, path))
+    return _rounded(revenue_breakdown(_daily_quotes(spark, path)), "revenue")
 
 
 def revenue_top3(spark: SparkSession, path: str) -> DataFrame:
@@ -235,7 +236,7 @@ def revenue_top3(spark: SparkSession, path: str) -> DataFrame:
 
 def revenue_sorted(spark: SparkSession, path: str) -> DataFrame:
     ordered = sort_revenue(_daily_quotes(spark, path))
-    return ordered.select("site", "tick", "product", F.expr(micro_round("revenue")).alias("revenue"))
+    return _rounded(ordered.select("site", "tick", "product", "revenue"), "revenue")
 
 
 def _moves(rows: DataFrame) -> DataFrame:
@@ -332,7 +333,7 @@ def scenario_delta(spark: SparkSession, path: str) -> DataFrame:
 
 
 def best_scenario_by_site(spark: SparkSession, path: str) -> DataFrame:
-    return best_scenario(_sweep(spark, path), ["site"])
+    return _rounded(best_scenario(_sweep(spark, path), ["site"]), "revenue")
 
 
 def scenario_invariants(spark: SparkSession, path: str) -> DataFrame:
@@ -351,13 +352,13 @@ GRID = {
 def grid_sweep(spark: SparkSession, path: str) -> DataFrame:
     """The pooled milk of each site under all combinations of a parameter grid."""
     pooled = composition_pct(lot_masses_by_site(spark, path)).select(
-        "site", *[F.expr(micro_round(c)).alias(c) for c in ("volume", "fat_pct", "snf_pct")],
+        "site", *[F.expr(rounded(c)).alias(c) for c in ("volume", "fat_pct", "snf_pct")],
         *[F.lit(v).alias(k) for k, v in DEFAULT_CONFIG.items()
           if k not in ("volume", "fat_pct", "snf_pct")])
     tasks = spark.sparkContext.defaultParallelism
     grid = scenario_grid(pooled, GRID, ["site"], tasks)
     rows = evaluate_scenarios(grid, recipes(spark), market_params(spark), ["site", "grid_id"])
-    return rows.groupBy("site", "grid_id").agg(exact_sum("revenue").alias("revenue"))
+    return _rounded(revenue(rows, ["site", "grid_id"]), "revenue")
 
 
 # ---- streaming

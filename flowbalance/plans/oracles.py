@@ -45,8 +45,8 @@ def s(x: str, where: str = "") -> str:
     return f"(CAST(coalesce(SUM({u(x)}){condition}, 0) AS DOUBLE) / 1e6)"
 
 
-def r(x: str) -> str:
-    return f"(round_even(({x}) * 1e6, 0) / 1e6)"
+def r(x: str, digits: int = 6) -> str:
+    return f"(round_even(({x}) * 1e{digits}, 0) / 1e{digits})"
 
 
 def sums(prefix: str = "") -> str:
@@ -354,23 +354,23 @@ SELECT site, {sums()} FROM both_creams GROUP BY site""",
     + " FROM supply GROUP BY site, tick",
     "supply_long": f"WITH {dense('site, tick')} SELECT * FROM filled",
     "elastic_prices": f"""WITH {DAILY} SELECT site, tick, product_ord, product, volume,
- {r('price')} AS price, {r('revenue')} AS revenue FROM quotes""",
+ {r('price')} AS price, {r('revenue', 4)} AS revenue FROM quotes""",
     "price_sensitivity": f"""WITH {dense('site')}, tried AS (SELECT f.*, e AS elasticity,
  CASE WHEN volume <= 0 THEN base ELSE base * pow(demand / volume, e) END AS price
  FROM filled f JOIN market USING (product)
  CROSS JOIN (VALUES (0.1e0), (0.2e0), (0.3e0), (0.5e0), (1e0)) t(e))
 SELECT site, product_ord, product, volume, elasticity, {r('price')} AS price,
- {r('volume * price')} AS revenue FROM tried""",
-    "revenue_by_day": f"""WITH {DAILY} SELECT site, tick, {s('revenue')} AS revenue FROM quotes
+ {r('volume * price', 4)} AS revenue FROM tried""",
+    "revenue_by_day": f"""WITH {DAILY} SELECT site, tick, {r(s('revenue'), 4)} AS revenue FROM quotes
  GROUP BY site, tick""",
     "revenue_rollup": f"""WITH {DAILY} SELECT site, product,
- CAST(GROUPING(site, product) AS INTEGER) AS level, {s('revenue')} AS revenue FROM quotes
+ CAST(GROUPING(site, product) AS INTEGER) AS level, {r(s('revenue'), 4)} AS revenue FROM quotes
  WHERE volume > 0 GROUP BY GROUPING SETS ((site, product), (site), ())""",
     "revenue_top3": f"""WITH {DAILY} SELECT site, tick, product_ord, product, volume,
- {r('price')} AS price, {r('revenue')} AS revenue,
+ {r('price')} AS price, {r('revenue', 4)} AS revenue,
  CAST(row_number() OVER (PARTITION BY site, tick ORDER BY quotes.revenue DESC, product_ord) AS INTEGER)
  AS rank FROM quotes WHERE volume > 0 QUALIFY rank <= 3""",
-    "revenue_sorted": f"""WITH {DAILY} SELECT site, tick, product, {r('revenue')} AS revenue
+    "revenue_sorted": f"""WITH {DAILY} SELECT site, tick, product, {r('revenue', 4)} AS revenue
  FROM quotes ORDER BY quotes.revenue DESC, product_ord""",
     "price_direction": DIRECTION,
     "price_direction_segmented": DIRECTION,
@@ -383,7 +383,7 @@ SELECT site, product_ord, product, volume, elasticity, {r('price')} AS price,
 p AS (SELECT f.*, own, CASE WHEN volume <= 0 THEN base ELSE base * pow(own / volume, elast) END AS price
  FROM filled f JOIN market USING (product) JOIN goal USING (site, product))
 SELECT site, tick, product, volume, {r('own')} AS demand, {r('price')} AS price,
- {r('volume * price')} AS revenue FROM p""",
+ {r('volume * price', 4)} AS revenue FROM p""",
     "asof_params": ASOF,
     "asof_params_small_log": ASOF,
     "params_stream": ASOF,
@@ -392,23 +392,23 @@ SELECT site, tick, product, volume, {r('own')} AS demand, {r('price')} AS price,
         "volume", "fat_pct", "snf_pct", "cream_fat_pct", "skim_split_pct", "cream_split_pct",
         "butter_a_fat_pct")) + " FROM configs GROUP BY ALL",
     "scenario_sweep": f"""WITH {SWEEP} SELECT site, scenario_id, product_ord, product, volume,
- {r('price')} AS price, {r('revenue')} AS revenue, {r('residual_fat')} AS residual_fat,
+ {r('price')} AS price, {r('revenue', 4)} AS revenue, {r('residual_fat')} AS residual_fat,
  {r('residual_snf')} AS residual_snf, {r('residual_water')} AS residual_water FROM results""",
     "scenario_delta": f"""WITH {SWEEP} SELECT a.site, a.scenario_id, a.product,
  {r('a.volume - b.volume')} AS delta_volume, {r('a.price - b.price')} AS delta_price,
- {r('a.revenue - b.revenue')} AS delta_revenue
+ {r('a.revenue - b.revenue', 4)} AS delta_revenue
  FROM results a JOIN results b ON a.site = b.site AND a.product = b.product AND b.scenario_id = 0""",
     "best_scenario": f"""WITH {SWEEP}, totals AS (SELECT site, scenario_id, {s('revenue')} AS revenue
  FROM results GROUP BY site, scenario_id)
-SELECT site, scenario_id, revenue FROM totals
-QUALIFY row_number() OVER (PARTITION BY site ORDER BY revenue DESC, scenario_id) = 1""",
+SELECT site, scenario_id, {r('revenue', 4)} AS revenue FROM totals
+QUALIFY row_number() OVER (PARTITION BY site ORDER BY totals.revenue DESC, scenario_id) = 1""",
     "scenario_invariants": f"""WITH {SWEEP} SELECT scenario_id, count(*) AS n_rows,
  count(*) FILTER (WHERE isnan(volume)) AS n_nan, count(*) FILTER (WHERE volume < 0) AS n_negative,
  min(volume) AS min_value, max(volume) AS max_value, bool_and(volume >= 0) AS sound
  FROM results GROUP BY scenario_id""",
     "grid_sweep": f"""WITH {_GRID}, {plant('configs')}, {evaluated('site, grid_id')}
-SELECT site, grid_id, {s('revenue')} AS revenue FROM results GROUP BY site, grid_id""",
+SELECT site, grid_id, {r(s('revenue'), 4)} AS revenue FROM results GROUP BY site, grid_id""",
     "price_feed_stream": f"""WITH {FEED} SELECT tick, site, product, volume, {r('price')} AS price,
- {r('revenue')} AS revenue FROM quotes""",
+ {r('revenue', 4)} AS revenue FROM quotes""",
     "price_direction_stream": f"WITH {FEED} {_MOVES}",
 }

@@ -23,7 +23,7 @@ def latest(changes, site, ts, path, default):
 
 
 @pytest.mark.parametrize("options", [
-    {}, {"salts": 1}, {"bucket": day_tick}, {"broadcast_rows": 100_000}, {"broadcast_rows": 3}])
+    {}, {"salts": 4}, {"bucket": day_tick}, {"bucket": hour_tick, "salts": 3}, {"broadcast_rows": 100_000}, {"broadcast_rows": 3}])
 def test_asof_against_brute_force_with_a_hot_key(spark, options):
     """Site 0 has most facts and changes; many share a timestamp with each other."""
     rng = random.Random(7)
@@ -59,7 +59,7 @@ def test_asof_spans_empty_buckets_and_keeps_facts_without_changes(spark):
 def test_facts_are_not_grouped_by_key_alone(spark):
     facts = spark.createDataFrame([(1, 1, START)], FACT)
     changes = spark.createDataFrame([(1, 1, START, "skimSplitPercent", 75.0)], CHANGE)
-    plan = asof_params(facts, changes, ["site"], PATHS, DEFAULT_CONFIG)
+    plan = asof_params(facts, changes, ["site"], PATHS, DEFAULT_CONFIG, salts=4)
     text = plan._jdf.queryExecution().executedPlan().toString()
     last_window = text[text.index("Window"):].split("\n")[0]
     assert "_bucket" in last_window and "_salt" in last_window
