@@ -28,6 +28,7 @@ def as_instant(ts: str) -> str:
             f"EXTRACT(SECOND FROM {ts}), 'UTC')")
 
 
-def instant_hour_tick(ts: str) -> str:
-    """Hours since the epoch of a TIMESTAMP."""
-    return f"UNIX_SECONDS({ts}) DIV 3600"
+def window_tick(span: str) -> str:
+    """Number of a tumbling window since the epoch; for windows of an hour, the hour tick."""
+    start, end = f"UNIX_SECONDS({span}.start)", f"UNIX_SECONDS({span}.end)"
+    return f"{start} DIV ({end} - {start})"

@@ -13,7 +13,11 @@ from ..functions.composition import closure_gap, fan, number, percent_of
 from ..functions.exact import exact_sum
 
 
-def reject_reason(inputs: Sequence[str] = ("volume", "fat_pct", "snf_pct")) -> str:
+MILK_INPUTS = ("volume", "fat_pct", "snf_pct")
+PLANT_INPUTS = tuple(RANGES)
+
+
+def reject_reason(inputs: Sequence[str] = MILK_INPUTS) -> str:
     """Why a lot cannot enter the ledger, NULL when it can. Zero volume is fine, NaN is not."""
     checks = [
         f"WHEN {c} IS NULL OR ISNAN({c}) OR ABS({c}) = DOUBLE('Infinity') "
@@ -21,13 +25,14 @@ def reject_reason(inputs: Sequence[str] = ("volume", "fat_pct", "snf_pct")) -> s
     return f"CASE {' '.join(checks)} WHEN volume < 0 THEN 'negative volume' END"
 
 
-def usable(lots: DataFrame) -> DataFrame:
-    return lots.where(f"({reject_reason()}) IS NULL")
+def usable(lots: DataFrame, inputs: Sequence[str] = MILK_INPUTS) -> DataFrame:
+    """Lots whose ``inputs`` are numbers; for the whole ledger these are ``PLANT_INPUTS``."""
+    return lots.where(f"({reject_reason(inputs)}) IS NULL")
 
 
-def rejected(lots: DataFrame) -> DataFrame:
+def rejected(lots: DataFrame, inputs: Sequence[str] = MILK_INPUTS) -> DataFrame:
     """The other side of ``usable``: nothing is dropped without being listed here."""
-    return lots.selectExpr("*", f"{reject_reason()} AS reject_reason").where(
+    return lots.selectExpr("*", f"{reject_reason(inputs)} AS reject_reason").where(
         "reject_reason IS NOT NULL")
 
 

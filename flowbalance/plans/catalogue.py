@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..constants import DEFAULT_CONFIG, PARAM_PATHS, PRODUCTS, STRESS_SCENARIOS
 from ..functions.exact import exact_sum, rounded
 from ..operators.accounting import (
+    PLANT_INPUTS,
     closure_check,
     closure_summary,
     component_masses,
@@ -84,6 +85,11 @@ def _milk(spark: SparkSession, path: str) -> DataFrame:
     return component_masses(usable(read_lots(spark, path)))
 
 
+def _plant_lots(spark: SparkSession, path: str) -> DataFrame:
+    """Lots for queries whose work per lot outweighs a shuffle of a small table."""
+    return usable(spread(read_lots(spark, path)), PLANT_INPUTS)
+
+
 # ---- accounting
 
 def lot_masses_by_site(spark: SparkSession, path: str) -> DataFrame:
@@ -166,11 +172,11 @@ def masses_by_region(spark: SparkSession, path: str) -> DataFrame:
 # ---- ledger and reconciliation
 
 def _ledger(spark: SparkSession, path: str) -> DataFrame:
-    return lot_ledger(usable(spread(read_lots(spark, path))), recipes(spark), ["site"])
+    return lot_ledger(_plant_lots(spark, path), recipes(spark), ["site"])
 
 
 def lot_ledger_rollup(spark: SparkSession, path: str) -> DataFrame:
-    sold = lot_ledger(usable(spread(read_lots(spark, path))), recipes(spark), ["site"],
+    sold = lot_ledger(_plant_lots(spark, path), recipes(spark), ["site"],
                       OUTFLOW_KINDS)
     return production_by_product(sold, ["site"])
 
@@ -180,7 +186,7 @@ def ledger_edges(spark: SparkSession, path: str) -> DataFrame:
 
 
 def plant_mass_balance(spark: SparkSession, path: str) -> DataFrame:
-    wide = plant(usable(read_lots(spark, path)), recipes(spark))
+    wide = plant(usable(read_lots(spark, path), PLANT_INPUTS), recipes(spark))
     return _rounded(plant_balance(wide, ["site"]), "residual", "err_pct")
 
 
@@ -304,7 +310,7 @@ def asof_params_small_log(spark: SparkSession, path: str) -> DataFrame:
 # ---- scenarios
 
 def _scenario_lots(spark: SparkSession, path: str) -> DataFrame:
-    return with_scenarios(usable(spread(read_lots(spark, path))), STRESS_SCENARIOS)
+    return with_scenarios(_plant_lots(spark, path), STRESS_SCENARIOS)
 
 
 def _sweep(spark: SparkSession, path: str) -> DataFrame:

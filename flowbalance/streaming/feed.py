@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from ..constants import PRICE_DEAD_BAND
-from ..functions.clock import instant_hour_tick
+from ..functions.clock import window_tick
 from ..functions.exact import exact_sum
 from ..operators.market import elastic_price
 
@@ -34,7 +34,7 @@ DIRECTION_SCHEMA = T.StructType([
 def price_feed(
     events: DataFrame, market: DataFrame, window: str = "1 hour", watermark: str = "2 hours"
 ) -> DataFrame:
-    """Supply, price and revenue per window, site and product.
+    """Supply, price and revenue per window, site and product. ``tick`` numbers the windows.
 
     Late events within the watermark still count; later ones are dropped by the engine. In append
     mode a window is emitted once, when the watermark has passed its end.
@@ -43,7 +43,7 @@ def price_feed(
               .groupBy(F.window("ts", window).alias("span"), "site", "product")
               .agg(exact_sum("volume").alias("volume")))
     quoted = elastic_price(supply, market)
-    return quoted.selectExpr(f"{instant_hour_tick('span.start')} AS tick", *FEED_FIELDS[1:])
+    return quoted.selectExpr(f"{window_tick('span')} AS tick", *FEED_FIELDS[1:])
 
 
 class _LastPrice(StatefulProcessor):

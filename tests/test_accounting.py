@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from flowbalance.functions.exact import exact_sum
 from flowbalance.operators.accounting import (
+    PLANT_INPUTS,
     closure_check,
     closure_summary,
     component_masses,
@@ -23,7 +24,7 @@ from flowbalance.operators.accounting import (
     union_flows,
     usable,
 )
-from flowbalance.sources import read_lots
+from flowbalance.sources import defaults, read_lots, spread
 
 LOT = "id int, volume double, fat_pct double, snf_pct double"
 FLOW = "site int, volume double, fat double, snf double, water double"
@@ -80,6 +81,13 @@ def test_usable_and_rejected_are_complementary(spark):
                        4: "volume is not a number", 5: "negative volume"}
 
 
+def test_the_plant_rejects_on_its_settings_too(spark):
+    lots = defaults(spark)
+    broken = lots.withColumn("cream_fat_pct", F.lit(None).cast("double"))
+    assert usable(lots, PLANT_INPUTS).count() == 1 and usable(broken, PLANT_INPUTS).isEmpty()
+    assert rejected(broken, PLANT_INPUTS).first().reject_reason == "cream_fat_pct is not a number"
+
+
 def test_producing_excludes_zero_and_nan(spark):
     supply = spark.createDataFrame([(1, 1.0), (2, 0.0), (3, math.nan), (4, -1.0)],
                                    "id int, volume double")
@@ -137,3 +145,17 @@ def test_unused_columns_never_reach_the_scan(spark):
     schema = text[text.index("ReadSchema"):].split("\n")[0]
     assert "l_orderkey" not in schema and "l_extendedprice" not in schema
     assert "l_quantity" in schema
+
+
+def test_time_filters_reach_the_scan(spark):
+    lots = read_lots(spark, TINY).where("ts >= TIMESTAMP_NTZ'2000-01-01'")
+    text = lots._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(l_shipdate" in text
+
+
+def test_spread_leaves_a_large_scan_alone(spark):
+    lots = read_lots(spark, TINY)
+    cores = spark.sparkContext.defaultParallelism
+    assert spread(lots).rdd.getNumPartitions() == cores
+    many = lots.repartition(cores + 1)
+    assert spread(many) is many
