@@ -20,6 +20,15 @@ def number(x: float) -> str:
     return f"{float(x)!r}D"
 
 
+def quotient(part: str, whole: str) -> str:
+    """``part / whole``, 0 where the divisor is 0 or a side is missing.
+
+    Never NULL: Spark takes any division to be nullable, and null checks on everything computed
+    from it would double the compiled code.
+    """
+    return f"COALESCE(TRY_DIVIDE({part}, {whole}), 0D)"
+
+
 def closure_gap() -> str:
     return "ABS(fat + snf + water - volume)"
 
@@ -44,4 +53,4 @@ def fan(structs: Sequence[str]) -> str:
 def one_of(choices: Sequence[str], index: str) -> str:
     """The member of a short fixed list at a zero-based index."""
     listed = ", ".join(f"'{c}'" for c in choices)
-    return f"ELEMENT_AT(ARRAY({listed}), CAST({index} AS INT) + 1)"
+    return f"ARRAY({listed})[{index}]"

@@ -17,17 +17,27 @@ MILK_INPUTS = ("volume", "fat_pct", "snf_pct")
 PLANT_INPUTS = tuple(RANGES)
 
 
+def _all_finite(inputs: Sequence[str]) -> str:
+    """True when every input is a number: their sum is NaN, infinite or NULL otherwise."""
+    return f"ABS({' + '.join(inputs)}) < DOUBLE('Infinity')"
+
+
 def reject_reason(inputs: Sequence[str] = MILK_INPUTS) -> str:
     """Why a lot cannot enter the ledger, NULL when it can. Zero volume is fine, NaN is not."""
     checks = [
         f"WHEN {c} IS NULL OR ISNAN({c}) OR ABS({c}) = DOUBLE('Infinity') "
         f"THEN '{c} is not a number'" for c in inputs]
-    return f"CASE {' '.join(checks)} WHEN volume < 0 THEN 'negative volume' END"
+    return (f"CASE {' '.join(checks)} WHEN volume < 0 THEN 'negative volume' "
+            f"WHEN NOT ({_all_finite(inputs)}) THEN 'beyond the range of DOUBLE' END")
 
 
 def usable(lots: DataFrame, inputs: Sequence[str] = MILK_INPUTS) -> DataFrame:
-    """Lots whose ``inputs`` are numbers; for the whole ledger these are ``PLANT_INPUTS``."""
-    return lots.where(f"({reject_reason(inputs)}) IS NULL")
+    """Lots whose ``inputs`` are numbers; for the whole ledger these are ``PLANT_INPUTS``.
+
+    The complement of ``reject_reason`` in short, as the filter shares its compiled method with
+    the ledger behind it.
+    """
+    return lots.where(f"volume >= 0 AND {_all_finite(inputs)}")
 
 
 def rejected(lots: DataFrame, inputs: Sequence[str] = MILK_INPUTS) -> DataFrame:

@@ -26,7 +26,7 @@ from ..constants import (
     MASSES,
     WHOLE_MILK_POWDER_FAT_FRACTION,
 )
-from ..functions.composition import fan, flow_struct, mass_names, number
+from ..functions.composition import fan, flow_struct, mass_names, number, quotient
 from .lookup import with_recipe
 
 Step = dict[str, str]
@@ -41,8 +41,8 @@ def step_masses(into: str) -> Step:
     """Percentages of the volume to masses; water is what remains."""
     return {
         f"{into}_volume": "volume",
-        f"{into}_fat": "volume * (fat_pct / 100D)",
-        f"{into}_snf": "volume * (snf_pct / 100D)",
+        f"{into}_fat": f"volume * {quotient('fat_pct', '100D')}",
+        f"{into}_snf": f"volume * {quotient('snf_pct', '100D')}",
         f"{into}_water": f"volume - {into}_fat - {into}_snf",
     }
 
@@ -52,17 +52,16 @@ def step_split_to_target(
 ) -> Step:
     """Split so that ``rich`` has the target fat content and ``lean`` the given fat fraction.
 
-    A flow without volume gives two empty flows. A target equal to the lean fraction has no
-    solution and gives NULL. What is not in ``rich`` is in ``lean``; water closes the volumes.
+    A flow without volume gives two empty flows. A target equal to the lean fraction cannot be
+    met; ``rich`` is then empty and everything stays in ``lean``, whose water closes the volume.
     """
-    goal, floor = f"({target_pct} / 100D)", number(lean_fraction)
-    surplus = f"{src}_volume * ({src}_fat / {src}_volume - {floor})"
+    goal, floor = f"{rich}_goal", number(lean_fraction)
+    surplus = f"{src}_volume * ({quotient(f'{src}_fat', f'{src}_volume')} - {floor})"
     return {
-        f"{rich}_volume":
-            f"IF({src}_volume = 0, 0D, TRY_DIVIDE({surplus}, {goal} - {floor}))",
+        goal: quotient(target_pct, "100D"),
+        f"{rich}_volume": quotient(surplus, f"{goal} - {floor}"),
         f"{rich}_fat": f"{rich}_volume * {goal}",
-        f"{rich}_snf":
-            f"IF({src}_volume = 0, 0D, {src}_snf * ({rich}_volume / {src}_volume))",
+        f"{rich}_snf": f"{src}_snf * {quotient(f'{rich}_volume', f'{src}_volume')}",
         f"{rich}_water": f"{rich}_volume - {rich}_fat - {rich}_snf",
         f"{lean}_volume": f"{src}_volume - {rich}_volume",
         f"{lean}_fat": f"{src}_fat - {rich}_fat",
@@ -82,7 +81,7 @@ def step_yield_split(src: str, cheese: str, whey: str, excess: str, recipe: str
     kept, solids = f"{src}_fat_kept", f"{cheese}_solids"
     surplus = f"{src}_fat - {kept}"
     return {
-        kept: f"LEAST({casein} / {dot}casein_fat_ratio, {src}_fat)",
+        kept: f"LEAST({quotient(casein, f'{dot}casein_fat_ratio')}, {src}_fat)",
         f"{excess}_volume": f"IF({surplus} > {number(EXCESS_FAT_THRESHOLD)}, {surplus}, 0D)",
         f"{excess}_fat": f"{excess}_volume",
         f"{excess}_snf": "0D",
@@ -90,7 +89,7 @@ def step_yield_split(src: str, cheese: str, whey: str, excess: str, recipe: str
         f"{cheese}_fat": f"{kept} * {dot}fat_recovery",
         f"{cheese}_snf": f"{casein} * {dot}casein_recovery",
         solids: f"{cheese}_fat + {cheese}_snf",
-        f"{cheese}_volume": f"{solids} / (1D - {dot}moisture)",
+        f"{cheese}_volume": quotient(solids, f"1D - {dot}moisture"),
         f"{cheese}_water": f"{cheese}_volume - {solids}",
         f"{whey}_fat": f"{kept} - {cheese}_fat",
         f"{whey}_snf": f"{src}_snf - {cheese}_snf",
@@ -109,10 +108,10 @@ def step_churn_split(
     fat = f"({src}_fat * {number(CHURN_FAT_RECOVERY)})"
     churned, moved = f"{src}_churned", f"{src}_moved"
     left, left_fat = f"({src}_volume - {churned})", f"({src}_fat - {fat})"
-    goal = number(WHOLE_MILK_POWDER_FAT_FRACTION)
-    lacking = f"({goal} * {left} - {left_fat}) / (1D - {goal})"
+    goal = WHOLE_MILK_POWDER_FAT_FRACTION
+    lacking = quotient(f"{number(goal)} * {left} - {left_fat}", number(1 - goal))
     return {
-        churned: f"TRY_DIVIDE({fat}, {target_pct} / 100D)",
+        churned: quotient(fat, quotient(target_pct, "100D")),
         moved: f"IF({powder_type} = 'wmp', {lacking}, 0D)",
         f"{butter}_snf": f"{churned} * {number(BUTTER_SNF_FRACTION)}",
         f"{butter}_water": f"{churned} - {fat} - {butter}_snf",
@@ -125,10 +124,14 @@ def step_churn_split(
     }
 
 
-def step_share(src: str, shares: Mapping[str, str]) -> Step:
-    """Proportional shares of a flow, one per target prefix."""
-    return {f"{target}_{m}": f"{src}_{m} * ({fraction})"
-            for target, fraction in shares.items() for m in MASSES}
+def step_share(src: str, first: str, second: str, percent: str) -> Step:
+    """Proportional shares of a flow: a percentage of it, and what that leaves."""
+    share = f"{first}_share"
+    return {
+        share: quotient(percent, "100D"),
+        **{f"{first}_{m}": f"{src}_{m} * {share}" for m in MASSES},
+        **{f"{second}_{m}": f"{src}_{m} * (1D - {share})" for m in MASSES},
+    }
 
 
 def fan_out(df: DataFrame, keep: Sequence[str], legs: Mapping[str, str]) -> DataFrame:

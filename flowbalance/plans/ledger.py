@@ -67,21 +67,17 @@ def plant(lots: DataFrame, recipes: DataFrame) -> DataFrame:
         df,
         step_masses("milk"),
         step_split_to_target("milk", "cream", "skim", "cream_fat_pct"),
-        step_share("skim", _two_way("skim_a", "skim_b", "skim_split_pct")),
+        step_share("skim", "skim_a", "skim_b", "skim_split_pct"),
         step_yield_split("skim_a", "curd_a", "whey_a", "excess_a", "recipe_a"),
         step_yield_split("skim_b", "curd_b", "whey_b", "excess_b", "recipe_b"),
         pool,
-        step_share("pool", _two_way("cream_a", "cream_b", "cream_split_pct")),
+        step_share("pool", "cream_a", "cream_b", "cream_split_pct"),
         *[step_churn_split(f"cream_{side}", f"butter_{side}", f"dried_{side}",
                            f"butter_{side}_fat_pct", f"powder_{side}")
           for side in ("a", "b")],
     )
 
 
-def _two_way(first: str, second: str, percent: str) -> dict[str, str]:
-    return {first: f"{percent} / 100D", second: f"1D - {percent} / 100D"}
-
-
 def unknown_lots(lots: DataFrame, recipes: DataFrame) -> DataFrame:
     """Lots that ``plant`` cannot process, each once."""
     missing_a = unknown_recipe(lots, recipes, "cheese_a")

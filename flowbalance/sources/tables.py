@@ -55,14 +55,14 @@ def read_lots(spark: SparkSession, path: str) -> DataFrame:
         "7.5D + l_tax * 25D AS snf_pct",
         f"{one_of(CHEESE_TYPES, 'l_partkey % 4')} AS cheese_type",
         f"{one_of(POWDER_TYPES, 'l_suppkey % 3')} AS powder_type",
-        "CAST(30 + l_partkey % 16 AS DOUBLE) AS cream_fat_pct",
-        "CAST(78 + l_suppkey % 7 AS DOUBLE) AS butter_fat_pct",
-        "CAST(l_orderkey % 21 * 5 AS DOUBLE) AS skim_split_pct",
-        "CAST(l_partkey % 21 * 5 AS DOUBLE) AS cream_split_pct",
+        "30D + l_partkey % 16 AS cream_fat_pct",
+        "78D + l_suppkey % 7 AS butter_fat_pct",
+        "l_orderkey % 21 * 5D AS skim_split_pct",
+        "l_partkey % 21 * 5D AS cream_split_pct",
         f"{one_of(CHEESE_TYPES, 'l_partkey % 4')} AS cheese_a",
         f"{one_of(CHEESE_TYPES, 'l_orderkey % 4')} AS cheese_b",
-        "CAST(78 + l_suppkey % 7 AS DOUBLE) AS butter_a_fat_pct",
-        "CAST(78 + l_partkey % 7 AS DOUBLE) AS butter_b_fat_pct",
+        "78D + l_suppkey % 7 AS butter_a_fat_pct",
+        "78D + l_partkey % 7 AS butter_b_fat_pct",
         f"{one_of(POWDER_TYPES, 'l_suppkey % 3')} AS powder_a",
         f"{one_of(POWDER_TYPES, 'l_linenumber % 3')} AS powder_b",
     )

@@ -74,11 +74,13 @@ def test_mapped_lots_never_leave_the_full_domain(spark):
 def test_usable_and_rejected_are_complementary(spark):
     lots = spark.createDataFrame([
         (1, 100.0, 4.0, 9.0), (2, math.nan, 4.0, 9.0), (3, 100.0, None, 9.0),
-        (4, math.inf, 4.0, 9.0), (5, -1.0, 4.0, 9.0), (6, 0.0, 4.0, 9.0)], LOT)
+        (4, math.inf, 4.0, 9.0), (5, -1.0, 4.0, 9.0), (6, 0.0, 4.0, 9.0),
+        (7, math.inf, -math.inf, 9.0), (8, 1.7e308, 1.7e308, 9.0)], LOT)
     assert {r.id for r in usable(lots).collect()} == {1, 6}
     reasons = {r.id: r.reject_reason for r in rejected(lots).collect()}
     assert reasons == {2: "volume is not a number", 3: "fat_pct is not a number",
-                       4: "volume is not a number", 5: "negative volume"}
+                       4: "volume is not a number", 5: "negative volume",
+                       7: "volume is not a number", 8: "beyond the range of DOUBLE"}
 
 
 def test_the_plant_rejects_on_its_settings_too(spark):

@@ -1,10 +1,13 @@
 from __future__ import annotations
 
+import re
+
 import pytest
 from conftest import TINY, by
 from pyspark.sql import functions as F
 
 from flowbalance.constants import PRODUCTS
+from flowbalance.operators.accounting import PLANT_INPUTS, pool, usable
 from flowbalance.operators.market import quotes, revenue
 from flowbalance.operators.reconcile import OUTFLOW_KINDS, mass_balance, node_balance, reconcile
 from flowbalance.plans.ledger import (
@@ -120,3 +123,20 @@ def test_audit_flag_is_strict(spark):
     inflow = spark.createDataFrame([(1, 1000.0)], "k int, mass double")
     outflow = spark.createDataFrame([(1, 999.0)], "k int, mass double")
     assert not reconcile(inflow, outflow, ["k"], ["mass"]).first().ok
+
+
+def test_compiled_methods_stay_small_enough_for_the_jvm(spark, recipes):
+    """The JVM interprets methods above 8,000 bytecodes, which made the ledger six times slower."""
+    lots = usable(read_lots(spark, TINY), PLANT_INPUTS)
+    plans = [plant_totals(plant(lots, recipes), ["site"]),
+             pool(lot_ledger(lots, recipes, ["site"]), ["from_node", "to_node", "kind"])]
+    debug = getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for plan in plans:
+            text = debug.__getattr__("MODULE$").codegenString(
+                plan._jdf.queryExecution().executedPlan())
+            sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", text)]
+            assert sizes and max(sizes) < 8000
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
