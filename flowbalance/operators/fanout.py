@@ -152,7 +152,7 @@ def _other(flows: DataFrame, *dropped: str) -> list[str]:
 def split_to_target(
     flows: DataFrame, target_pct: str | float, lean_fraction: float = LEAN_FAT_FRACTION
 ) -> DataFrame:
-    """Two rows per flow: ``cream`` at the target fat content (a number or a column) and ``skim``."""
+    """Two rows per flow: ``cream`` at the target (a number or a column) and ``skim``."""
     target = target_pct if isinstance(target_pct, str) else number(target_pct)
     wide = run_steps(_prefixed(flows, "src"),
                      step_split_to_target("src", "cream", "skim", target, lean_fraction))

@@ -128,7 +128,8 @@ def _by_interval(
         *[F.last(c, ignorenulls=True).over(so_far).alias(c) for c in columns])
     # Of changes at the same time all but the last have an empty interval and match nothing.
     f, i = stamped.alias("f"), F.broadcast(intervals.alias("i"))
-    same = reduce(and_, [F.col(f"f.{k}").eqNullSafe(F.col(f"i.{k}")) for k in (*keys, "_bucket")])
+    same = reduce(and_, [
+        F.col(f"f.{k}").eqNullSafe(F.col(f"i.{k}")) for k in (*keys, "_bucket")])
     started = F.col("i._from").isNull() | (F.col(f"f.{ts}") >= F.col("i._from"))
     not_over = F.col("i._until").isNull() | (F.col(f"f.{ts}") < F.col("i._until"))
     return f.join(i, same & started & not_over, "left").select("f.*", *[F.col(f"i.{c}") for c in columns])

@@ -6,12 +6,13 @@ decimals and revenues to four, as the last bit of ``pow`` depends on the maths l
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..constants import DEFAULT_CONFIG, PARAM_PATHS, PRODUCTS, STRESS_SCENARIOS
+from ..constants import DEFAULT_CONFIG, PARAM_PATHS, STRESS_SCENARIOS
+from ..functions.clock import hour_tick
 from ..functions.exact import exact_sum, rounded
 from ..operators.accounting import (
     PLANT_INPUTS,
@@ -293,9 +294,9 @@ def market_override(spark: SparkSession, path: str) -> DataFrame:
 _LOG_PATHS = ("separator.targetCreamFatPercent", "skimSplitPercent")
 
 
-def _asof(facts: DataFrame, changes: DataFrame, broadcast_rows: int = 0) -> DataFrame:
+def _asof(facts: DataFrame, changes: DataFrame, **options: object) -> DataFrame:
     return asof_params(facts, changes, ["site"], {p: PARAM_PATHS[p] for p in _LOG_PATHS},
-                       DEFAULT_CONFIG, broadcast_rows=broadcast_rows)
+                       DEFAULT_CONFIG, **options)
 
 
 def asof_params_by_fact(spark: SparkSession, path: str) -> DataFrame:
@@ -303,8 +304,12 @@ def asof_params_by_fact(spark: SparkSession, path: str) -> DataFrame:
 
 
 def asof_params_small_log(spark: SparkSession, path: str) -> DataFrame:
-    """The same, broadcasting the states if a count finds them small enough."""
-    return _asof(read_facts(spark, path), read_param_changes(spark, path), broadcast_rows=100_000)
+    """The same, broadcasting the states if a count finds them small enough.
+
+    Hours instead of minutes keep the states few, as there is one more per touched bucket.
+    """
+    return _asof(read_facts(spark, path), read_param_changes(spark, path), bucket=hour_tick,
+                 broadcast_rows=100_000)
 
 
 # ---- scenarios
@@ -320,7 +325,8 @@ def _sweep(spark: SparkSession, path: str) -> DataFrame:
 
 def scenario_override(spark: SparkSession, path: str) -> DataFrame:
     """The configurations in effect, summed per scenario, cheese and powder."""
-    return _scenario_lots(spark, path).groupBy("scenario_id", "scenario", "cheese_a", "powder_a").agg(
+    groups = ["scenario_id", "scenario", "cheese_a", "powder_a"]
+    return _scenario_lots(spark, path).groupBy(*groups).agg(
         F.count(F.lit(1)).alias("n_lots"),
         *[exact_sum(c).alias(c) for c in (
             "volume", "fat_pct", "snf_pct", "cream_fat_pct", "skim_split_pct", "cream_split_pct",

@@ -121,7 +121,8 @@ def plant_totals(wide: DataFrame, keys: Sequence[str]) -> DataFrame:
     volumes = []
     for name in PRODUCTS:
         parts = [
-            f"{prefix}_volume" if product == name else f"IF({product} = '{name}', {prefix}_volume, 0D)"
+            f"{prefix}_volume" if product == name
+            else f"IF({product} = '{name}', {prefix}_volume, 0D)"
             for prefix, product in sold if product == name or name in _NAMED_BY.get(product, ())]
         volumes.append(exact_sum(*parts).alias(name))
     sides = [exact_sum(f"milk_{c}").alias(f"in_{c}") for c in COMPONENTS]
