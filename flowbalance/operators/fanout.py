@@ -52,13 +52,13 @@ def step_split_to_target(
 ) -> Step:
     """Split so that ``rich`` has the target fat content and ``lean`` the given fat fraction.
 
-    A flow without volume gives two empty flows. A target equal to the lean fraction cannot be
-    met; ``rich`` is then empty and everything stays in ``lean``, whose water closes the volume.
+    A flow without volume gives two empty flows. A target that is missing or equal to the lean
+    fraction cannot be met; ``rich`` is then empty and everything stays in ``lean``.
     """
     goal, floor = f"{rich}_goal", number(lean_fraction)
     surplus = f"{src}_volume * ({quotient(f'{src}_fat', f'{src}_volume')} - {floor})"
     return {
-        goal: quotient(target_pct, "100D"),
+        goal: f"COALESCE({target_pct} / 100D, {floor})",
         f"{rich}_volume": quotient(surplus, f"{goal} - {floor}"),
         f"{rich}_fat": f"{rich}_volume * {goal}",
         f"{rich}_snf": f"{src}_snf * {quotient(f'{rich}_volume', f'{src}_volume')}",

@@ -73,14 +73,16 @@ def scenario_grid(
 
 
 def evaluate_scenarios(
-    configs: DataFrame, recipes: DataFrame, market: DataFrame, keys: Sequence[str]
+    configs: DataFrame, recipes: DataFrame, market: DataFrame, keys: Sequence[str],
+    check: bool = True,
 ) -> DataFrame:
     """Production, price and revenue per key and product, with the residuals of the key.
 
-    Everything up to the one aggregate is narrow.
+    Everything up to the one aggregate is narrow. Unusable configurations are left out as in
+    ``plant``; where the rows were filtered before they were multiplied, ``check=False`` saves it.
     """
     residuals = [f"residual_{c}" for c in COMPONENTS]
-    totals = plant_totals(plant(configs, recipes), keys).selectExpr(
+    totals = plant_totals(plant(configs, recipes, check), keys).selectExpr(
         "*", *[f"in_{c} - out_{c} AS residual_{c}" for c in COMPONENTS])
     return elastic_price(to_long(totals, [*keys, *residuals], PRODUCTS), market)
 

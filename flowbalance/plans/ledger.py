@@ -20,6 +20,7 @@ from ..constants import (
 )
 from ..functions.composition import fan, flow_struct
 from ..functions.exact import exact_sum
+from ..operators.accounting import PLANT_INPUTS, usable
 from ..operators.fanout import (
     run_steps,
     step_churn_split,
@@ -55,12 +56,14 @@ _NAMED_BY = {"cheese_a": CHEESE_TYPES, "cheese_b": CHEESE_TYPES,
              "powder_a": POWDER_TYPES, "powder_b": POWDER_TYPES}
 
 
-def plant(lots: DataFrame, recipes: DataFrame) -> DataFrame:
+def plant(lots: DataFrame, recipes: DataFrame, check: bool = True) -> DataFrame:
     """One wide row per lot with all flows of the plant.
 
-    Lots whose cheese types have no recipe are in ``unknown_lots``.
+    Lots with unusable settings are in ``rejected(lots, PLANT_INPUTS)``, lots whose cheese types
+    have no recipe in ``unknown_lots``. ``check=False`` is for lots that were filtered before.
     """
-    df = with_recipe(lots, recipes, "cheese_a", "recipe_a")
+    known = usable(lots, PLANT_INPUTS) if check else lots
+    df = with_recipe(known, recipes, "cheese_a", "recipe_a")
     df = with_recipe(df, recipes, "cheese_b", "recipe_b")
     pool = {f"pool_{m}": f"cream_{m} + excess_a_{m} + excess_b_{m}" for m in MASSES}
     return run_steps(

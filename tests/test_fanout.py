@@ -48,9 +48,10 @@ def test_split_of_nothing_and_of_an_impossible_target(spark):
     flows = spark.createDataFrame([(1, 0.0, 0.0, 0.0, 0.0)], FLOW)
     assert all(masses(r) == [0, 0, 0, 0] for r in split_to_target(flows, 40.0).collect())
     one = spark.createDataFrame([(1, 100.0, 4.0, 9.0, 87.0)], FLOW)
-    rows = by(split_to_target(one, 0.1), "kind")
-    assert masses(rows["cream"]) == [0, 0, 0, 0]
-    assert masses(rows["skim"]) == [100.0, 4.0, 9.0, 87.0]
+    for target in (0.1, "CAST(NULL AS DOUBLE)"):
+        rows = by(split_to_target(one, target), "kind")
+        assert masses(rows["cream"]) == [0, 0, 0, 0]
+        assert masses(rows["skim"]) == [100.0, 4.0, 9.0, 87.0]
 
 
 def test_yield_of_whole_milk_by_recipe(spark, milk, recipes):

@@ -7,7 +7,7 @@ from conftest import TINY, by
 from pyspark.sql import functions as F
 
 from flowbalance.constants import PRODUCTS
-from flowbalance.operators.accounting import PLANT_INPUTS, pool, usable
+from flowbalance.operators.accounting import PLANT_INPUTS, pool, rejected
 from flowbalance.operators.market import quotes, revenue
 from flowbalance.operators.reconcile import OUTFLOW_KINDS, mass_balance, node_balance, reconcile
 from flowbalance.plans.ledger import (
@@ -109,6 +109,14 @@ def test_unknown_types_go_to_the_rejects(spark, default_row, recipes):
     assert sorted(r.id for r in unknown_lots(rows, recipes).collect()) == [1, 2, 3]
 
 
+def test_unusable_settings_go_to_the_rejects(spark, default_row, recipes):
+    rows = default_row.withColumn("id", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))).withColumns({
+        "skim_split_pct": F.when(F.col("id") != 1, F.col("skim_split_pct")),
+        "fat_pct": F.when(F.col("id") == 2, float("nan")).otherwise(F.col("fat_pct"))})
+    assert [r.id for r in plant(rows, recipes).collect()] == [0]
+    assert sorted(r.id for r in rejected(rows, PLANT_INPUTS).collect()) == [1, 2]
+
+
 def test_reconcile_keeps_keys_of_one_side(spark):
     inflow = spark.createDataFrame([(1, 100.0), (1, 50.0), (2, 10.0)], "k int, mass double")
     outflow = spark.createDataFrame([(1, 149.9), (3, 5.0)], "k int, mass double")
@@ -127,7 +135,7 @@ def test_audit_flag_is_strict(spark):
 
 def test_compiled_methods_stay_small_enough_for_the_jvm(spark, recipes):
     """The JVM interprets methods above 8,000 bytecodes, which made the ledger six times slower."""
-    lots = usable(read_lots(spark, TINY), PLANT_INPUTS)
+    lots = read_lots(spark, TINY)
     plans = [plant_totals(plant(lots, recipes), ["site"]),
              pool(lot_ledger(lots, recipes, ["site"]), ["from_node", "to_node", "kind"])]
     debug = getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$")
