@@ -2,7 +2,7 @@
 
 A ledger must add up to the same number on every run, whatever the partitioning and however often
 a lost executor's tasks are repeated. ``sum(double)`` does not promise that, and
-``sum(decimal(18,6))`` does but measured about forty times slower, as its buffer is a BigDecimal.
+``sum(decimal(18,6))`` does but measured about thirty times slower, as its buffer is a BigDecimal.
 Here each value is rounded once to micro units (1e-6) and added as two BIGINTs, which stay in the
 code-generated hash aggregate and combine map-side like any other sum.
 

@@ -134,7 +134,7 @@ def test_audit_flag_is_strict(spark):
 
 
 def test_compiled_methods_stay_small_enough_for_the_jvm(spark, recipes):
-    """The JVM interprets methods above 8,000 bytecodes, which made the ledger six times slower."""
+    """The JVM interprets methods above 8,000 bytecodes, which made the ledger four times slower."""
     lots = read_lots(spark, TINY)
     plans = [plant_totals(plant(lots, recipes), ["site"]),
              pool(lot_ledger(lots, recipes, ["site"]), ["from_node", "to_node", "kind"])]
