@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from flowbalance.llm.common import table
 from flowbalance.llm.op3_urls import RULES, judge_urls
+from flowbalance.llm.op6_mix import mix
 from flowbalance.llm.op10_exact import exact_groups
 
 
@@ -15,12 +16,17 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), RULES)
 
 
+def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"), weights=[3, 1, 2], share=(3, 2), most=2)
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_url_filter": op3_url_filter,
+    "op6_mix_sources": op6_mix_sources,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
