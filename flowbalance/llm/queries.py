@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from flowbalance.llm.common import table
 from flowbalance.llm.op3_urls import RULES, judge_urls
 from flowbalance.llm.op6_mix import mix
+from flowbalance.llm.op9_pack import pack
 from flowbalance.llm.op10_exact import exact_groups
 
 
@@ -20,6 +22,11 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"), weights=[3, 1, 2], share=(3, 2), most=2)
 
 
+def op9_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path
+    return pack(table(spark, sf_dir, "documents"), path("byte_bpe_50k.json"), path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
@@ -27,6 +34,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_url_filter": op3_url_filter,
     "op6_mix_sources": op6_mix_sources,
+    "op9_pack_sequences": op9_pack_sequences,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
