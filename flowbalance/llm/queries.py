@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from flowbalance.llm.common import table
 from flowbalance.llm.op3_urls import RULES, judge_urls
+from flowbalance.llm.op5_language import identify, learn
 from flowbalance.llm.op6_mix import mix
 from flowbalance.llm.op9_pack import pack
 from flowbalance.llm.op10_exact import exact_groups
@@ -18,6 +20,16 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), RULES)
 
 
+def identified(docs: DataFrame) -> DataFrame:
+    """Language of each document by a model of the labelled three quarters."""
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    return identify(docs, *learn(docs.where(~held_out))).select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identified(table(spark, sf_dir, "documents"))
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"), weights=[3, 1, 2], share=(3, 2), most=2)
 
@@ -33,6 +45,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_url_filter": op3_url_filter,
+    "op5_language_id": op5_language_id,
     "op6_mix_sources": op6_mix_sources,
     "op9_pack_sequences": op9_pack_sequences,
     "op10_exact_dedup": op10_exact_dedup,
