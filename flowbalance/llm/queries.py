@@ -12,6 +12,7 @@ from flowbalance.llm.common import table
 from flowbalance.llm.op3_urls import RULES, judge_urls
 from flowbalance.llm.op5_language import identify, learn
 from flowbalance.llm.op6_mix import mix
+from flowbalance.llm.op7_quality import fit, score
 from flowbalance.llm.op9_pack import pack
 from flowbalance.llm.op10_exact import exact_groups
 
@@ -34,6 +35,13 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"), weights=[3, 1, 2], share=(3, 2), most=2)
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    model = fit(docs.where(~held_out), labels.where(~held_out).select("doc_id", F.col("quality").alias("label")))
+    return score(docs, model).select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op9_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path
     return pack(table(spark, sf_dir, "documents"), path("byte_bpe_50k.json"), path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -47,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_url_filter": op3_url_filter,
     "op5_language_id": op5_language_id,
     "op6_mix_sources": op6_mix_sources,
+    "op7_quality": op7_quality,
     "op9_pack_sequences": op9_pack_sequences,
     "op10_exact_dedup": op10_exact_dedup,
 }
