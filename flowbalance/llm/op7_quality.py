@@ -1,6 +1,6 @@
 """Quality classifier: supervised subword embeddings.
 
-Words and byte 3- and 4-grams are hashed into buckets, each bucket has a learned vector, and a document
+Words, byte 3- and 4-grams and whether a word repeats the one before it are hashed into buckets, each bucket has a learned vector, and a document
 is the average of its vectors, followed by softmax over two classes; numpy stochastic gradient descent
 learns both layers. As nothing but sums lies between the average and the softmax, scoring needs only
 one number a bucket, the vector's projection on the difference of the classes: results are the same.
@@ -30,10 +30,17 @@ SAMPLE, BUCKETS, WIDTH, GRAMS = 4096, 1 << 16, 16, (3, 4)
 
 
 def _features(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(bucket of each feature, features before each text and in all), kind by kind; bucket 0 is the end."""
+    """(bucket of each feature, features before each text and in all), kind by kind.
+
+    Buckets 0 to 2 are the end, a word that repeats the one before it, and one that doesn't.
+    """
     yield np.zeros(len(offsets) - 1, np.int64), np.arange(len(offsets))
     words, first = word_hashes(data, offsets)
-    yield (words % np.uint64(BUCKETS - 1)).astype(np.int64) + 1, first
+    yield (words % np.uint64(BUCKETS - 3)).astype(np.int64) + 3, first
+    follows = np.ones(len(words), bool)
+    follows[first[:-1][np.diff(first) > 0]] = False
+    at = np.flatnonzero(follows)
+    yield np.where(words[at] == words[at - 1], 1, 2), np.searchsorted(at, first)
     start = np.repeat(offsets[:-1], np.diff(offsets))
     for n in GRAMS:
         h = np.full(max(len(data) - n + 1, 0), n, np.uint32)
@@ -42,7 +49,7 @@ def _features(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarra
         h ^= h >> np.uint32(15)
         inside = np.arange(n - 1, n - 1 + len(h)) - start[n - 1:] >= n - 1
         before = np.concatenate(([0], np.cumsum(np.bincount(np.searchsorted(offsets, np.arange(n - 1, len(data))[inside], side="right") - 1, minlength=len(offsets) - 1))))
-        yield (h[inside] % np.uint32(BUCKETS - 1)).astype(np.int64) + 1, before
+        yield (h[inside] % np.uint32(BUCKETS - 3)).astype(np.int64) + 3, before
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
