@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 from flowbalance.llm.common import table
 from flowbalance.llm.op1_nearest import nearest
 from flowbalance.llm.op3_urls import RULES, judge_urls
+from flowbalance.llm.op4_minhash import near_groups
 from flowbalance.llm.op5_language import identify, learn
 from flowbalance.llm.op6_mix import mix
 from flowbalance.llm.op7_quality import fit, score
+from flowbalance.llm.op8_private import replace_private
 from flowbalance.llm.op9_pack import pack
 from flowbalance.llm.op10_exact import exact_groups
 
@@ -26,6 +28,10 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), RULES)
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(table(spark, sf_dir, "documents"), width=4)
+
+
 def identified(docs: DataFrame) -> DataFrame:
     """Language of each document by a model of the labelled three quarters."""
     held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
@@ -47,6 +53,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, model).select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op8_private(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replace_private(table(spark, sf_dir, "documents"), key="surrogates")
+
+
 def op9_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path
     return pack(table(spark, sf_dir, "documents"), path("byte_bpe_50k.json"), path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -59,9 +69,11 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_nearest": op1_nearest,
     "op3_url_filter": op3_url_filter,
+    "op4_near_dedup": op4_near_dedup,
     "op5_language_id": op5_language_id,
     "op6_mix_sources": op6_mix_sources,
     "op7_quality": op7_quality,
+    "op8_private": op8_private,
     "op9_pack_sequences": op9_pack_sequences,
     "op10_exact_dedup": op10_exact_dedup,
 }
