@@ -33,6 +33,8 @@ from flowbalance.llm.common import cut
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 LONG_WORD = 4096
+#: Tasks of a packing round; a task takes its groups one after the other.
+MOST_TASKS = 4000
 
 
 @cache
@@ -116,47 +118,55 @@ def _parts(members: list[int], lengths: np.ndarray) -> dict[int, tuple[int, ...]
     return {n: m for n, m in out.items() if n not in one} | {n: (i,) for n, i in one.items()}
 
 
-def local_search(bins: list[list[int]], lengths: np.ndarray, most: int, moves: int = 20_000) -> list[list[int]]:
-    """Exchanges between underfull bins while any makes the sum of squared fills larger, at most ``moves``."""
-    full = [b for b in bins if lengths[b].sum() == most]
-    open_bins = [b for b in bins if lengths[b].sum() < most]
+def local_search(bins: list[list[int]], lengths: np.ndarray, most: int, passes: int = 3) -> list[list[int]]:
+    """Exchanges between underfull bins, each of which makes the sum of squared fills larger.
 
-    def options(b: list[int]) -> tuple[np.ndarray, np.ndarray]:
-        parts = _parts(b, lengths)
-        return np.array([0, *parts], np.int64), np.array([0, *(len(m) for m in parts.values())], np.int64)
-
-    opts = [options(b) for b in open_bins]
-    fills = np.array([lengths[b].sum() for b in open_bins], np.int64)
-    stuck: set[int] = set()
-    while moves > 0 and len(live := [k for k in range(len(open_bins)) if 0 < fills[k] < most]) > 1:
-        donors = [k for k in live if k not in stuck]
-        if not donors:
+    A pass takes the bins from the emptiest on as givers, each until no exchange improves; it ends the
+    search if it changed nothing, and so does the last of ``passes``.
+    """
+    fills = np.array([lengths[b].sum() for b in bins], np.int64)
+    full = [b for b, f in zip(bins, fills, strict=True) if f == most]
+    bins = [b for b, f in zip(bins, fills, strict=True) if f < most]
+    fills = fills[fills < most]
+    parts = [_parts(b, lengths) for b in bins]
+
+    def options(k: int) -> np.ndarray:
+        """Rows of sum, documents and bin: nothing, one or two documents to give back."""
+        return np.array([(0, 0, k), *((n, len(m), k) for n, m in parts[k].items())], np.int32).T
+
+    table = np.concatenate([options(k) for k in range(len(bins))], axis=1) if bins else np.zeros((3, 0), np.int32)
+    for _ in range(passes):
+        moved = False
+        for a in np.argsort(fills, kind="stable").tolist():
+            while 0 < fills[a] < most:
+                size, many, owner = table
+                fill = fills[owner]
+                best = (0, 0, 0)
+                for give, members in parts[a].items():
+                    d = give - size
+                    good = np.flatnonzero((d > 0) & (d + fill <= most) & (d + fill > fills[a]) & (owner != a) & (many <= (2 if len(members) == 1 else 1)))
+                    if len(members) == 2:
+                        good = good[many[good] == 1]
+                    if len(good):
+                        gain = d[good] * (fill[good] - fills[a] + d[good])
+                        at = int(gain.argmax())
+                        best = max(best, (int(gain[at]), give, int(good[at])))
+                if not best[0]:
+                    break
+                _, give, at = best
+                b, go = int(owner[at]), list(parts[a][give])
+                back = list(parts[b][int(size[at])]) if many[at] else []
+                bins[a] = [x for x in bins[a] if x not in go] + back
+                bins[b] = [x for x in bins[b] if x not in back] + go
+                table = table[:, (owner != a) & (owner != b)]
+                for k in (a, b):
+                    parts[k], fills[k] = _parts(bins[k], lengths), lengths[bins[k]].sum()
+                    if 0 < fills[k] < most:
+                        table = np.concatenate((table, options(k)), axis=1)
+                moved = True
+        if not moved:
             break
-        a = min(donors, key=lambda k: fills[k])
-        others = [k for k in live if k != a]
-        sizes = np.concatenate([opts[k][0] for k in others])
-        counts = np.concatenate([opts[k][1] for k in others])
-        owner = np.repeat(others, [len(opts[k][0]) for k in others])
-        give, many = opts[a]
-        d = give[:, None] - sizes[None, :]
-        gain = d * (fills[owner][None, :] - fills[a] + d)
-        kind = many[:, None] * 3 + counts[None, :]  # 1 for 0, 1 for 1, 1 for 2, 2 for 1
-        gain = np.where((d > 0) & (d <= (most - fills[owner])[None, :]) & np.isin(kind, (3, 4, 5, 7)), gain, 0)
-        at = int(gain.argmax())
-        if gain.flat[at] <= 0:
-            stuck.add(a)
-            continue
-        i, j = divmod(at, gain.shape[1])
-        b = int(owner[j])
-        go = list(_parts(open_bins[a], lengths)[int(give[i])])
-        back = list(_parts(open_bins[b], lengths)[int(sizes[j])]) if counts[j] else []
-        open_bins[a] = [x for x in open_bins[a] if x not in go] + back
-        open_bins[b] = [x for x in open_bins[b] if x not in back] + go
-        for k in (a, b):
-            opts[k], fills[k] = options(open_bins[k]), lengths[open_bins[k]].sum()
-        stuck.clear()
-        moves -= 1
-    return full + [b for b in open_bins if b]
+    return full + [b for b in bins if b]
 
 
 def _round(most: int, first: bool):
@@ -199,7 +209,7 @@ def pack(docs: DataFrame, vocabulary: str, ranks: str, pattern: str, end_id: int
         if n == 0:
             break
         dealt = F.pmod(F.xxhash64(unit, F.lit(k)), F.lit(-(-n // group)))
-        left = cut(left.withColumn("deal", dealt).groupBy("deal").applyInArrow(_round(most, k == 0), schema))
+        left = cut(left.withColumn("deal", dealt).repartition(min(-(-n // group), MOST_TASKS), "deal").groupBy("deal").applyInArrow(_round(most, k == 0), schema))
         placed.append(left.where(F.col("fill") == most).drop("fill"))
         last, left = left.drop("fill"), left.where(F.col("fill") < most)
         if n <= group or k == rounds - 1:
