@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from flowbalance.llm.common import LOWER, UPPER, blocks, cut, utf8
 
@@ -147,7 +148,8 @@ def _judge(shared, buckets: int):
         names = np.array([*langs, "und"], object)
         for batch in batches:
             pred, score = np.full(batch.num_rows, len(langs)), np.zeros(batch.num_rows)
-            for lo, hi, data, offsets in blocks(batch["body"], 512 << 10):
+            text = batch["row"].field("text").cast(pa.binary()).fill_null(b"")
+            for lo, hi, data, offsets in blocks(text, 512 << 10):
                 if not langs or not len(data):
                     continue
                 grams, word, begin = _grams(data, offsets, buckets)
@@ -167,14 +169,15 @@ def _judge(shared, buckets: int):
                 pred[lo + full], score[lo + full] = pi.argmax(axis=1), np.minimum(pi.max(axis=1), 1)
             wordless = ~np.array(batch["lettered"].to_pylist(), bool)
             pred[wordless], score[wordless] = len(langs), 0
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(names[pred], pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([batch["row"], pa.array(names[pred], pa.string()), pa.array(score)], names=["row", "lang_pred", "score"])
 
     return rows
 
 
 def identify(docs: DataFrame, langs: list[str], model: np.ndarray, buckets: int = BUCKETS) -> DataFrame:
-    """Per row of ``docs(doc_id, text)``: doc_id, lang_pred, score."""
+    """Per row of ``docs``, which has a text: the row as a struct, lang_pred, score."""
     shared = docs.sparkSession.sparkContext.broadcast((langs, model))
-    lettered = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("lettered")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), lettered, utf8().alias("body"))
-    return rows.mapInArrow(_judge(shared, buckets), "doc_id long, lang_pred string, score double")
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    rows = docs.select(row, F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("lettered"))
+    schema = T.StructType([rows.schema["row"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return rows.mapInArrow(_judge(shared, buckets), schema)

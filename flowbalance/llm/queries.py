@@ -8,8 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpus_pipeline import run as pipeline
 from flowbalance.llm.common import table
 from flowbalance.llm.op1_nearest import nearest
+from flowbalance.llm.op2_suffix import remove_repeats
 from flowbalance.llm.op3_urls import RULES, judge_urls
 from flowbalance.llm.op4_minhash import near_groups
 from flowbalance.llm.op5_language import identify, learn
@@ -24,6 +26,10 @@ def op1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), RULES)
 
@@ -32,14 +38,11 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"), width=4)
 
 
-def identified(docs: DataFrame) -> DataFrame:
-    """Language of each document by a model of the labelled three quarters."""
-    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
-    return identify(docs, *learn(docs.where(~held_out))).select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score")
-
-
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return identified(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    found = identify(docs.select("doc_id", "text"), *learn(docs.where(~held_out)))
+    return found.select("row.doc_id", "lang_pred", "score").withColumn("held_out", F.coalesce(held_out, F.lit(False)))
 
 
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,7 +70,9 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "pipeline": pipeline,
     "op1_nearest": op1_nearest,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_url_filter": op3_url_filter,
     "op4_near_dedup": op4_near_dedup,
     "op5_language_id": op5_language_id,
