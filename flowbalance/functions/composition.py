@@ -20,6 +20,11 @@ def number(x: float) -> str:
     return f"{float(x)!r}D"
 
 
+def quoted(name: str) -> str:
+    """A column name as SQL, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def quotient(part: str, whole: str) -> str:
     """``part / whole``, 0 where the divisor is 0 or a side is missing.
 

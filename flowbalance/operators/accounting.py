@@ -9,40 +9,66 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import CLOSURE_TOLERANCE, COMPONENTS, MASSES, MEMBERS, PRODUCTS, RANGES
-from ..functions.composition import closure_gap, fan, number, percent_of
-from ..functions.exact import exact_sum
-
+from ..functions.composition import closure_gap, fan, number, percent_of, quoted
+from ..functions.exact import exact_sum, most
+from ..sources.dims import sql_literal
 
 MILK_INPUTS = ("volume", "fat_pct", "snf_pct")
 PLANT_INPUTS = tuple(RANGES)
-
-
-def _all_finite(inputs: Sequence[str]) -> str:
-    """True when every input is a number: their sum is NaN, infinite or NULL otherwise."""
-    return f"ABS({' + '.join(inputs)}) < DOUBLE('Infinity')"
-
-
-def reject_reason(inputs: Sequence[str] = MILK_INPUTS) -> str:
+#: What a plant can have, and what sums can hold: (least, most) of each input.
+BOUNDS = {
+    "volume": (0.0, most() / 1000),
+    "fat_pct": (0.0, 100.0),
+    "snf_pct": (0.0, 100.0),
+    "cream_fat_pct": (1.0, 100.0),
+    "skim_split_pct": (0.0, 100.0),
+    "cream_split_pct": (0.0, 100.0),
+    "butter_a_fat_pct": (1.0, 100.0),
+    "butter_b_fat_pct": (1.0, 100.0),
+}
+
+
+def _solids(inputs: Sequence[str]) -> str | None:
+    """Fat and the other solids together, where both are inputs: at most all of the milk."""
+    return "fat_pct + snf_pct" if {"fat_pct", "snf_pct"} <= set(inputs) else None
+
+
+def reject_reason(
+    inputs: Sequence[str] = MILK_INPUTS, bounds: Mapping[str, tuple[float, float]] = BOUNDS
+) -> str:
     """Why a lot cannot enter the ledger, NULL when it can. Zero volume is fine, NaN is not."""
     checks = [
         f"WHEN {c} IS NULL OR ISNAN({c}) OR ABS({c}) = DOUBLE('Infinity') "
         f"THEN '{c} is not a number'" for c in inputs]
-    return (f"CASE {' '.join(checks)} WHEN volume < 0 THEN 'negative volume' "
-            f"WHEN NOT ({_all_finite(inputs)}) THEN 'beyond the range of DOUBLE' END")
+    checks += [f"WHEN {c} < {number(bounds[c][0])} THEN '{c} is too low' "
+               f"WHEN {c} > {number(bounds[c][1])} THEN '{c} is too high'"
+               for c in inputs if c in bounds]
+    if (solids := _solids(inputs)) is not None:
+        checks.append(f"WHEN {solids} > 100D THEN 'more solids than milk'")
+    return f"CASE {' '.join(checks)} END"
 
 
-def usable(lots: DataFrame, inputs: Sequence[str] = MILK_INPUTS) -> DataFrame:
-    """Lots whose ``inputs`` are numbers; for the whole ledger these are ``PLANT_INPUTS``.
+def usable(
+    lots: DataFrame, inputs: Sequence[str] = MILK_INPUTS,
+    bounds: Mapping[str, tuple[float, float]] = BOUNDS,
+) -> DataFrame:
+    """Lots whose ``inputs`` are numbers within ``bounds``; for the whole ledger ``PLANT_INPUTS``.
 
-    The complement of ``reject_reason`` in short, as the filter shares its compiled method with
-    the ledger behind it.
+    The complement of ``reject_reason``: NaN is above any bound and NULL is not within any.
     """
-    return lots.where(f"volume >= 0 AND {_all_finite(inputs)}")
+    within = [f"{c} >= {number(bounds[c][0])} AND {c} <= {number(bounds[c][1])}" if c in bounds
+              else f"ABS({c}) < DOUBLE('Infinity')" for c in inputs]
+    if (solids := _solids(inputs)) is not None:
+        within.append(f"{solids} <= 100D")
+    return lots.where(" AND ".join(within))
 
 
-def rejected(lots: DataFrame, inputs: Sequence[str] = MILK_INPUTS) -> DataFrame:
+def rejected(
+    lots: DataFrame, inputs: Sequence[str] = MILK_INPUTS,
+    bounds: Mapping[str, tuple[float, float]] = BOUNDS,
+) -> DataFrame:
     """The other side of ``usable``: nothing is dropped without being listed here."""
-    return lots.selectExpr("*", f"{reject_reason(inputs)} AS reject_reason").where(
+    return lots.selectExpr("*", f"{reject_reason(inputs, bounds)} AS reject_reason").where(
         "reject_reason IS NOT NULL")
 
 
@@ -131,14 +157,21 @@ def to_wide(
     Conditional sums over an explicit list take one shuffle; ``pivot`` would take two.
     """
     return supply.groupBy(*keys).agg(*[
-        exact_sum("volume", where=f"product = '{p}'").alias(p) for p in products])
+        exact_sum("volume", where=f"product = {sql_literal(p)}").alias(p) for p in products])
+
+
+def unknown_product(supply: DataFrame, products: Sequence[str] = PRODUCTS) -> DataFrame:
+    """Supply of products outside the list, a missing product included: what ``to_wide`` and
+    ``densify`` have no column for."""
+    listed = ", ".join(sql_literal(p) for p in products)
+    return supply.where(f"product IS NULL OR product NOT IN ({listed})")
 
 
 def to_long(
     wide: DataFrame, keys: Sequence[str], products: Sequence[str] = PRODUCTS
 ) -> DataFrame:
     return wide.selectExpr(*keys, fan([
-        f"STRUCT({i} AS product_ord, '{p}' AS product, {p} AS volume)"
+        f"STRUCT({i} AS product_ord, {sql_literal(p)} AS product, {quoted(p)} AS volume)"
         for i, p in enumerate(products)]))
 
 

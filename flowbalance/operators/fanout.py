@@ -181,7 +181,7 @@ def churn_split(
 def checked_allocations(allocations: DataFrame) -> DataFrame:
     """The routing table with a verdict per source node.
 
-    ``valid`` is false when a fraction lies outside 0..1 or the fractions do not add up to 1.
+    ``valid`` is false when a fraction is missing or lies outside 0..1 or the fractions do not add up to 1.
     ``share`` is the fraction, except that the last target takes one minus the others.
     """
     node = Window.partitionBy("from_node")
@@ -189,7 +189,7 @@ def checked_allocations(allocations: DataFrame) -> DataFrame:
     before = F.sum("fraction").over(in_order.rowsBetween(Window.unboundedPreceding, -1))
     is_last = F.lead("ord").over(in_order).isNull()
     return allocations.withColumns({
-        "valid": F.bool_and(F.col("fraction").between(0.0, 1.0)).over(node)
+        "valid": F.bool_and(F.coalesce(F.col("fraction").between(0.0, 1.0), F.lit(False))).over(node)
         & (F.abs(F.sum("fraction").over(node) - 1.0) < 1e-9),
         "share": F.when(is_last, F.lit(1.0) - F.coalesce(before, F.lit(0.0)))
         .otherwise(F.col("fraction")),

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..constants import POWDER_TYPES
+from ..sources.dims import sql_literal
+
 RECIPE_COLUMNS = ("moisture", "fat_recovery", "casein_fat_ratio", "casein_recovery")
 
 
@@ -23,3 +28,11 @@ def unknown_recipe(
 ) -> DataFrame:
     """Rows whose type has no recipe, the missing type included."""
     return flows.join(recipes.select(F.col("cheese_type").alias(key)), key, "left_anti")
+
+
+def unknown_powder(
+    flows: DataFrame, key: str = "powder_type", powders: Sequence[str] = POWDER_TYPES
+) -> DataFrame:
+    """Rows whose powder is not on the list, the missing powder included."""
+    listed = ", ".join(sql_literal(p) for p in powders)
+    return flows.where(f"NOT COALESCE({key} IN ({listed}), FALSE)")

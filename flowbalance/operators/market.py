@@ -17,11 +17,19 @@ MARKET_FIELDS = ("base_price", "demand", "elasticity")
 
 
 def with_market(supply: DataFrame, market: DataFrame) -> DataFrame:
-    """Add the market parameters of each product. ``supply`` is dense, so the market's products
-    are all there."""
+    """Add the market parameters of each product.
+
+    On dense supply every product of the market is there; ``quotes`` makes it dense. Products that
+    the market does not know are in ``unmarketed``.
+    """
     return supply.join(market.select("product", *MARKET_FIELDS), "product")
 
 
+def unmarketed(supply: DataFrame, market: DataFrame) -> DataFrame:
+    """Supply of products that the market does not know, a missing product included."""
+    return supply.join(market.select("product"), "product", "left_anti")
+
+
 def priced(rows: DataFrame) -> DataFrame:
     """``price`` and ``revenue`` of rows that carry their market parameters."""
     return rows.selectExpr(
@@ -71,9 +79,14 @@ def rank_revenue(quotes: DataFrame, keys: Sequence[str], k: int | None = None) -
     return ranked if k is None else ranked.filter(F.col("rank") <= k)
 
 
-def sort_revenue(quotes: DataFrame, limit: int | None = None) -> DataFrame:
-    """Global order by revenue. With a limit each task keeps its best rows only."""
-    ordered = quotes.orderBy(F.desc("revenue"), F.asc("product_ord"))
+def sort_revenue(
+    quotes: DataFrame, limit: int | None = None, keys: Sequence[str] = ()
+) -> DataFrame:
+    """Producing rows in global order of revenue; product order, then ``keys`` break ties.
+
+    With a limit each task keeps its best rows only.
+    """
+    ordered = producing(quotes).orderBy(F.desc("revenue"), F.asc("product_ord"), *keys)
     return ordered if limit is None else ordered.limit(limit)
 
 

@@ -47,6 +47,11 @@ def override_market(
         for c in supply_with_market.columns])
 
 
+def untimed(changes: DataFrame, ts: str = "ts") -> DataFrame:
+    """Changes without a time, which can't be in effect at any; ``asof_params`` leaves them out."""
+    return changes.where(F.col(ts).isNull())
+
+
 def asof_params(
     facts: DataFrame,
     changes: DataFrame,
@@ -57,50 +62,42 @@ def asof_params(
     fact_id: str = "fact_id",
     change_id: str = "change_id",
     bucket: Callable[[str], str] = minute_tick,
+    era: int = 1440,
     salts: int = 1,
-    broadcast_rows: int = 0,
 ) -> DataFrame:
     """Add to each fact the latest value of every path at its time, or the default.
 
     ``changes`` is a sparse log (``path``, ``value``); a change at the time of a fact counts, and
-    of changes at the same time the one with the higher id.
-
-    A key may hold any share of the facts and changes, so no window spans a key. Time is cut into
-    buckets (``bucket``, an expression over ``ts``), narrow enough that one key's rows of a bucket
-    fit a task. What is in effect when a bucket opens follows from the closing values of the
-    earlier buckets, a thin table with one row per key and touched bucket, and enters the bucket
-    as one more change. Where facts crowd in one bucket and changes are few, ``salts`` spreads
-    the facts of a bucket over that many groups and copies its changes to each.
-
-    With ``broadcast_rows`` the states of all buckets are counted, and if there are no more than
-    that they are broadcast and the facts are not shuffled at all. This runs a job at call time.
+    of changes at the same time the one with the higher id. A fact without a time gets the
+    defaults; a change without a time is in ``untimed``.
+
+    A key may hold any share of the facts and changes, so no window over facts or changes spans a
+    key. Time is cut into buckets (``bucket``, an expression over ``ts``), narrow enough that one
+    key's rows of a bucket fit a task, and buckets into eras of ``era`` buckets. What is in effect
+    when a bucket opens follows from the closing values of the earlier buckets of its era, and of
+    the earlier eras: thin tables with a row per key and touched bucket, and per key and era. It
+    enters the bucket as one more change. Where facts crowd in one bucket and changes are few,
+    ``salts`` spreads the facts of a bucket over that many groups and copies its changes to each.
     """
     columns = list(paths.values())
     at = F.expr(bucket(ts))
-    log = changes.filter(F.col("path").isin(*paths)).select(
+    log = changes.filter(F.col("path").isin(*paths) & F.col(ts).isNotNull()).select(
         *keys, ts, F.col(change_id).alias("_order"), at.alias("_bucket"),
         *[F.when(F.col("path") == p, F.col("value")).alias(c) for p, c in paths.items()])
-    stamped = facts.withColumn("_bucket", at)
+    # Facts without a time are dealt to buckets before all others, where nothing is in effect.
+    undated = F.lit(-(1 << 40)) - F.pmod(F.xxhash64(fact_id), F.lit(4096))
+    stamped = facts.withColumn("_bucket", F.coalesce(at, undated))
 
     moment = F.struct(ts, "_order")
     closing = log.groupBy(*keys, "_bucket").agg(*[
         F.max_by(c, F.when(F.col(c).isNotNull(), moment)).alias(c) for c in columns])
     touched = stamped.select(*keys, "_bucket").distinct()
-    by_bucket = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(
-        Window.unboundedPreceding, -1)
-    opening = (
-        touched.unionByName(closing, allowMissingColumns=True)
-        .groupBy(*keys, "_bucket").agg(*[F.max(c).alias(c) for c in columns])
-        .select(*keys, "_bucket", *[
-            F.last(c, ignorenulls=True).over(by_bucket).alias(c) for c in columns])
-        .filter(F.coalesce(*[F.col(c) for c in columns]).isNotNull()))
-    states = log.unionByName(opening, allowMissingColumns=True)
+    buckets = (touched.unionByName(closing, allowMissingColumns=True)
+               .groupBy(*keys, "_bucket").agg(*[F.max(c).alias(c) for c in columns])
+               .withColumn("_era", F.floor(F.col("_bucket") / era)))
+    states = log.unionByName(_opening(buckets, keys, columns), allowMissingColumns=True)
 
     fallback = {c: F.coalesce(F.col(c), F.lit(defaults[c])) for c in columns}
-    if broadcast_rows and states.limit(broadcast_rows + 1).count() <= broadcast_rows:
-        return (_by_interval(stamped, states, keys, columns, ts)
-                .withColumns(fallback).select(*facts.columns, *columns))
-
     group = [*keys, "_bucket"]
     known = stamped.withColumn("_is_fact", F.lit(True))
     states = states.withColumn("_is_fact", F.lit(False))
@@ -116,20 +113,25 @@ def asof_params(
             .filter("_is_fact").withColumns(fallback).select(*facts.columns, *columns))
 
 
-def _by_interval(
-    stamped: DataFrame, states: DataFrame, keys: Sequence[str], columns: Sequence[str], ts: str
-) -> DataFrame:
-    """Join facts to the interval of their bucket; ``states`` has been counted and is small."""
-    in_bucket = Window.partitionBy(*keys, "_bucket").orderBy(
-        F.asc_nulls_first(ts), F.asc_nulls_first("_order"))
-    so_far = in_bucket.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    intervals = states.select(
-        *keys, "_bucket", F.col(ts).alias("_from"), F.lead(ts).over(in_bucket).alias("_until"),
-        *[F.last(c, ignorenulls=True).over(so_far).alias(c) for c in columns])
-    # Of changes at the same time all but the last have an empty interval and match nothing.
-    f, i = stamped.alias("f"), F.broadcast(intervals.alias("i"))
-    same = reduce(and_, [
-        F.col(f"f.{k}").eqNullSafe(F.col(f"i.{k}")) for k in (*keys, "_bucket")])
-    started = F.col("i._from").isNull() | (F.col(f"f.{ts}") >= F.col("i._from"))
-    not_over = F.col("i._until").isNull() | (F.col(f"f.{ts}") < F.col("i._until"))
-    return f.join(i, same & started & not_over, "left").select("f.*", *[F.col(f"i.{c}") for c in columns])
+def _opening(buckets: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """What is in effect when each bucket opens: the last value of its era, else of earlier eras.
+
+    An era's opening values stand in its first place, before the era's own buckets.
+    """
+    earlier = Window.unboundedPreceding, -1
+    in_era = Window.partitionBy(*keys, "_era").orderBy("_bucket")
+    whole = in_era.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # one row per key and era: what its last bucket leaves
+    left = (buckets.withColumns({c: F.last(c, ignorenulls=True).over(whole) for c in columns})
+            .withColumn("_is_last", F.lead("_bucket").over(in_era).isNull())
+            .filter("_is_last").select(*keys, "_era", *columns))
+    over_eras = Window.partitionBy(*keys).orderBy("_era").rowsBetween(*earlier)
+    eras = left.select(*keys, "_era", *[
+        F.last(c, ignorenulls=True).over(over_eras).alias(c) for c in columns])
+    both = buckets.unionByName(eras, allowMissingColumns=True)
+    before = (Window.partitionBy(*keys, "_era").orderBy(F.asc_nulls_first("_bucket"))
+              .rowsBetween(*earlier))
+    return (both.select(*keys, "_bucket", *[
+                F.last(c, ignorenulls=True).over(before).alias(c) for c in columns])
+            .filter(F.col("_bucket").isNotNull()
+                    & F.coalesce(*[F.col(c) for c in columns]).isNotNull()))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import COMPONENTS, CONFIG_GROUPS, DEFAULT_CONFIG, PRODUCTS
-from ..functions.composition import fan
+from ..functions.composition import fan, quoted
 from ..functions.exact import exact_sum
 from ..plans.ledger import plant, plant_totals
 from ..sources.dims import sql_literal
@@ -52,24 +52,28 @@ def scenario_grid(
 ) -> DataFrame:
     """All combinations of the value lists for every row of ``base``, told apart by ``grid_id``.
 
-    A combination is a number whose digits, in mixed radix, index the lists. So the grid is
-    generated in place of being cross-joined. ``partitions`` spreads it before heavy work, as a
-    small ``base`` may sit in a single partition; it does so by ``keys`` and ``grid_id``, which a
-    later aggregate by the same columns needs no second shuffle for.
+    Each list multiplies the rows in place, one after the other, so combinations stream through
+    the task row by row and the grid is never held, whatever its size. ``grid_id`` is a number
+    whose digits, in mixed radix, index the lists, the first list being the lowest digit.
+    ``partitions`` spreads the grid before heavy work, as a small ``base`` may sit in a single
+    partition; it does so by ``keys`` and ``grid_id``, which a later aggregate by the same columns
+    needs no second shuffle for.
     """
-    size = prod(len(values) for values in ranges.values())
-    grid = base.selectExpr(
-        *[c for c in base.columns if c not in ranges],
-        f"EXPLODE(SEQUENCE(0L, {size - 1}L)) AS grid_id")
+    others = [quoted(c) for c in base.columns if c not in ranges]
+    grid = base.selectExpr(*others, "0L AS grid_id")
+    stride = prod(len(values) for values in ranges.values())
+    done: list[str] = []
+    for name, values in reversed(ranges.items()):
+        stride //= len(values)
+        listed = ", ".join(
+            f"STRUCT({i * stride}L AS _step, {sql_literal(v)} AS _value)"
+            for i, v in enumerate(values))
+        grid = grid.selectExpr("*", f"INLINE(ARRAY({listed}))").selectExpr(
+            *others, *done, "grid_id + _step AS grid_id", f"_value AS {quoted(name)}")
+        done.append(quoted(name))
     if partitions is not None:
         grid = grid.repartition(partitions, *keys, "grid_id")
-    picks, stride = [], 1
-    for name, values in ranges.items():
-        listed = ", ".join(sql_literal(v) for v in values)
-        digit = f"CAST(grid_id DIV {stride}L % {len(values)} AS INT)"
-        picks.append(f"ELEMENT_AT(ARRAY({listed}), {digit} + 1) AS {name}")
-        stride *= len(values)
-    return grid.selectExpr("*", *picks)
+    return grid
 
 
 def evaluate_scenarios(
@@ -112,6 +116,27 @@ def best_scenario(
         *keys, (-F.col("best.rank")).alias(scenario), F.col("best.revenue").alias("revenue"))
 
 
+def flow_invariants(
+    wide: DataFrame, keys: Sequence[str], flows: Sequence[str], tol: float = 1e-6
+) -> DataFrame:
+    """``invariants`` over the columns ``flows`` of every row, before anything is summed.
+
+    A value counts as negative from half of ``tol`` below zero on, which rounding can't reach.
+    """
+    each = [quoted(c) for c in flows]
+    low = f"LEAST({', '.join(f'IF(ISNAN({c}), NULL, {c})' for c in each)})"
+    high = f"GREATEST({', '.join(f'IF(ISNAN({c}), NULL, {c})' for c in each)})"
+    n_nan = " + ".join(f"IF(ISNAN({c}), 1, 0)" for c in each)
+    n_negative = " + ".join(f"IF({c} < -{tol / 2!r}D, 1, 0)" for c in each)
+    return (wide.selectExpr(*keys, f"{low} AS _low", f"{high} AS _high", f"{n_nan} AS _nan",
+                            f"{n_negative} AS _negative")
+            .groupBy(*keys).agg(
+                (F.count(F.lit(1)) * len(each)).alias("n_rows"),
+                F.sum("_nan").alias("n_nan"), F.sum("_negative").alias("n_negative"),
+                F.min("_low").alias("min_value"), F.max("_high").alias("max_value"),
+                ((F.sum("_nan") == 0) & (F.sum("_negative") == 0)).alias("sound")))
+
+
 def invariants(results: DataFrame, keys: Sequence[str], value: str = "volume") -> DataFrame:
     """Counts of NaN and negative values, extremes, and whether every row is sound."""
     v = F.col(value)

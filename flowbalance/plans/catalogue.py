@@ -15,6 +15,7 @@ from ..constants import DEFAULT_CONFIG, PARAM_PATHS, STRESS_SCENARIOS
 from ..functions.clock import hour_tick
 from ..functions.exact import exact_sum, rounded
 from ..operators.accounting import (
+    BOUNDS,
     PLANT_INPUTS,
     closure_check,
     closure_summary,
@@ -24,12 +25,19 @@ from ..operators.accounting import (
     domain_check,
     domain_summary,
     pool,
+    rejected,
     to_wide,
     union_flows,
     usable,
 )
-from ..operators.fanout import allocate, churn_split, split_to_target, yield_split
-from ..operators.lookup import unknown_recipe
+from ..operators.fanout import (
+    allocate,
+    churn_split,
+    split_to_target,
+    unallocated,
+    yield_split,
+)
+from ..operators.lookup import unknown_powder, unknown_recipe
 from ..operators.market import (
     bar_ratio,
     priced,
@@ -41,14 +49,16 @@ from ..operators.market import (
     revenue,
     revenue_breakdown,
     sort_revenue,
+    unmarketed,
     with_market,
 )
 from ..operators.params import asof_params, override_market
-from ..operators.reconcile import OUTFLOW_KINDS, node_balance, reconcile
+from ..operators.reconcile import OUTFLOW_KINDS, mass_balance, node_balance, reconcile
 from ..operators.scenarios import (
     best_scenario,
     compare_scenarios,
     evaluate_scenarios,
+    flow_invariants,
     invariants,
     scenario_grid,
     with_scenarios,
@@ -72,7 +82,15 @@ from ..streaming.feed import (
     price_direction_stream,
     price_feed,
 )
-from .ledger import lot_ledger, plant, plant_balance, production_by_product
+from .ledger import (
+    cream_pool,
+    lot_ledger,
+    plant,
+    plant_balance,
+    production_by_product,
+    sold_flows,
+    unknown_lots,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -87,8 +105,8 @@ def _milk(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _plant_lots(spark: SparkSession, path: str) -> DataFrame:
-    """Lots for queries whose work per lot outweighs a shuffle of a small table."""
-    return spread(read_lots(spark, path))
+    """Lots for scenarios, where each is computed many times over: dealt over all cores."""
+    return spread(read_lots(spark, path), spark.sparkContext.defaultParallelism)
 
 
 # ---- accounting
@@ -151,15 +169,59 @@ def recipe_rejects(spark: SparkSession, path: str) -> DataFrame:
 
 def pooled_cream(spark: SparkSession, path: str) -> DataFrame:
     """Separated cream and surplus cream of whole-milk cheese, pooled per site."""
-    milk = _milk(spark, path)
-    cream = split_to_target(milk, "cream_fat_pct").where("kind = 'cream'")
-    surplus = yield_split(milk, recipes(spark)).where("kind = 'excess_cream'")
-    fields = ["site", "volume", "fat", "snf", "water"]
-    return pool(union_flows(cream.select(fields), surplus.select(fields)), ["site"])
+    return cream_pool(_milk(spark, path), recipes(spark), ["site"])
+
+
+def milk_union(spark: SparkSession, path: str) -> DataFrame:
+    """Supplier sites' milk and an empty flow of every supplier, so that idle sites show as zeros."""
+    idle = spark.read.parquet(f"{path}/supplier.parquet").select(F.col("s_suppkey").alias("site"))
+    cream = split_to_target(_milk(spark, path), "cream_fat_pct")
+    return pool(union_flows(cream.select("site", "volume", "fat", "snf", "water")), ["site"], idle)
+
+
+def lot_volume_decimal(spark: SparkSession, path: str) -> DataFrame:
+    """Site totals summed in units of 1e-9, against a sum of decimals at full width."""
+    return _milk(spark, path).groupBy("site").agg(*[
+        exact_sum(c, digits=9).alias(c) for c in ("volume", "fat", "snf")]).select(
+            "site", *[F.expr(rounded(c, 2)).alias(c) for c in ("volume", "fat", "snf")])
+
+
+def lot_rejects(spark: SparkSession, path: str) -> DataFrame:
+    """Lots outside bounds that are tight enough for some to leave them, by the first reason."""
+    bounds = BOUNDS | {"fat_pct": (3.2, 4.8), "snf_pct": (7.8, 9.2), "volume": (200.0, 4500.0),
+                       "skim_split_pct": (5.0, 95.0)}
+    return rejected(read_lots(spark, path), PLANT_INPUTS, bounds).groupBy(
+        "site", "reject_reason").agg(F.count(F.lit(1)).alias("n_lots"))
+
+
+def powder_rejects(spark: SparkSession, path: str) -> DataFrame:
+    """Lots of a powder that a plant without whole milk powder does not make."""
+    return unknown_powder(read_lots(spark, path), "powder_type", ("nfdm", "bmp")).groupBy(
+        "site", "powder_type").agg(
+            F.count(F.lit(1)).alias("n_lots"), exact_sum("volume").alias("volume"))
+
+
+def plant_rejects(spark: SparkSession, path: str) -> DataFrame:
+    """Lots that a plant without parmesan and whole milk powder cannot process, each once."""
+    known = recipes(spark).where("cheese_type <> 'parmesan'")
+    return unknown_lots(read_lots(spark, path), known, ("nfdm", "bmp")).groupBy("site").agg(
+        F.count(F.lit(1)).alias("n_lots"), exact_sum("volume").alias("volume"))
+
+
+def unallocated_flows(spark: SparkSession, path: str) -> DataFrame:
+    """Flows of a node whose fractions do not add up."""
+    routes = allocations(spark, [
+        ("skim", "cheese_a", 0, 0.5), ("skim", "cheese_b", 1, 0.5),
+        ("cream", "butter_a", 0, 0.6), ("cream", "butter_b", 1, 0.3)])
+    legs = split_to_target(_milk(spark, path), "cream_fat_pct")
+    return pool(unallocated(legs, routes, node="kind"), ["site", "kind"])
 
 
 def masses_by_region(spark: SparkSession, path: str) -> DataFrame:
-    """Pool per site first, so that the dimension joins see one row per site, then per region."""
+    """Pool per site first, so that the dimension joins see one row per site, then per region.
+
+    Sites that no supplier stands for have no region and stay as one row without a name.
+    """
     def dim(name: str) -> DataFrame:
         return spark.read.parquet(f"{path}/{name}.parquet")
 
@@ -167,18 +229,17 @@ def masses_by_region(spark: SparkSession, path: str) -> DataFrame:
              .join(dim("nation"), F.col("s_nationkey") == F.col("n_nationkey"))
              .join(dim("region"), F.col("n_regionkey") == F.col("r_regionkey"))
              .select("site", F.col("r_name").alias("region")))
-    return pool(lot_masses_by_site(spark, path).join(sites, "site"), ["region"])
+    return pool(lot_masses_by_site(spark, path).join(sites, "site", "left"), ["region"])
 
 
 # ---- ledger and reconciliation
 
 def _ledger(spark: SparkSession, path: str) -> DataFrame:
-    return lot_ledger(_plant_lots(spark, path), recipes(spark), ["site"])
+    return lot_ledger(read_lots(spark, path), recipes(spark), ["site"])
 
 
 def lot_ledger_rollup(spark: SparkSession, path: str) -> DataFrame:
-    sold = lot_ledger(_plant_lots(spark, path), recipes(spark), ["site"],
-                      OUTFLOW_KINDS)
+    sold = lot_ledger(read_lots(spark, path), recipes(spark), ["site"], OUTFLOW_KINDS)
     return production_by_product(sold, ["site"])
 
 
@@ -191,6 +252,11 @@ def plant_mass_balance(spark: SparkSession, path: str) -> DataFrame:
     return _rounded(plant_balance(wide, ["site"]), "residual", "err_pct")
 
 
+def movement_balance(spark: SparkSession, path: str) -> DataFrame:
+    """The plant's balance from long movements."""
+    return _rounded(mass_balance(_ledger(spark, path), ["site"]), "residual", "err_pct")
+
+
 def node_reconciliation(spark: SparkSession, path: str) -> DataFrame:
     return _rounded(node_balance(_ledger(spark, path), ["site"]), "residual", "err_pct")
 
@@ -242,10 +308,22 @@ def revenue_top3(spark: SparkSession, path: str) -> DataFrame:
 
 
 def revenue_sorted(spark: SparkSession, path: str) -> DataFrame:
-    ordered = sort_revenue(_daily_quotes(spark, path))
+    ordered = sort_revenue(_daily_quotes(spark, path), keys=["site", "tick"])
     return _rounded(ordered.select("site", "tick", "product", "revenue"), "revenue")
 
 
+def revenue_top100(spark: SparkSession, path: str) -> DataFrame:
+    best = sort_revenue(_daily_quotes(spark, path), 100, ["site", "tick"])
+    return _rounded(best.select("site", "tick", "product", "revenue"), "revenue")
+
+
+def product_rejects(spark: SparkSession, path: str) -> DataFrame:
+    """Supply of a product that a market without whey does not know."""
+    known = market_params(spark).where("product <> 'whey'")
+    return unmarketed(_daily(spark, path), known).groupBy("site", "product").agg(
+        F.count(F.lit(1)).alias("n_events"), exact_sum("volume").alias("volume"))
+
+
 def _moves(rows: DataFrame) -> DataFrame:
     return _rounded(rows, "price", "delta").select(
         "site", "product", "tick", "price", "delta", "direction")
@@ -304,12 +382,9 @@ def asof_params_by_fact(spark: SparkSession, path: str) -> DataFrame:
 
 
 def asof_params_small_log(spark: SparkSession, path: str) -> DataFrame:
-    """The same, broadcasting the states if a count finds them small enough.
-
-    Hours instead of minutes keep the states few, as there is one more per touched bucket.
-    """
+    """The same by hours, for a log with few changes: fewer buckets have to be opened."""
     return _asof(read_facts(spark, path), read_param_changes(spark, path), bucket=hour_tick,
-                 broadcast_rows=100_000)
+                 era=24, salts=2)
 
 
 # ---- scenarios
@@ -350,7 +425,13 @@ def best_scenario_by_site(spark: SparkSession, path: str) -> DataFrame:
 
 
 def scenario_invariants(spark: SparkSession, path: str) -> DataFrame:
-    """Volumes per scenario, checked for NaN and negative values."""
+    """Every sold flow of every lot under each scenario, checked before anything is summed."""
+    wide = plant(_scenario_lots(spark, path), recipes(spark), check=False)
+    return _rounded(flow_invariants(wide, ["scenario_id"], sold_flows()), "min_value", "max_value")
+
+
+def result_invariants(spark: SparkSession, path: str) -> DataFrame:
+    """Volumes of the scenarios' results, checked for NaN and negative values."""
     return invariants(_sweep(spark, path), ["scenario_id"])
 
 
@@ -376,31 +457,33 @@ def grid_sweep(spark: SparkSession, path: str) -> DataFrame:
 
 # ---- streaming
 
+#: Files that a micro-batch takes, so that a backlog is worked off in steps.
+FILES_PER_BATCH = 1000
+
+
 def price_feed_stream(spark: SparkSession, path: str) -> DataFrame:
     """Hourly feed of everything that closes, through the parquet sink."""
     out, state = shared_folder(spark, "feed"), shared_folder(spark, "feed-state")
-    feed = price_feed(read_supply_stream(spark, path), market_params(spark))
+    feed = price_feed(read_supply_stream(spark, path, FILES_PER_BATCH), market_params(spark))
     write_quotes(feed, out, state).awaitTermination()
     return _rounded(spark.read.schema(feed.schema).parquet(out), "price", "revenue")
 
 
 def price_direction_feed(spark: SparkSession, path: str) -> DataFrame:
     out, state = shared_folder(spark, "moves"), shared_folder(spark, "moves-state")
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key)
-    spark.conf.set(key, ROCKSDB_PROVIDER)
-    try:
-        feed = price_feed(read_supply_stream(spark, path), market_params(spark))
-        write_quotes(price_direction_stream(feed), out, state).awaitTermination()
-    finally:
-        spark.conf.set(key, before)
+    own = spark.newSession()  # the state store is a setting of a session; the caller's stays
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER)
+    for key in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
+        own.conf.set(key, spark.conf.get(key))
+    feed = price_feed(read_supply_stream(own, path, FILES_PER_BATCH), market_params(own))
+    write_quotes(price_direction_stream(feed), out, state).awaitTermination()
     return _moves(spark.read.schema(DIRECTION_SCHEMA).parquet(out))
 
 
 def params_stream(spark: SparkSession, path: str) -> DataFrame:
     """Arriving facts with the parameters in effect, resolved per micro-batch."""
     out, state = shared_folder(spark, "params"), shared_folder(spark, "params-state")
-    facts = read_fact_stream(spark, path)
+    facts = read_fact_stream(spark, path, FILES_PER_BATCH)
     params_in_effect_stream(
         facts, lambda: read_param_changes(spark, path), _asof, out, state).awaitTermination()
     return spark.read.parquet(out).drop("batch_id")
@@ -417,10 +500,17 @@ CATALOGUE: dict[str, Query] = {
     "allocate_flows": allocate_flows,
     "recipe_rejects": recipe_rejects,
     "pooled_cream": pooled_cream,
+    "milk_union": milk_union,
+    "lot_volume_decimal": lot_volume_decimal,
+    "lot_rejects": lot_rejects,
+    "powder_rejects": powder_rejects,
+    "plant_rejects": plant_rejects,
+    "unallocated_flows": unallocated_flows,
     "masses_by_region": masses_by_region,
     "lot_ledger_rollup": lot_ledger_rollup,
     "ledger_edges": ledger_edges,
     "plant_mass_balance": plant_mass_balance,
+    "movement_balance": movement_balance,
     "node_reconciliation": node_reconciliation,
     "order_line_reconciliation": order_line_reconciliation,
     "supply_wide": supply_wide,
@@ -431,6 +521,8 @@ CATALOGUE: dict[str, Query] = {
     "revenue_rollup": revenue_rollup,
     "revenue_top3": revenue_top3,
     "revenue_sorted": revenue_sorted,
+    "revenue_top100": revenue_top100,
+    "product_rejects": product_rejects,
     "price_direction": price_direction_by_day,
     "price_direction_segmented": price_direction_segmented,
     "price_trend": price_trend_by_day,
@@ -444,6 +536,7 @@ CATALOGUE: dict[str, Query] = {
     "scenario_delta": scenario_delta,
     "best_scenario": best_scenario_by_site,
     "scenario_invariants": scenario_invariants,
+    "result_invariants": result_invariants,
     "grid_sweep": grid_sweep,
     "price_feed_stream": price_feed_stream,
     "price_direction_stream": price_direction_feed,

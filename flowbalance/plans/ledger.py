@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..constants import (
     AUDIT_TOLERANCE_PCT,
@@ -29,8 +30,9 @@ from ..operators.fanout import (
     step_split_to_target,
     step_yield_split,
 )
-from ..operators.lookup import unknown_recipe, with_recipe
+from ..operators.lookup import with_recipe
 from ..operators.reconcile import audit
+from ..sources.dims import sql_literal
 
 # from_node, to_node, kind, prefix of the flow, product (itself or the column that names it)
 EDGES = (
@@ -56,13 +58,19 @@ _NAMED_BY = {"cheese_a": CHEESE_TYPES, "cheese_b": CHEESE_TYPES,
              "powder_a": POWDER_TYPES, "powder_b": POWDER_TYPES}
 
 
-def plant(lots: DataFrame, recipes: DataFrame, check: bool = True) -> DataFrame:
+def plant(
+    lots: DataFrame, recipes: DataFrame, check: bool = True,
+    powders: Sequence[str] = POWDER_TYPES,
+) -> DataFrame:
     """One wide row per lot with all flows of the plant.
 
     Lots with unusable settings are in ``rejected(lots, PLANT_INPUTS)``, lots whose cheese types
-    have no recipe in ``unknown_lots``. ``check=False`` is for lots that were filtered before.
+    have no recipe, or whose powders nobody makes, in ``unknown_lots``. ``check=False`` is for lots
+    whose numbers were checked before.
     """
     known = usable(lots, PLANT_INPUTS) if check else lots
+    listed = ", ".join(sql_literal(p) for p in powders)
+    known = known.where(f"powder_a IN ({listed}) AND powder_b IN ({listed})")
     df = with_recipe(known, recipes, "cheese_a", "recipe_a")
     df = with_recipe(df, recipes, "cheese_b", "recipe_b")
     pool = {f"pool_{m}": f"cream_{m} + excess_a_{m} + excess_b_{m}" for m in MASSES}
@@ -81,11 +89,35 @@ def plant(lots: DataFrame, recipes: DataFrame, check: bool = True) -> DataFrame:
     )
 
 
-def unknown_lots(lots: DataFrame, recipes: DataFrame) -> DataFrame:
-    """Lots that ``plant`` cannot process, each once."""
-    missing_a = unknown_recipe(lots, recipes, "cheese_a")
-    known_a = with_recipe(lots, recipes, "cheese_a").select(*lots.columns)
-    return missing_a.unionByName(unknown_recipe(known_a, recipes, "cheese_b"))
+def unknown_lots(
+    lots: DataFrame, recipes: DataFrame, powders: Sequence[str] = POWDER_TYPES
+) -> DataFrame:
+    """Lots that ``plant`` cannot process, each once. One pass: lookups that find nothing are NULL."""
+    df = lots
+    for key in ("cheese_a", "cheese_b"):
+        known = recipes.select(F.col("cheese_type").alias(key), F.lit(True).alias(f"_{key}"))
+        df = df.join(known, key, "left")
+    listed = ", ".join(sql_literal(p) for p in powders)
+    makes = " AND ".join(f"COALESCE({p} IN ({listed}), FALSE)" for p in ("powder_a", "powder_b"))
+    return df.where(f"_cheese_a IS NULL OR _cheese_b IS NULL OR NOT ({makes})").select(*lots.columns)
+
+
+def cream_pool(
+    milk: DataFrame, recipes: DataFrame, keys: Sequence[str], target_pct: str = "cream_fat_pct"
+) -> DataFrame:
+    """Separated cream and surplus cream of whole-milk cheese per key, from one wide row per lot."""
+    wide = run_steps(
+        with_recipe(milk.withColumnsRenamed({m: f"src_{m}" for m in MASSES}), recipes),
+        step_split_to_target("src", "cream", "skim", target_pct),
+        step_yield_split("src", "curd", "whey", "excess"))
+    return wide.groupBy(*keys).agg(*[
+        exact_sum(f"cream_{m}", f"excess_{m}").alias(m) for m in MASSES])
+
+
+def sold_flows(masses: Sequence[str] = ("volume",)) -> list[str]:
+    """Columns of ``plant`` that leave for the market."""
+    return [f"{prefix}_{m}" for _, target, _, prefix, _ in EDGES if target == "market"
+            for m in masses]
 
 
 def _product(name: str | None) -> str:

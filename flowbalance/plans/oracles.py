@@ -339,14 +339,35 @@ SELECT site, to_node, {sums()} FROM sent GROUP BY site, to_node""",
  SELECT site, volume, fat, snf, water FROM split WHERE kind = 'cream'
  UNION ALL SELECT site, volume, fat, snf, water FROM curd WHERE kind = 'excess_cream')
 SELECT site, {sums()} FROM both_creams GROUP BY site""",
+    "milk_union": f"""WITH {SEPARATED}, both_sides AS (SELECT site, volume, fat, snf, water FROM split
+ UNION ALL SELECT s_suppkey, 0e0, 0e0, 0e0, 0e0 FROM supplier)
+SELECT site, {sums()} FROM both_sides GROUP BY site""",
+    "lot_volume_decimal": f"""WITH {MILK} SELECT site, """ + ", ".join(
+        f"{r(f'CAST(SUM(CAST({c} AS DECIMAL(38, 15))) AS DOUBLE)', 2)} AS {c}"
+        for c in ("volume", "fat", "snf")) + " FROM milk GROUP BY site",
+    "lot_rejects": f"""WITH {LOTS}, judged AS (SELECT site, CASE
+ WHEN fat_pct < 3.2e0 THEN 'fat_pct is too low' WHEN fat_pct > 4.8e0 THEN 'fat_pct is too high'
+ WHEN snf_pct < 7.8e0 THEN 'snf_pct is too low' WHEN snf_pct > 9.2e0 THEN 'snf_pct is too high'
+ WHEN volume < 200e0 THEN 'volume is too low' WHEN volume > 4500e0 THEN 'volume is too high'
+ WHEN skim_split_pct < 5e0 THEN 'skim_split_pct is too low'
+ WHEN skim_split_pct > 95e0 THEN 'skim_split_pct is too high' END AS reject_reason FROM lots)
+SELECT site, reject_reason, count(*) AS n_lots FROM judged WHERE reject_reason IS NOT NULL
+ GROUP BY site, reject_reason""",
+    "powder_rejects": f"""WITH {LOTS} SELECT site, powder_type, count(*) AS n_lots,
+ {s('volume')} AS volume FROM lots WHERE powder_type = 'wmp' GROUP BY site, powder_type""",
+    "plant_rejects": f"""WITH {LOTS} SELECT site, count(*) AS n_lots, {s('volume')} AS volume FROM lots
+ WHERE 'parmesan' IN (cheese_a, cheese_b) OR 'wmp' IN (powder_a, powder_b) GROUP BY site""",
+    "unallocated_flows": f"""WITH {SEPARATED} SELECT site, kind, {sums()} FROM split
+ WHERE kind = 'cream' GROUP BY site, kind""",
     "masses_by_region": f"""WITH {MILK} SELECT r_name AS region, {sums()} FROM milk
- JOIN supplier ON s_suppkey = site JOIN nation ON n_nationkey = s_nationkey
- JOIN region ON r_regionkey = n_regionkey GROUP BY r_name""",
+ LEFT JOIN supplier ON s_suppkey = site LEFT JOIN nation ON n_nationkey = s_nationkey
+ LEFT JOIN region ON r_regionkey = n_regionkey GROUP BY r_name""",
     "lot_ledger_rollup": f"""WITH {LEDGER} SELECT site, product, {s('volume')} AS volume FROM moves
  WHERE product IS NOT NULL GROUP BY site, product""",
     "ledger_edges": f"""WITH {LEDGER} SELECT from_node, to_node, kind, {sums()} FROM moves
  GROUP BY from_node, to_node, kind""",
     "plant_mass_balance": audit(f"WITH {LEDGER}, {_PLANT_SIDES}", "site", COMPONENTS),
+    "movement_balance": audit(f"WITH {LEDGER}, {_PLANT_SIDES}", "site", COMPONENTS),
     "node_reconciliation": audit(f"WITH {LEDGER}, {_NODE_SIDES}", "site, node", COMPONENTS),
     "order_line_reconciliation": audit(f"WITH {_ORDER_SIDES}", "order_key", ["amount"]),
     "supply_wide": f"WITH {SUPPLY} SELECT site, tick, " + ", ".join(
@@ -371,7 +392,11 @@ SELECT site, product_ord, product, volume, elasticity, {r('price')} AS price,
  CAST(row_number() OVER (PARTITION BY site, tick ORDER BY quotes.revenue DESC, product_ord) AS INTEGER)
  AS rank FROM quotes WHERE volume > 0 QUALIFY rank <= 3""",
     "revenue_sorted": f"""WITH {DAILY} SELECT site, tick, product, {r('revenue', 4)} AS revenue
- FROM quotes ORDER BY quotes.revenue DESC, product_ord""",
+ FROM quotes WHERE volume > 0 ORDER BY quotes.revenue DESC, product_ord, site, tick""",
+    "revenue_top100": f"""WITH {DAILY} SELECT site, tick, product, {r('revenue', 4)} AS revenue
+ FROM quotes WHERE volume > 0 ORDER BY quotes.revenue DESC, product_ord, site, tick LIMIT 100""",
+    "product_rejects": f"""WITH {SUPPLY} SELECT site, product, count(*) AS n_events,
+ {s('volume')} AS volume FROM supply WHERE product = 'whey' GROUP BY site, product""",
     "price_direction": DIRECTION,
     "price_direction_segmented": DIRECTION,
     "price_trend": TREND,
@@ -394,15 +419,24 @@ SELECT site, tick, product, volume, {r('own')} AS demand, {r('price')} AS price,
     "scenario_sweep": f"""WITH {SWEEP} SELECT site, scenario_id, product_ord, product, volume,
  {r('price')} AS price, {r('revenue', 4)} AS revenue, {r('residual_fat')} AS residual_fat,
  {r('residual_snf')} AS residual_snf, {r('residual_water')} AS residual_water FROM results""",
-    "scenario_delta": f"""WITH {SWEEP} SELECT a.site, a.scenario_id, a.product,
- {r('a.volume - b.volume')} AS delta_volume, {r('a.price - b.price')} AS delta_price,
- {r('a.revenue - b.revenue', 4)} AS delta_revenue
- FROM results a JOIN results b ON a.site = b.site AND a.product = b.product AND b.scenario_id = 0""",
+    "scenario_delta": f"""WITH {SWEEP}, paired AS (SELECT *, """ + ", ".join(
+        f"max(CASE WHEN scenario_id = 0 THEN {c} END) OVER (PARTITION BY site, product) AS base_{c}"
+        for c in ("volume", "price", "revenue")) + f""" FROM results)
+SELECT site, scenario_id, product, {r('volume - base_volume')} AS delta_volume,
+ {r('price - base_price')} AS delta_price, {r('revenue - base_revenue', 4)} AS delta_revenue
+ FROM paired""",
     "best_scenario": f"""WITH {SWEEP}, totals AS (SELECT site, scenario_id, {s('revenue')} AS revenue
  FROM results GROUP BY site, scenario_id)
 SELECT site, scenario_id, {r('revenue', 4)} AS revenue FROM totals
 QUALIFY row_number() OVER (PARTITION BY site ORDER BY totals.revenue DESC, scenario_id) = 1""",
-    "scenario_invariants": f"""WITH {SWEEP} SELECT scenario_id, count(*) AS n_rows,
+    "scenario_invariants": f"""WITH {SCENARIO_LOTS}, {plant('configs')},
+sold AS (SELECT scenario_id, unnest([bva, bvb, dva, dvb, chva, chvb, whfa + whsa + whwa,
+ whfb + whsb + whwb]) AS v FROM bb3)
+SELECT scenario_id, count(*) AS n_rows, count(*) FILTER (WHERE isnan(v)) AS n_nan,
+ count(*) FILTER (WHERE v < -0.5e-6) AS n_negative, {r('min(v)')} AS min_value,
+ {r('max(v)')} AS max_value,
+ count(*) FILTER (WHERE isnan(v) OR v < -0.5e-6) = 0 AS sound FROM sold GROUP BY scenario_id""",
+    "result_invariants": f"""WITH {SWEEP} SELECT scenario_id, count(*) AS n_rows,
  count(*) FILTER (WHERE isnan(volume)) AS n_nan, count(*) FILTER (WHERE volume < 0) AS n_negative,
  min(volume) AS min_value, max(volume) AS max_value, bool_and(volume >= 0) AS sound
  FROM results GROUP BY scenario_id""",

@@ -68,17 +68,12 @@ def read_lots(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def spread(lots: DataFrame) -> DataFrame:
-    """Lots over all cores, for work that costs far more per row than a shuffle does.
+def spread(lots: DataFrame, tasks: int) -> DataFrame:
+    """Lots dealt over ``tasks`` tasks, for work that costs far more per row than this shuffle.
 
-    Only a scan with fewer tasks than the session has cores is repartitioned; a large table keeps
-    its splits and is not shuffled. Takes the plain scan of ``read_lots``, whose number of tasks is
-    known without running anything.
+    A scan has as many tasks as its files have splits; where that is enough, leave this out.
     """
-    cores = lots.sparkSession.sparkContext.defaultParallelism
-    if lots.rdd.getNumPartitions() >= cores:
-        return lots
-    return lots.repartition(cores, *LOT_KEYS)
+    return lots.repartition(tasks, *LOT_KEYS)
 
 
 def read_orders(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
