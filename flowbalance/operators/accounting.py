@@ -40,6 +40,9 @@ def reject_reason(
     checks = [
         f"WHEN {c} IS NULL OR ISNAN({c}) OR ABS({c}) = DOUBLE('Infinity') "
         f"THEN '{c} is not a number'" for c in inputs]
+    checks.append("WHEN volume < 0 THEN 'negative volume'")
+    checks.append(f"WHEN NOT ABS({' + '.join(inputs)}) < DOUBLE('Infinity') "
+                  "THEN 'beyond the range of DOUBLE'")
     checks += [f"WHEN {c} < {number(bounds[c][0])} THEN '{c} is too low' "
                f"WHEN {c} > {number(bounds[c][1])} THEN '{c} is too high'"
                for c in inputs if c in bounds]
@@ -54,13 +57,18 @@ def usable(
 ) -> DataFrame:
     """Lots whose ``inputs`` are numbers within ``bounds``; for the whole ledger ``PLANT_INPUTS``.
 
-    The complement of ``reject_reason``: NaN is above any bound and NULL is not within any.
+    The complement of ``reject_reason``: the sum of all inputs is NaN, infinite or NULL if one is,
+    and the product of a value's distances to its bounds is negative outside them. The lambda keeps
+    the filter out of the compiled stage of the ledger behind it, whose method would become too
+    large for the JVM to compile.
     """
-    within = [f"{c} >= {number(bounds[c][0])} AND {c} <= {number(bounds[c][1])}" if c in bounds
-              else f"ABS({c}) < DOUBLE('Infinity')" for c in inputs]
+    room = [f"({c} - {number(bounds[c][0])}) * ({number(bounds[c][1])} - {c})"
+            for c in inputs if c in bounds]
     if (solids := _solids(inputs)) is not None:
-        within.append(f"{solids} <= 100D")
-    return lots.where(" AND ".join(within))
+        room.append(f"100D - ({solids})")
+    finite = f"ABS({' + '.join(inputs)}) < DOUBLE('Infinity')"
+    inside = f"NOT EXISTS(ARRAY({', '.join(room)}), r -> r < 0D)" if room else "TRUE"
+    return lots.where(f"{finite} AND {inside}")
 
 
 def rejected(

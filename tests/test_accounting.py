@@ -22,6 +22,7 @@ from flowbalance.operators.accounting import (
     to_long,
     to_wide,
     union_flows,
+    unknown_product,
     usable,
 )
 from flowbalance.sources import defaults, read_lots, spread
@@ -155,9 +156,29 @@ def test_time_filters_reach_the_scan(spark):
     assert "GreaterThanOrEqual(l_shipdate" in text
 
 
-def test_spread_leaves_a_large_scan_alone(spark):
-    lots = read_lots(spark, TINY)
-    cores = spark.sparkContext.defaultParallelism
-    assert spread(lots).rdd.getNumPartitions() == cores
-    many = lots.repartition(cores + 1)
-    assert spread(many) is many
+def test_spread_deals_lots_to_the_tasks_asked_for(spark):
+    assert spread(read_lots(spark, TINY), 7).rdd.getNumPartitions() == 7
+
+
+@pytest.mark.parametrize("column, value, reason", [
+    ("fat_pct", -4.0, "fat_pct is too low"), ("skim_split_pct", 150.0, "skim_split_pct is too high"),
+    ("butter_a_fat_pct", 0.0, "butter_a_fat_pct is too low"), ("snf_pct", 97.0, "more solids than milk"),
+    ("volume", 1e13, "volume is too high"), ("cream_split_pct", None, "cream_split_pct is not a number")])
+def test_impossible_lots_are_rejected(spark, column, value, reason):
+    lots = defaults(spark).withColumn(column, F.lit(value).cast("double"))
+    assert usable(lots, PLANT_INPUTS).isEmpty()
+    assert rejected(lots, PLANT_INPUTS).first().reject_reason == reason
+
+
+def test_names_of_any_characters(spark):
+    names = ["skim-milk", "chef's", "a`b"]
+    supply = spark.createDataFrame([(1, n, 2.0) for n in names] + [(1, "kefir", 7.0), (1, None, 1.0)],
+                                   "site int, product string, volume double")
+    assert to_wide(supply, ["site"], names).first().asDict() == {"site": 1, **dict.fromkeys(names, 2.0)}
+    assert {r["product"]: r.volume for r in densify(supply, ["site"], names).collect()} == dict.fromkeys(names, 2.0)
+    assert {r["product"] for r in unknown_product(supply, names).collect()} == {"kefir", None}
+
+
+def test_units_of_a_sum(spark):
+    rows = spark.range(1_000_000).selectExpr("4e-7 AS x")
+    assert rows.agg(exact_sum("x", digits=12).alias("x")).first().x == pytest.approx(0.4)

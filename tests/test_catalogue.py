@@ -7,6 +7,8 @@ from conftest import TINY
 
 from __spark_entry__ import entry, oracle_sql, queries
 from check import compare, connect
+from flowbalance.plans.catalogue import CATALOGUE
+from flowbalance.plans.oracles import ORACLES
 
 
 @pytest.fixture(scope="module")
@@ -16,13 +18,14 @@ def duck():
     con.close()
 
 
-@pytest.mark.parametrize("name", list(queries()))
+@pytest.mark.parametrize("name", list(CATALOGUE))
 def test_query_equals_its_sql(spark, duck, name):
     assert compare(spark, duck, name, TINY) == ""
 
 
 def test_every_query_has_sql():
-    assert queries().keys() == oracle_sql().keys()
+    assert CATALOGUE.keys() == ORACLES.keys()
+    assert CATALOGUE.keys() <= queries().keys() and oracle_sql().keys() <= queries().keys()
 
 
 def test_entry(spark):

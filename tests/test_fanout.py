@@ -130,6 +130,12 @@ def test_bad_allocations_are_rejected_with_their_flows(spark, milk):
     assert {r.node for r in unallocated(flows, routes).collect()} == {"over", "short", "none"}
 
 
+def test_a_missing_fraction_spoils_the_node(spark, milk):
+    routes = allocations(spark, [("n", "a", 0, 0.5), ("n", "b", 1, None), ("n", "c", 2, 0.5)])
+    flows = milk.withColumn("node", F.lit("n"))
+    assert allocate(flows, routes).isEmpty() and unallocated(flows, routes).count() == flows.count()
+
+
 def test_every_lot_closes_after_the_split(spark):
     legs = split_to_target(component_masses(read_lots(spark, TINY)), "cream_fat_pct")
     assert closure_check(legs).where("NOT closed").isEmpty()

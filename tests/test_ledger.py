@@ -109,6 +109,18 @@ def test_unknown_types_go_to_the_rejects(spark, default_row, recipes):
     assert sorted(r.id for r in unknown_lots(rows, recipes).collect()) == [1, 2, 3]
 
 
+@pytest.mark.parametrize("powder", ["casein", None])
+def test_unknown_powders_go_to_the_rejects(spark, default_row, recipes, powder):
+    """No volume is lost: a lot is in the plant's wide and long form, or in the rejects."""
+    rows = default_row.unionByName(default_row.withColumns({"site": F.lit(2), "powder_a": F.lit(powder)}))
+    assert [r.site for r in plant(rows, recipes).collect()] == [1]
+    assert [r.site for r in unknown_lots(rows, recipes).collect()] == [2]
+    sold = lot_ledger(rows, recipes, ["site"], OUTFLOW_KINDS)
+    long = {r["product"]: r.volume for r in production_by_product(sold, ["site"]).collect()}
+    wide = plant_totals(plant(rows, recipes), ["site"]).first()
+    assert {p: wide[p] for p in long} == long and sum(long.values()) == pytest.approx(1000, abs=0.1)
+
+
 def test_unusable_settings_go_to_the_rejects(spark, default_row, recipes):
     rows = default_row.withColumn("id", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))).withColumns({
         "skim_split_pct": F.when(F.col("id") != 1, F.col("skim_split_pct")),

@@ -85,7 +85,9 @@ def test_rank_breaks_ties_by_product_order(spark):
     got = {r["product"]: r["rank"] for r in rank_revenue(rows, ["site"]).collect()}
     assert got == {"bmp": 1, "whey": 2, "butter": 3}
     assert [r["product"] for r in rank_revenue(rows, ["site"], k=1).collect()] == ["bmp"]
-    assert [r["product"] for r in sort_revenue(rows, 2).collect()] == ["cheddar", "bmp"]
+    assert [r["product"] for r in sort_revenue(rows, 2).collect()] == ["bmp", "whey"]
+    twins = rows.unionByName(rows.withColumn("site", F.lit(0)))
+    assert [(r["product"], r.site) for r in sort_revenue(twins, 3, ["site"]).collect()] == [("bmp", 0), ("bmp", 1), ("whey", 0)]
 
 
 def test_bar_ratio_uses_one_as_the_least_maximum(spark):

@@ -8,7 +8,7 @@ from conftest import by
 
 from flowbalance.constants import DEFAULT_CONFIG
 from flowbalance.functions.clock import day_tick, hour_tick
-from flowbalance.operators.params import apply_overrides, asof_params
+from flowbalance.operators.params import apply_overrides, asof_params, untimed
 from flowbalance.sources import defaults
 
 PATHS = {"separator.targetCreamFatPercent": "cream_fat_pct", "skimSplitPercent": "skim_split_pct"}
@@ -23,7 +23,7 @@ def latest(changes, site, ts, path, default):
 
 
 @pytest.mark.parametrize("options", [
-    {}, {"salts": 4}, {"bucket": day_tick}, {"bucket": hour_tick, "salts": 3}, {"broadcast_rows": 100_000}, {"broadcast_rows": 3}])
+    {}, {"salts": 4}, {"bucket": day_tick, "era": 2}, {"bucket": hour_tick, "era": 5, "salts": 3}])
 def test_asof_against_brute_force_with_a_hot_key(spark, options):
     """Site 0 has most facts and changes; many share a timestamp with each other."""
     rng = random.Random(7)
@@ -56,6 +56,17 @@ def test_asof_spans_empty_buckets_and_keeps_facts_without_changes(spark):
     assert {r.cream_fat_pct for r in got.values()} == {40.0}
 
 
+@pytest.mark.parametrize("options", [{}, {"salts": 3}, {"bucket": hour_tick, "era": 24}])
+def test_rows_without_a_time(spark, options):
+    """Such a fact gets the defaults, such a change is never in effect and is listed."""
+    facts = spark.createDataFrame([(1, 1, None), (2, 1, START), (3, 1, None)], FACT)
+    changes = spark.createDataFrame([(1, 1, None, "skimSplitPercent", 80.0), (2, 1, None, "skimSplitPercent", 70.0),
+                                     (3, 2, START, "skimSplitPercent", 60.0)], CHANGE)
+    got = by(asof_params(facts, changes, ["site"], PATHS, DEFAULT_CONFIG, **options), "fact_id")
+    assert {i: r.skim_split_pct for i, r in got.items()} == {1: 50.0, 2: 50.0, 3: 50.0}
+    assert sorted(r.change_id for r in untimed(changes).collect()) == [1, 2]
+
+
 def test_facts_are_not_grouped_by_key_alone(spark):
     facts = spark.createDataFrame([(1, 1, START)], FACT)
     changes = spark.createDataFrame([(1, 1, START, "skimSplitPercent", 75.0)], CHANGE)

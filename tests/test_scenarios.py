@@ -4,6 +4,7 @@ import math
 from itertools import product as combinations
 
 import pytest
+from pyspark.sql import functions as F
 from conftest import by
 
 from flowbalance.constants import DEFAULT_CONFIG, STRESS_SCENARIOS
@@ -11,6 +12,7 @@ from flowbalance.operators.scenarios import (
     best_scenario,
     compare_scenarios,
     evaluate_scenarios,
+    flow_invariants,
     invariants,
     scenario_grid,
     with_scenarios,
@@ -79,6 +81,22 @@ def test_invariants_count_what_is_broken(spark):
     assert tuple(got[2]) == (2, 1, 0, 0, 0.0, 0.0, True)
 
 
+def test_one_negative_flow_among_many_is_found(spark):
+    rows = spark.range(1000).selectExpr("id % 2 AS k", "1D AS a", "IF(id = 501, -1D, 2D) AS `b c`")
+    got = by(flow_invariants(rows, ["k"], ["a", "b c"]), "k")
+    assert tuple(got[0]) == (0, 1000, 0, 0, 1.0, 2.0, True)
+    assert tuple(got[1]) == (1, 1000, 0, 1, -1.0, 2.0, False)
+    broken = rows.where("k = 0").withColumn("a", F.lit(math.nan))
+    assert tuple(by(flow_invariants(broken, ["k"], ["a", "b c"]), "k")[0]) == (0, 1000, 500, 0, 2.0, 2.0, False)
+
+
+def test_a_grid_of_millions_streams(spark):
+    ranges = {c: [float(i) for i in range(60)] for c in "abcd"}
+    grid = scenario_grid(spark.range(1), ranges)
+    assert grid.limit(5).collect()[0].asDict() == {"id": 0, "grid_id": 0, "d": 0.0, "c": 0.0, "b": 0.0, "a": 0.0}
+    assert "SEQUENCE" not in grid._jdf.queryExecution().executedPlan().toString().upper()
+
+
 @pytest.mark.parametrize("partitions", [None, 3])
 def test_grid_is_the_full_product(spark, partitions):
     ranges = {"a": [1.0, 2.0, 3.0], "b": ["x", "y"], "c": [True, False]}
