@@ -7,11 +7,13 @@ in turn gives ``CHUNK`` keys, so two signatures of which a chunk differs in one
 By the pigeonhole principle no pair that differs in at most 2 * 8 - 1 = 15 of 40 lanes is missed; of pairs
 at a similarity of exactly 0.8, 2 in 100,000 share no key, and fewer above.
 
-Pairs in a bucket aren't all made. First every member meets the bucket's smallest id only, which joins the
-copies of a large group in as many pairs as there are keys. What is left is exact: in buckets whose
-members aren't yet in one component, members of different components meet, with the signatures' distance
-(at most ``FAR`` lanes) and the sizes in the join's condition. Every link is confirmed on the full
-sets, from whole texts.
+Pairs in a bucket aren't all made. First every member meets the bucket's smallest id only, unless their
+signatures differ in over ``FAR`` lanes; that joins the copies of a large group in as many pairs as there
+are keys. What is left is exact: where a bucket's members aren't yet in one component, a link between two
+components needs both documents to have ``percent`` of their shingles in other components. Few
+do, which takes one count of shingles and no pairs. Those that do are clustered by shared keys and
+compared within their clusters, block by block of ``BLOCK`` documents. Every link is confirmed on
+the full sets, from whole texts.
 
 Defined results: words are runs of anything but white space, A-Z lower-cased; a text of fewer words than
 a shingle is one shingle. Documents without words, null texts included, have no shingles and no links;
@@ -28,11 +30,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowbalance.llm.common import blocks, cut, keyed, mixed, signed, utf8
+from flowbalance.llm.common import blocks, cut, keyed, lists, mixed, signed, utf8
 from flowbalance.llm.components import components
 from flowbalance.llm.words import shingles, word_hashes
 
-LANES, CHUNK, FAR = 40, 5, 24
+LANES, CHUNK, FAR, BLOCK = 40, 5, 20, 512
 _XOR, _MUL = keyed(LANES, 401), keyed(LANES, 402) | np.uint64(1)
 
 
@@ -92,30 +94,83 @@ def distance(a: str, b: str) -> str:
     return "(" + " + ".join(lanes(i) for i in range(LANES // 4)) + ")"
 
 
-def _confirm(width: int, percent: int):
+def _full(width: int):
+    """Distinct shingles of each text."""
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held = None, np.zeros(0, np.uint64)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            us, vs = batch["u"].to_numpy(), batch["v"].to_numpy()
-            linked = np.zeros(batch.num_rows, bool)
-            for lo, hi, data, offsets in blocks(batch["v_body"], 1 << 20):
+            for lo, hi, data, offsets in blocks(batch["body"], 1 << 20):
                 hashes, first = text_sets(data, offsets, width)
-                for i in range(lo, hi):
-                    body = batch["u_body"][i]
-                    if last is None or us[i] != last[0] or body.as_buffer() != last[1]:
-                        raw = np.frombuffer(body.as_buffer(), np.uint8)
-                        held, _ = text_sets(raw, np.array([0, len(raw)]), width)
-                        last = (us[i], body.as_buffer())
-                    other = hashes[first[i - lo]:first[i - lo + 1]]
-                    both = len(np.intersect1d(held, other, assume_unique=True))
-                    linked[i] = 100 * both >= percent * (len(held) + len(other) - both)
-            yield pa.RecordBatch.from_arrays([pa.array(us[linked]), pa.array(vs[linked])], names=["u", "v"])
+                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(lo, hi - lo), lists(pa.array(signed(hashes)), first)], names=["id", "set"])
 
     return rows
 
 
+def _confirm(percent: int):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            linked = np.zeros(batch.num_rows, bool)
+            for i, (one, other) in enumerate(zip(batch["u_set"], batch["v_set"], strict=True)):
+                one, other = one.values.to_numpy(), other.values.to_numpy()
+                both = len(np.intersect1d(one, other, assume_unique=True))
+                linked[i] = 100 * both >= percent * (len(one) + len(other) - both)
+            mask = pa.array(linked)
+            yield pa.RecordBatch.from_arrays([batch["u"].filter(mask), batch["v"].filter(mask)], names=["u", "v"])
+
+    return rows
+
+
+def _block_links(percent: int):
+    """Links between the documents of two blocks of a cluster, or of one with itself."""
+    def links(block: pa.Table) -> pa.Table:
+        ids, label, side = (block[c].to_numpy() for c in ("id", "label", "side"))
+        sets = block["set"].combine_chunks()
+        sets = sets.chunk(0) if isinstance(sets, pa.ChunkedArray) else sets
+        own = sets.value_parent_indices().to_numpy()
+        n = np.bincount(own, minlength=len(ids))
+        _, at, df = np.unique(sets.flatten().to_numpy(), return_inverse=True, return_counts=True)
+        column = np.cumsum(df > 1) - 1  # shingles of one document only are in no intersection
+        many = df[at] > 1
+        own, at = own[many], column[at[many]]
+        both = np.zeros((len(ids), len(ids)), np.float32)
+        order = np.argsort(at, kind="stable")
+        own, at = own[order], at[order]
+        for lo in range(0, int(at.max(initial=-1)) + 1, 2048):
+            a, b = np.searchsorted(at, (lo, lo + 2048))
+            part = np.zeros((len(ids), 2048), np.float32)
+            part[own[a:b], at[a:b] - lo] = 1
+            both += part @ part.T
+        union = n[:, None] + n[None, :] - both
+        found = (100 * both >= percent * union) & (label[:, None] != label[None, :]) & (ids[:, None] < ids[None, :])
+        if len(np.unique(side)) > 1:
+            found &= side[:, None] != side[None, :]
+        u, v = np.nonzero(found)
+        return pa.table({"u": ids[u], "v": ids[v]})
+
+    return links
+
+
+def _across(keys: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """(u, v) of all links between documents of different components that share a key."""
+    placed = keys.join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
+    apart = placed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
+    open_ = cut(placed.join(apart, "key"))
+    held = open_.select("id", "label").distinct().join(sets, "id")
+    shingles = held.select("id", "label", F.size("set").alias("n"), F.explode("set").alias("h"))
+    spread = shingles.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("h")
+    left = cut(shingles.join(spread, "h").groupBy("id", "label", "n").agg(F.count("*").alias("shared"))
+               .where(F.col("shared") * 100 >= F.col("n") * percent).select("id", "label").distinct())
+    still = open_.join(left.select("id"), "id", "left_semi").select("key", "id")
+    heads = still.groupBy("key").agg(F.min("id").alias("v"))
+    clusters = components(still.join(heads, "key").select(F.col("id").alias("u"), "v").distinct())
+    members = left.join(clusters.withColumnRenamed("label", "cluster"), "id", "left").withColumn("cluster", F.coalesce("cluster", "id"))
+    size = members.groupBy("cluster").agg(F.count("*").alias("size")).where("size > 1")
+    dealt = (members.join(size, "cluster").withColumn("parts", F.ceil(F.col("size") / BLOCK).cast("int"))
+             .withColumn("side", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+             .select("cluster", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "id", "label", "side"))
+    return dealt.join(sets, "id").groupBy("cluster", "i", "j").applyInArrow(_block_links(percent), "u long, v long")
+
+
 def near_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """Per row of ``docs(doc_id, text)``: doc_id, n_shingles, component_id, kept."""
     body = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("body"))
@@ -123,35 +178,25 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     fit = thin.where("n > 0 and doc_id is not null")
     classes = cut(fit.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig")))
     keys = classes.select("id", "sig").mapInArrow(_keys, "key long, id long")
-    text = body.where("doc_id is not null")
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        """Pairs (u, v), v's text moved to u's."""
-        with_v = pairs.join(text.select(F.col("doc_id").alias("v"), F.col("body").alias("v_body")), "v")
-        with_u = with_v.join(text.select(F.col("doc_id").alias("u"), F.col("body").alias("u_body")), "u")
-        return cut(with_u.select("u", "v", "u_body", "v_body").mapInArrow(_confirm(width, percent), "u long, v long").distinct())
+    least = keys.groupBy("key").agg(F.min("id").alias("u"), F.max("id").alias("most")).where("u <> most").select("key", "u")
+    met = cut(keys.join(least, "key").select("key", "id", "u"))  # the rows of all buckets with two ids
+    needed = met.select("id").distinct()
+    sets = cut(body.join(needed, F.col("doc_id") == F.col("id"), "left_semi").mapInArrow(_full(width), "id long, set array<long>"))
 
     near = f"100 * least(un, vn) >= {percent} * greatest(un, vn) AND {distance('usig', 'vsig')} <= {FAR}"
     as_u = classes.select(F.col("id").alias("u"), F.col("n").alias("un"), F.col("sig").alias("usig"))
     as_v = classes.select(F.col("id").alias("v"), F.col("n").alias("vn"), F.col("sig").alias("vsig"))
-    least = keys.groupBy("key").agg(F.min("id").alias("u"), F.max("id").alias("most")).where("u <> most").select("key", "u")
-    stars = keys.withColumnRenamed("id", "v").join(least, "key").where("u <> v").select("u", "v").distinct()
-    tried = cut(stars.join(as_u, "u").join(as_v, "v").where(near).select("u", "v"))
-    links = confirmed(tried)
+    stars = met.where("u <> id").select("u", F.col("id").alias("v")).distinct()
+    tried = stars.join(as_u, "u").join(as_v, "v").where(near).select("u", "v")
+    links = (tried.join(sets.select(F.col("id").alias("v"), F.col("set").alias("v_set")), "v")
+             .join(sets.select(F.col("id").alias("u"), F.col("set").alias("u_set")), "u")
+             .select("u", "v", "u_set", "v_set").mapInArrow(_confirm(percent), "u long, v long"))
     # texts of one document in several classes
     twice = (fit.join(classes.select("n", "s1", "s2", "id"), ["n", "s1", "s2"]).groupBy("doc_id").agg(F.min("id").alias("u"), F.max("id").alias("most"), F.collect_set("id").alias("all"))
              .where("u <> most").select("u", F.explode("all").alias("v")))
-    links = links.unionByName(twice)
-    first = components(links)
-
-    placed = keys.join(first, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
-    mixed_keys = placed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-    open_ = cut(placed.join(mixed_keys, "key"))
-    side = {x: open_.select("key", F.col("id").alias(x), F.col("label").alias(f"{x}l")).join({"u": as_u, "v": as_v}[x], x) for x in "uv"}
-    rest = (side["u"].join(side["v"], "key")
-            .where(f"u < v AND ul <> vl AND {near}").select("u", "v").distinct()
-            .join(tried, ["u", "v"], "left_anti"))
-    more = confirmed(rest)
+    first = components(links.unionByName(twice))
+    more = _across(met.select("key", "id"), sets, first, percent)
     labels = components(first.select(F.col("id").alias("u"), F.col("label").alias("v")).unionByName(more))
     named = classes.join(labels, "id", "left").select("n", "s1", "s2", F.coalesce("label", "id").alias("component"))
     return (thin.join(named, ["n", "s1", "s2"], "left")
