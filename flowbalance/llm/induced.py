@@ -64,23 +64,21 @@ def name_substrings(t: np.ndarray, smaller: np.ndarray, starts: np.ndarray) -> n
 class KeyQueue:
     """Priority queue of integers by integer keys that are taken in one direction.
 
-    Keys are dealt into ranges. The range being taken is in memory, a list for each key; others
-    are lists of (key, item), written to a file when the queue holds more than ``limit`` items.
+    Keys are dealt into ranges, one if all fits into memory. The range being taken is ``near``, a list
+    for each key; others are lists of (key, item), written to a file when the queue holds more
+    than ``limit`` items.
     """
 
-    def __init__(self, keys: int, limit: int = IN_MEMORY, ranges: int = 64):
+    def __init__(self, keys: int, items: int, limit: int = IN_MEMORY, ranges: int = 64):
+        ranges = 1 if items <= limit else ranges
         self.width = max(1, -(-keys // ranges))
         self.far: list[list[int]] = [[] for _ in range(-(-keys // self.width))]
         self.spilled: list[list[tuple[int, int]]] = [[] for _ in self.far]
-        self.near: list[list[int]] = []
-        self.now, self.held, self.limit, self.file = -1, 0, limit, None
+        self.held, self.limit, self.file = 0, limit, None
 
     def push(self, key: int, item: int) -> None:
-        r = key // self.width
-        if r == self.now:
-            self.near[key - r * self.width].append(item)
-            return
-        self.far[r] += (key, item)
+        """For a key of a range yet to be taken."""
+        self.far[key // self.width] += (key, item)
         self.held += 1
         if self.held > self.limit:
             self._spill()
@@ -96,22 +94,19 @@ class KeyQueue:
                 items.clear()
         self.held = 0
 
-    def take(self, key: int) -> list[int]:
-        """The key's items; the list grows as items of this key are pushed."""
-        r = key // self.width
-        if r != self.now:
-            items = array("q")
-            for at, n in self.spilled[r]:
-                self.file.seek(at)
-                items.fromfile(self.file, n)
-            items.extend(self.far[r])
-            self.held -= len(self.far[r]) // 2
-            self.far[r], self.spilled[r] = [], []
-            self.now, self.near = r, [[] for _ in range(self.width)]
-            low = r * self.width
-            for k in range(0, len(items), 2):
-                self.near[items[k] - low].append(items[k + 1])
-        return self.near[key - r * self.width]
+    def take(self, r: int) -> list[list[int]]:
+        """The range's items by key. A list grows as its key is pushed while the range is taken."""
+        items = array("q")
+        for at, n in self.spilled[r]:
+            self.file.seek(at)
+            items.fromfile(self.file, n)
+        items.extend(self.far[r])
+        self.held -= len(self.far[r]) // 2
+        self.far[r], self.spilled[r] = [], []
+        low, near = r * self.width, [[] for _ in range(self.width)]
+        for k in range(0, len(items), 2):
+            near[items[k] - low].append(items[k + 1])
+        return near
 
 
 def sorted_suffixes(t: np.ndarray, limit: int = IN_MEMORY) -> np.ndarray:
@@ -123,35 +118,62 @@ def sorted_suffixes(t: np.ndarray, limit: int = IN_MEMORY) -> np.ndarray:
     stars = np.flatnonzero(smaller & np.append(True, ~smaller[:-1]))
     stars = stars[stars > 0]
     ranked = stars[_order(name_substrings(t, smaller, stars), limit)]
-    s = t.tolist()
-    star_key = t[ranked]
-    bounds = np.searchsorted(star_key, np.arange(keys + 1)).tolist()
-    stars = ranked.tolist()
-    larger, out_larger = KeyQueue(keys, limit), array("q")
-    larger_ends = [0]
-    for c in range(keys):
-        for p in (items := larger.take(c)):
-            if p and (q := s[p - 1]) >= c:
-                larger.push(q, p - 1)
-        for k in range(bounds[c], bounds[c + 1]):
-            p = stars[k] - 1
-            larger.push(s[p], p)
-        out_larger.extend(items)
-        larger_ends.append(len(out_larger))
-    small, parts = KeyQueue(keys, limit), []
-    for c in range(keys - 1, -1, -1):
-        if c == 0:
-            small.push(0, len(s) - 1)
-        for p in (items := small.take(c)):
-            if p and (q := s[p - 1]) <= c and smaller[p - 1]:
-                small.push(q, p - 1)
-        ups = out_larger[larger_ends[c]:larger_ends[c + 1]]
-        for p in reversed(ups):
-            if p and (q := s[p - 1]) < c:
-                small.push(q, p - 1)
-        parts.append(np.array(items[::-1], np.int64))
-        parts.append(np.frombuffer(ups, np.int64) if ups else np.zeros(0, np.int64))
-    return np.concatenate(parts[::-1])
+    bounds = np.searchsorted(t[ranked], np.arange(keys + 1)).tolist()
+    stars = (ranked - 1).tolist()  # the larger ones before them
+    before = [-1, *t.tolist()]  # name before each suffix; none is a key before the first
+    queue, ends, larger = KeyQueue(keys, len(t), limit), [0], array("q")
+    width = queue.width
+    for low in range(0, keys, width):
+        near = queue.take(low // width)
+        high = low + width
+        for c in range(low, min(high, keys)):
+            items = near[c - low]
+            for p in items:
+                q = before[p]
+                if q >= c:
+                    if q < high:
+                        near[q - low].append(p - 1)
+                    else:
+                        queue.push(q, p - 1)
+            for p in stars[bounds[c]:bounds[c + 1]]:
+                q = before[p + 1]
+                if q < high:
+                    near[q - low].append(p)
+                else:
+                    queue.push(q, p)
+            if items:
+                larger.extend(items)
+            ends.append(len(larger))
+    before[0] = keys
+    queue, parts = KeyQueue(keys, len(t), limit), []
+    queue.push(0, len(t) - 1)
+    for low in range((keys - 1) // width * width, -1, -width):
+        near = queue.take(low // width)
+        for c in range(min(low + width, keys) - 1, low - 1, -1):
+            items = near[c - low]
+            for p in items:
+                q = before[p]
+                if q <= c:
+                    if q >= low:
+                        near[q - low].append(p - 1)
+                    else:
+                        queue.push(q, p - 1)
+            ups = larger[ends[c]:ends[c + 1]]
+            for p in reversed(ups):
+                q = before[p]
+                if q < c:
+                    if q >= low:
+                        near[q - low].append(p - 1)
+                    else:
+                        queue.push(q, p - 1)
+            parts += (items, ups)
+    out = array("q")
+    for k in range(len(parts) - 1, 0, -2):
+        if parts[k]:
+            out.extend(parts[k])
+        if parts[k - 1]:
+            out.extend(parts[k - 1][::-1])
+    return np.frombuffer(out, np.int64)
 
 
 def _order(names: np.ndarray, limit: int) -> np.ndarray:
