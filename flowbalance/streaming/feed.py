@@ -88,11 +88,16 @@ def params_in_effect_stream(
     """Resolve parameters for arriving facts against the newest version of the change table.
 
     ``read_changes`` is called per micro-batch. A batch writes its own folder and overwrites it
-    when it is repeated after a failure, so a fact never appears twice.
+    when it is repeated after a failure, so a fact never appears twice. The batch is read once
+    and kept while it is resolved, as resolving looks at it twice; a lost part is read again.
     """
     def resolve_batch(batch: DataFrame, batch_id: int) -> None:
-        resolve(batch, read_changes()).write.mode("overwrite").parquet(
-            f"{path}/batch_id={batch_id}")
+        kept = batch.persist()
+        try:
+            resolve(kept, read_changes()).write.mode("overwrite").parquet(
+                f"{path}/batch_id={batch_id}")
+        finally:
+            kept.unpersist()
 
     return (facts.writeStream.foreachBatch(resolve_batch)
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
