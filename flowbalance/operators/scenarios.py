@@ -46,6 +46,21 @@ def with_scenarios(
     return apply_overrides(configs.selectExpr("*", fan(options)))
 
 
+def with_scenario_table(
+    configs: DataFrame, scenarios: DataFrame, keys: Sequence[str], copies: int = 64
+) -> DataFrame:
+    """Every configuration under every scenario of a table, overrides applied.
+
+    ``scenarios`` has ``scenario_id`` and, per group of settings it touches, a nullable struct named
+    after the group. Configurations are dealt by ``keys`` to as many shares as there are ``copies``
+    of the table, and each share meets one copy: an equi-join, spread over the shares.
+    """
+    dealt = configs.withColumn("_share", F.pmod(F.xxhash64(*keys), F.lit(copies)))
+    copied = scenarios.withColumn("_share", F.explode(F.sequence(
+        F.lit(0).cast("long"), F.lit(copies - 1).cast("long"))))
+    return apply_overrides(dealt.join(copied, "_share").drop("_share"))
+
+
 def scenario_grid(
     base: DataFrame, ranges: Mapping[str, Sequence[object]], keys: Sequence[str] = (),
     partitions: int | None = None,

@@ -61,6 +61,7 @@ from ..operators.scenarios import (
     flow_invariants,
     invariants,
     scenario_grid,
+    with_scenario_table,
     with_scenarios,
 )
 from ..sources.dims import allocations, market_params, recipes
@@ -443,14 +444,29 @@ GRID = {
 }
 
 
-def grid_sweep(spark: SparkSession, path: str) -> DataFrame:
-    """The pooled milk of each site under all combinations of a parameter grid."""
-    pooled = composition_pct(lot_masses_by_site(spark, path)).select(
+def _pooled_configs(spark: SparkSession, path: str) -> DataFrame:
+    """The pooled milk of each site with the default settings."""
+    return composition_pct(lot_masses_by_site(spark, path)).select(
         "site", *[F.expr(rounded(c)).alias(c) for c in ("volume", "fat_pct", "snf_pct")],
         *[F.lit(v).alias(k) for k, v in DEFAULT_CONFIG.items()
           if k not in ("volume", "fat_pct", "snf_pct")])
+
+
+def scenario_table(spark: SparkSession, path: str) -> DataFrame:
+    """The pooled milk of each site with the cream target and the split of every nation."""
+    rules = spark.read.parquet(f"{path}/nation.parquet").selectExpr(
+        "n_nationkey AS scenario_id", "STRUCT(30D + n_nationkey % 16 AS cream_fat_pct) AS separator",
+        "IF(n_nationkey % 2 = 0, STRUCT(n_nationkey * 4D AS skim_split_pct), NULL) AS skim_split")
+    tried = with_scenario_table(_pooled_configs(spark, path), rules, ["site"])
+    keys = ["site", "scenario_id"]
+    rows = evaluate_scenarios(tried, recipes(spark), market_params(spark), keys)
+    return _rounded(revenue(rows, keys), "revenue")
+
+
+def grid_sweep(spark: SparkSession, path: str) -> DataFrame:
+    """The pooled milk of each site under all combinations of a parameter grid."""
     tasks = spark.sparkContext.defaultParallelism
-    grid = scenario_grid(pooled, GRID, ["site"], tasks)
+    grid = scenario_grid(_pooled_configs(spark, path), GRID, ["site"], tasks)
     rows = evaluate_scenarios(grid, recipes(spark), market_params(spark), ["site", "grid_id"])
     return _rounded(revenue(rows, ["site", "grid_id"]), "revenue")
 
@@ -537,6 +553,7 @@ CATALOGUE: dict[str, Query] = {
     "best_scenario": best_scenario_by_site,
     "scenario_invariants": scenario_invariants,
     "result_invariants": result_invariants,
+    "scenario_table": scenario_table,
     "grid_sweep": grid_sweep,
     "price_feed_stream": price_feed_stream,
     "price_direction_stream": price_direction_feed,

@@ -292,6 +292,14 @@ configs AS (SELECT site, g AS grid_id, {r('volume')} AS volume, {r('fat / volume
  80e0 AS butter_b_fat_pct, 'nfdm' AS powder_a, 'bmp' AS powder_b
  FROM sites CROSS JOIN (SELECT unnest(generate_series(0, 127)) AS g))"""
 
+_RULES = f"""{MILK}, {_SITE_MASSES},
+configs AS (SELECT site, n_nationkey AS scenario_id, {r('volume')} AS volume,
+ {r('fat / volume * 100e0')} AS fat_pct, {r('snf / volume * 100e0')} AS snf_pct,
+ 30e0 + n_nationkey % 16 AS cream_fat_pct,
+ CASE WHEN n_nationkey % 2 = 0 THEN n_nationkey * 4e0 ELSE 50e0 END AS skim_split_pct,
+ 'cheddar' AS cheese_a, 'mozzarella' AS cheese_b, 50e0 AS cream_split_pct, 82e0 AS butter_a_fat_pct,
+ 80e0 AS butter_b_fat_pct, 'nfdm' AS powder_a, 'bmp' AS powder_b FROM sites CROSS JOIN nation)"""
+
 TREND = f"""WITH {DAILY}, micro AS (SELECT *, {u('price')} AS p FROM quotes)
 SELECT site, product, tick, {r('CAST(sum(p) OVER w AS DOUBLE) / 1e6 / count(p) OVER w')} AS mean_price,
  {r('min(price) OVER w')} AS min_price, {r('max(price) OVER w')} AS max_price FROM micro
@@ -440,6 +448,8 @@ SELECT scenario_id, count(*) AS n_rows, count(*) FILTER (WHERE isnan(v)) AS n_na
  count(*) FILTER (WHERE isnan(volume)) AS n_nan, count(*) FILTER (WHERE volume < 0) AS n_negative,
  min(volume) AS min_value, max(volume) AS max_value, bool_and(volume >= 0) AS sound
  FROM results GROUP BY scenario_id""",
+    "scenario_table": f"""WITH {_RULES}, {plant('configs')}, {evaluated('site, scenario_id')}
+SELECT site, scenario_id, {r(s('revenue'), 4)} AS revenue FROM results GROUP BY site, scenario_id""",
     "grid_sweep": f"""WITH {_GRID}, {plant('configs')}, {evaluated('site, grid_id')}
 SELECT site, grid_id, {r(s('revenue'), 4)} AS revenue FROM results GROUP BY site, grid_id""",
     "price_feed_stream": f"""WITH {FEED} SELECT tick, site, product, volume, {r('price')} AS price,
