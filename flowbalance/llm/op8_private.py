@@ -10,8 +10,8 @@ own, so "Mr John Smith" and "Mr Smith" stay one family.
 
 Surrogates are drawn by a keyed hash. Over all distinct entities of the corpus it is then checked that no
 two share a surrogate and that none is a real entity; those that fail draw again, from the fourth time
-on a longer form, until none fails. Entities on other than their first draw, none in most corpora, are
-joined to their documents.
+on a longer form, until none fails. Entities on other than their first draw are few; up to
+``MOST_REDRAWN`` of them are counted and broadcast, more are joined to their documents.
 
 Defined results: a null text stays null and has no entities, an empty text stays empty. Overlapping
 finds go to the earlier, then the longer one. Repeated rows are replaced alike. An empty table gives no
@@ -55,6 +55,8 @@ _NAME = re.compile(rf"(?<!\w)({'|'.join(sorted(_GENDER, key=len, reverse=True))}
 SYLLABLES = {"latin": ("bdfgklmnprstv", "aeiou"), "cyrillic": ("бвгдклмнпрст", "аеиоу")}
 ENDINGS = {("latin", "m"): "n", ("latin", "f"): "a", ("latin", "n"): "i", ("cyrillic", "m"): "н", ("cyrillic", "f"): "а", ("cyrillic", "n"): "и"}
 
+#: Entities on other than their first draw that are broadcast, about 20 MB.
+MOST_REDRAWN = 200_000
 FOUND = "array<struct<kind: string, start: int, surrogate: string>>"
 
 
@@ -127,11 +129,7 @@ def surrogate(kind: str, norm: str, attempt: int, key: str) -> str:
         more = "".join(like("a") for _ in range(max(0, attempt - 2)))
         return "".join(map(like, local)) + more + "@" + ".".join([*named, top])
     if kind == "ip":
-        def octet(n: int) -> str:
-            low, high = ((1, 9), (10, 99), (100, 254))[n - 1]
-            return str(low + (next(stream) << 8 | next(stream)) % (high - low + 1))
-        # crowded lengths widen with the attempts
-        return ".".join(octet(3 if attempt > 2 else len(x)) for x in norm.split("."))
+        return ".".join(str(1 + (next(stream) << 8 | next(stream)) % 254) for _ in range(4))
     if kind == "secret":
         is_hex = all(c in "0123456789abcdef" for c in norm)
         return "".join(pick("0123456789abcdef") if is_hex else like(c) for c in norm) + "".join(like("a") for _ in range(max(0, attempt - 2)))
@@ -193,8 +191,9 @@ def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in seen], pa.int64()), *(pa.array([e[k] for e in seen], pa.string()) for k in (1, 2))], names=["doc_id", "kind", "norm"])
 
 
-def _replace(key: str):
+def _replace(key: str, redrawn):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        everywhere = redrawn.value
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
                 part = batch.slice(lo, 500)
@@ -203,7 +202,7 @@ def _replace(key: str):
                     text, found, out, at, size = text.as_py(), [], [], 0, 0
                     draws = {(x["kind"], x["norm"]): x["attempt"] for x in again.as_py() or ()}
                     for start, end, kind, norm in entities(text or ""):
-                        new = written(kind, text[start:end], norm, surrogate(kind, norm, draws.get((kind, norm), 0), key))
+                        new = written(kind, text[start:end], norm, surrogate(kind, norm, draws.get((kind, norm), everywhere.get((kind, norm), 0)), key))
                         out += [text[at:start], new]
                         size += start - at
                         found.append({"kind": kind, "start": size, "surrogate": new})
@@ -233,16 +232,19 @@ def draws(docs: DataFrame, key: str) -> DataFrame:
             return state
 
 
-def replace_private(docs: DataFrame, key: str) -> DataFrame:
+def replace_private(docs: DataFrame, key: str, most_redrawn: int = MOST_REDRAWN) -> DataFrame:
     """Per row of ``docs(doc_id, text)``: doc_id, text with surrogates, n_entities, found (kind, start in
     the new text, surrogate)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    again = draws(rows, key).where("attempt > 0")
-    kind = "array<struct<kind: string, norm: string, attempt: int>>"
-    if again.isEmpty():
-        rows = rows.withColumn("again", F.lit(None).cast(kind))
+    again = cut(draws(rows, key).where("attempt > 0"))
+    few = again.limit(most_redrawn + 1).collect()
+    everywhere: dict[tuple[str, str], int] = {}
+    if len(few) <= most_redrawn:
+        everywhere = {(x["kind"], x["norm"]): x["attempt"] for x in few}
+        rows = rows.withColumn("again", F.lit(None).cast("array<struct<kind: string, norm: string, attempt: int>>"))
     else:
         places = rows.mapInArrow(_places, "doc_id long, kind string, norm string").distinct()
         marks = places.join(again, ["kind", "norm"]).groupBy("doc_id").agg(F.collect_list(F.struct("kind", "norm", "attempt")).alias("again"))
-        rows = rows.join(marks, "doc_id", "left").select("doc_id", "text", "again")
-    return rows.mapInArrow(_replace(key), f"doc_id long, text string, n_entities int, found {FOUND}")
+        rows = rows.alias("d").join(marks.alias("m"), F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")), "left").select("d.doc_id", "d.text", "m.again")
+    shared = docs.sparkSession.sparkContext.broadcast(everywhere)
+    return rows.mapInArrow(_replace(key, shared), f"doc_id long, text string, n_entities int, found {FOUND}")
