@@ -27,9 +27,9 @@ def components(edges: DataFrame) -> DataFrame:
     label. Each round is written out, so that plans stay small; rounds grow with the logarithm of a
     component's diameter. It is done when the edges are stars: no node points on that is pointed to,
     and none points to two."""
-    now = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    now = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     while True:
         now = cut(_small(_large(now)))
-        ends = now.select(F.col("u").alias("x"), F.lit(1).alias("out")).unionByName(now.select(F.col("v").alias("x"), F.lit(0).alias("out")).distinct())
+        ends = now.select(F.col("u").alias("x"), F.lit(1).alias("out")).unionByName(now.select(F.col("v").alias("x"), F.lit(0).alias("out")))
         if ends.groupBy("x").agg(F.sum("out").alias("n"), F.min("out").alias("least")).where("n > 1 or (n = 1 and least = 0)").isEmpty():
             return now.select(F.col("u").alias("id"), F.col("v").alias("label"))

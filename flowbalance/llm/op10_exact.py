@@ -100,8 +100,9 @@ def exact_groups(docs: DataFrame, hash_bits: int = 64) -> DataFrame:
         recipes = (recipes.alias("r").join(marks.alias("m"), (F.col("r.doc_id").eqNullSafe(F.col("m.doc_id"))) & (F.col("r.text_sha256") == F.col("m.text_sha256")), "left")
                    .select("r.*", F.coalesce("m.found", F.lit("")).alias("variants")))
     recipes = recipes.withColumn("recipe", F.xxhash64("ids", "variants"))
-    groups = recipes.groupBy("recipe", "ids", "variants").agg(
-        F.count("*").alias("group_size"), F.min(F.struct(-F.col("n_points"), F.col("doc_id").isNull(), "doc_id")).alias("best"))
+    # written out, so that Spark splits the partition of a large group in the join
+    groups = cut(recipes.groupBy("recipe", "ids", "variants").agg(
+        F.count("*").alias("group_size"), F.min(F.struct(-F.col("n_points"), F.col("doc_id").isNull(), "doc_id")).alias("best")))
     return (recipes.join(groups, ["recipe", "ids", "variants"])
             .select("doc_id", F.col("best.doc_id").alias("keep_id"), "group_size",
                     F.col("doc_id").eqNullSafe(F.col("best.doc_id")).alias("kept"), "text_sha256"))
