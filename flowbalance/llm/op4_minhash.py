@@ -84,14 +84,13 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(signed(key.ravel())), pa.array(np.repeat(batch["id"].to_numpy(), len(kept)))], names=["key", "id"])
 
 
-def distance(a: str, b: str) -> str:
-    """SQL: lanes in which two signatures (arrays of longs, four lanes each) differ."""
-    def lanes(i: int) -> str:
-        x = f"({a}[{i}] ^ {b}[{i}])"
-        for by in (8, 4, 2, 1):
-            x = f"transform(array({x}), y -> y | shiftrightunsigned(y, {by}))[0]"
-        return f"bit_count({x} & 281479271743489)"
-    return "(" + " + ".join(lanes(i) for i in range(LANES // 4)) + ")"
+def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose signatures differ in at most FAR lanes."""
+    for batch in batches:
+        if batch.num_rows:
+            one, other = (batch[c].flatten().to_numpy().view(np.uint16).reshape(-1, LANES) for c in ("usig", "vsig"))
+            mask = pa.array((one != other).sum(axis=1) <= FAR)
+            yield pa.RecordBatch.from_arrays([batch["u"].filter(mask), batch["v"].filter(mask)], names=["u", "v"])
 
 
 def _full(width: int):
@@ -154,11 +153,13 @@ def _across(keys: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) -
     placed = keys.join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
     apart = placed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
     open_ = cut(placed.join(apart, "key"))
-    held = open_.select("id", "label").distinct().join(sets, "id")
-    shingles = held.select("id", "label", F.size("set").alias("n"), F.explode("set").alias("h"))
+    owners = open_.select("id", "label").distinct()
+    held = owners.join(sets, "id").select("id", "label", F.size("set").alias("n"), F.explode("set").alias("h"))
+    # 40 bits do: two shingles taken for one can only let a document through
+    shingles = held.withColumn("h", F.col("h").bitwiseAND((1 << 40) - 1)).withColumn("n", F.col("n").cast("long"))
     spread = shingles.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("h")
-    left = cut(shingles.join(spread, "h").groupBy("id", "label", "n").agg(F.count("*").alias("shared"))
-               .where(F.col("shared") * 100 >= F.col("n") * percent).select("id", "label").distinct())
+    shared = shingles.select("h", "id", "n").join(spread, "h").groupBy("id").agg(F.count("*").alias("shared"), F.min("n").alias("n"))
+    left = cut(shared.where(F.col("shared") * 100 >= F.col("n") * percent).join(owners, "id").select("id", "label"))
     still = open_.join(left.select("id"), "id", "left_semi").select("key", "id")
     heads = still.groupBy("key").agg(F.min("id").alias("v"))
     clusters = components(still.join(heads, "key").select(F.col("id").alias("u"), "v").distinct())
@@ -184,21 +185,23 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     needed = met.select("id").distinct()
     sets = cut(body.join(needed, F.col("doc_id") == F.col("id"), "left_semi").mapInArrow(_full(width), "id long, set array<long>"))
 
-    near = f"100 * least(un, vn) >= {percent} * greatest(un, vn) AND {distance('usig', 'vsig')} <= {FAR}"
+    alike = f"100 * least(un, vn) >= {percent} * greatest(un, vn)"
     as_u = classes.select(F.col("id").alias("u"), F.col("n").alias("un"), F.col("sig").alias("usig"))
     as_v = classes.select(F.col("id").alias("v"), F.col("n").alias("vn"), F.col("sig").alias("vsig"))
     stars = met.where("u <> id").select("u", F.col("id").alias("v")).distinct()
-    tried = stars.join(as_u, "u").join(as_v, "v").where(near).select("u", "v")
+    tried = stars.join(as_u, "u").join(as_v, "v").where(alike).select("u", "v", "usig", "vsig").mapInArrow(_close, "u long, v long")
     links = (tried.join(sets.select(F.col("id").alias("v"), F.col("set").alias("v_set")), "v")
              .join(sets.select(F.col("id").alias("u"), F.col("set").alias("u_set")), "u")
              .select("u", "v", "u_set", "v_set").mapInArrow(_confirm(percent), "u long, v long"))
     # texts of one document in several classes
-    twice = (fit.join(classes.select("n", "s1", "s2", "id"), ["n", "s1", "s2"]).groupBy("doc_id").agg(F.min("id").alias("u"), F.max("id").alias("most"), F.collect_set("id").alias("all"))
+    again = cut(fit.groupBy("doc_id").agg(F.count("*").alias("texts")).where("texts > 1").select("doc_id"))
+    twice = (fit.join(again, "doc_id").join(classes.select("n", "s1", "s2", "id"), ["n", "s1", "s2"]).groupBy("doc_id").agg(F.min("id").alias("u"), F.max("id").alias("most"), F.collect_set("id").alias("all"))
              .where("u <> most").select("u", F.explode("all").alias("v")))
-    first = components(links.unionByName(twice))
+    first = components(links if again.isEmpty() else links.unionByName(twice))
     more = _across(met.select("key", "id"), sets, first, percent)
     labels = components(first.select(F.col("id").alias("u"), F.col("label").alias("v")).unionByName(more))
-    named = classes.join(labels, "id", "left").select("n", "s1", "s2", F.coalesce("label", "id").alias("component"))
+    # written out, so that Spark splits the partition of a large class in the join
+    named = cut(classes.join(labels, "id", "left").select("n", "s1", "s2", F.coalesce("label", "id").alias("component")))
     return (thin.join(named, ["n", "s1", "s2"], "left")
             .select("doc_id", F.col("n").alias("n_shingles"),
                     F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))

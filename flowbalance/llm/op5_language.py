@@ -100,8 +100,9 @@ def learn(labelled: DataFrame, buckets: int = BUCKETS) -> tuple[list[str], np.nd
         raise ValueError(f"over {most} languages; use fewer buckets")
     found = counts.toArrow()
     tables = np.full((len(langs), len(SIZES) * buckets), 0.5)
-    where = {name: k for k, name in enumerate(langs)}
-    of = np.array([where[x] for x in found["lang"].to_pylist()], np.int64)
+    coded = found["lang"].combine_chunks().dictionary_encode()
+    coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
+    of = np.searchsorted(langs, coded.dictionary.to_pylist())[coded.indices.to_numpy()] if len(found) else np.zeros(0, np.int64)
     tables[of, found["cell"].to_numpy()] += found["n"].to_numpy()
     tables = tables.reshape(len(langs), len(SIZES), buckets)
     logs = np.log(tables / tables.sum(axis=2, keepdims=True)).astype(np.float32)
