@@ -28,7 +28,7 @@ from flowbalance.llm.common import blocks, cut, keyed, lists, mixed, signed, utf
 from flowbalance.llm.induced import repeated
 from flowbalance.llm.words import powers
 
-GRAM, CROWD, SHARD = 64, 4096, 1 << 20
+GRAM, CROWD, SHARD = 64, 2048, 1 << 20
 _CODES, _BASE = keyed(256, 201), 0xD1342543DE82EF95
 _BACK = pow(_BASE, -1, 1 << 64)
 RUN = "lo long, n int, off int, anchor long, context long"
@@ -179,12 +179,14 @@ def remove_repeats(docs: DataFrame, length: int = 400, gram: int = GRAM, crowd:
     """Per row of ``docs(doc_id, text)``: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     body = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("stamp"), utf8().alias("body"))
     runs = body.mapInArrow(_runs(length, gram), f"doc_id long, stamp long, {RUN}")
-    often = runs.groupBy("anchor").agg(F.count("*").alias("of")).where("of > 1").select("anchor")
+    # sides of joins are written out first: Spark then splits the partition of a hot anchor
+    often = cut(runs.groupBy("anchor").agg(F.count("*").alias("of")).where("of > 1").select("anchor"))
     some = cut(runs.join(often, "anchor", "left_semi"))
     # one row per distinct context, of any of its places
-    contexts = some.groupBy("anchor", "context").agg(F.count("*").alias("times"), *(F.first(c).alias(c) for c in ("doc_id", "stamp", "lo", "n")))
-    several = contexts.groupBy("anchor").agg(F.count("*").alias("kinds"))
-    asked = (contexts.join(several.where("kinds > 1"), "anchor")
+    contexts = cut(some.groupBy("anchor", "context").agg(F.count("*").alias("times"), *(F.first(c).alias(c) for c in ("doc_id", "stamp", "lo", "n"))))
+    # where every context repeats, all is known
+    several = cut(contexts.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("times").alias("least")).where("kinds > 1 and least = 1").select("anchor", "kinds"))
+    asked = (contexts.join(several, "anchor")
              .groupBy("doc_id", "stamp").agg(F.collect_list(F.struct("lo", "n", "anchor", "context", "times", (F.col("kinds") > crowd).alias("crowd"))).alias("asked")))
     same_doc = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in ("doc_id", "stamp")]
     once = body.alias("l").join(asked.alias("r"), same_doc).select("l.doc_id", "l.stamp", "l.body", "r.asked")
