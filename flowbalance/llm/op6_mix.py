@@ -12,9 +12,11 @@ most half of its last document.
 
 Defined results: words are runs of anything but space and \\t \\n \\v \\f \\r; a null text has none. A null
 source is a source, the last one. A document without words is taken as 0 words. Rows that repeat
-``doc_id``, source and size are rounded as one document of their total and share its copies, so a
-repeated row never crowds a bucket. No words at all give zero targets; an empty table no rows. Further
-columns are ignored. The same rows give the same mix in any partitioning: chances are hashes of ids.
+``doc_id``, source and size, null ids included, are documents of their own, but go through the tree as
+one: of m of them at share p, floor(m p) have one copy more, one is rounded with the chance that is left,
+and the others have none. So a repeated row never crowds a bucket and is never rounded as a whole. No
+words at all give zero targets; an empty table no rows. Further columns are ignored. The same rows give
+the same mix in any partitioning: chances are hashes of ids.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ OF_SOURCE = ["source", "source_size", "target", "whole", "n_parts"]
 _STEP = """
 transform(array(named_struct(
     'u', (xxhash64({seed}, {level}, s.now.doc_id, s.now.size, x.doc_id, x.size) & 9007199254740991) / 9007199254740992D,
-    'a', cast(s.now.size * s.now.m AS double), 'b', cast(x.size * x.m AS double), 'p', s.now.p, 'q', x.p)),
+    'a', cast(s.now.size AS double), 'b', cast(x.size AS double), 'p', s.now.p, 'q', x.p)),
   t -> transform(array(named_struct(
     'up', t.u * (least(1 - t.p, t.q * t.b / t.a) + least(t.p, (1 - t.q) * t.b / t.a)) < least(t.p, (1 - t.q) * t.b / t.a))),
   d -> CASE
@@ -49,7 +51,7 @@ transform(array(named_struct(
 
 
 def _unit(of: str, p: str) -> str:
-    return f"named_struct('doc_id', {of}.doc_id, 'size', {of}.size, 'm', {of}.m, 'p', {p})"
+    return f"named_struct('doc_id', {of}.doc_id, 'size', {of}.size, 'p', {p})"
 
 
 def _fold(seed: int, level: int) -> Column:
@@ -62,7 +64,7 @@ def _fold(seed: int, level: int) -> Column:
         now_left_up=_unit("s.now", within("t.p + t.q * t.b / t.a")), x_out=_unit("x", "0D"),
         x_left_down=_unit("x", within("t.q + t.p * t.a / t.b")), now_out=_unit("s.now", "0D"),
         now_left_down=_unit("s.now", within("t.p - (1 - t.q) * t.b / t.a")), x_in=_unit("x", "1D"))
-    kind = "array<struct<doc_id: bigint, size: bigint, m: bigint, p: double>>"
+    kind = "array<struct<doc_id: bigint, size: bigint, p: double>>"
     return F.expr(f"""aggregate(slice(units, 2, size(units)),
         named_struct('now', units[0], 'done', cast(array() AS {kind})),
         (s, x) -> transform(array({step}), r -> named_struct('now', r.now, 'done', concat(s.done, array(r.done))))[0])""")
@@ -102,22 +104,27 @@ def mix(docs: DataFrame, weights: list[int], share: tuple[int, int] = (3, 2), mo
             .withColumn("whole", F.floor(rate)).withColumn("p", F.when(F.col("size") > 0, rate - F.floor(rate)).otherwise(0.0)))
     fields = [*OF_SOURCE, "doc_id", "size", "m", "p"]
     rows = rows.select(fields)
-    settled, left = [rows.where("p = 0")], rows.where("p > 0")
+    # of the m rows of a unit, up have one copy more, and one is left if a fraction is
+    split = rows.where("p > 0").withColumn("up", F.floor(F.col("m") * F.col("p"))).withColumn("rest", F.col("m") * F.col("p") - F.col("up"))
+    sides = split.select(*OF_SOURCE, "doc_id", "size", F.inline(F.expr(
+        "array(named_struct('m', up, 'p', 1D), named_struct('m', m - up - if(rest > 0, 1L, 0L), 'p', 0D))"))).where("m > 0")
+    settled = [rows.where("p = 0"), sides.select(fields)]
+    left = split.where("rest > 0").select(*OF_SOURCE, "doc_id", "size", F.col("rest").alias("p"))
     most_parts = sizes.agg(F.max("n_parts")).first()[0] or 0
 
     level, wide = 0, BUCKET
     while most_parts > 0:
         into = F.pmod(F.xxhash64(F.lit(seed), F.lit(level), "doc_id", "size"), F.ceil(F.col("n_parts") / F.lit(wide)))
         folded = cut(left.groupBy(*OF_SOURCE, into.alias("bucket"))
-                     .agg(F.sort_array(F.collect_list(F.struct((-F.col("size") * F.col("m")).alias("first"), F.xxhash64("doc_id", F.lit(seed)).alias("then"), "doc_id", "size", "m", "p"))).alias("found"))
-                     .withColumn("units", F.expr("transform(found, f -> named_struct('doc_id', f.doc_id, 'size', f.size, 'm', f.m, 'p', f.p))"))
+                     .agg(F.sort_array(F.collect_list(F.struct((-F.col("size")).alias("first"), F.xxhash64("doc_id", F.lit(seed)).alias("then"), "doc_id", "size", "p"))).alias("found"))
+                     .withColumn("units", F.expr("transform(found, f -> named_struct('doc_id', f.doc_id, 'size', f.size, 'p', f.p))"))
                      .select(*OF_SOURCE, _fold(seed, level).alias("s")))
-        settled.append(folded.select(*OF_SOURCE, F.inline("s.done")))
+        settled.append(folded.select(*OF_SOURCE, F.inline("s.done")).withColumn("m", F.lit(1).cast("long")))
         left = folded.select(*OF_SOURCE, "s.now.*")
         if wide >= most_parts:
             break
         level, wide = level + 1, wide * BUCKET
-    done = left.withColumn("p", F.round("p"))
+    done = left.withColumns({"p": F.round("p"), "m": F.lit(1).cast("long")})
     for part in settled:
         done = done.unionByName(part)
     steps = F.explode(F.sequence(F.lit(0), F.floor((F.col("m") - 1) / REPEATS)))

@@ -143,6 +143,19 @@ def test_mix_meets_targets(spark):
         assert r.size == r.words and r.target <= 2 * r.words and abs(r.taken - r.target) <= r.longest / 2 + 1
 
 
+def test_mix_splits_repeated_rows(spark):
+    """A repeated row, or many null ids of one size, don't have to be taken or left together."""
+    for doc_id in (7, None):
+        rows = [(doc_id, "w " * 20, "a")] * 200 + [(k, "w " * 10, "a") for k in range(200, 400)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+        got = mix(docs, [1]).collect()
+        assert len(got) == 400 and {r.target for r in got} == {9000.0}
+        assert abs(sum(r.taken for r in got) - 9000) <= 10
+        assert sorted(r.copies for r in got if r.size == 20) == [1] * 100 + [2] * 100
+        odd = mix(docs, [1], share=(4, 3)).collect()
+        assert abs(sum(r.taken for r in odd) - 8000) <= 10 and sum(r.copies for r in odd if r.size == 20) - 200 in (66, 67)
+
+
 def test_surrogates(spark):
     text = 'Mail Jo.Doe@Mail.Example.org or +1 (017) 555-7713, card 4111 1111 1111 1111, from 10.1.2.3. token = "0a1b2c3d4e5f" Mr John Smith, Mrs Smith; jo.doe@mail.example.org JO.DOE@MAIL.EXAMPLE.ORG 10.1.2.3'
     df = spark.createDataFrame([(1, text), (2, "again 10.1.2.3 and 4111111111111111 2024-01-02 v1.2"), (3, None)], "doc_id long, text string")
