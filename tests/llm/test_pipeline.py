@@ -5,11 +5,15 @@ from __future__ import annotations
 import random
 from collections import Counter
 
+import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
 
-from corpus_pipeline import exact_dedup, mixing, near_dedup
-from tests.llm.helpers import DOCS, near_components, squeezed
+from corpus_pipeline import STAGES, exact_dedup, language_id, mixing, near_dedup, run
+from flowbalance.llm.op9_pack import encoder
+from tests.llm.helpers import DOCS, EDGES, edge_docs, near_components, no_docs, squeezed
+
+FILES = (P.path("byte_bpe_50k.json"), P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
 
 
 def crowded() -> list[tuple]:
@@ -57,3 +61,56 @@ def test_mixing_decides_for_each_row(spark):
     aim = {"b": max(1.5 * sum(size.values()) / 4, 1.5 * sum(size.values()) - 2 * size["a"])}
     aim["a"] = 1.5 * sum(size.values()) - aim["b"]
     assert words == {s: pytest.approx(aim[s], abs=15) for s in aim}
+
+
+def edges(spark):
+    """With the names of the pipeline's own columns, as it once had them and as it has them now."""
+    return edge_docs(spark).withColumns({c: F.lit("clash") for c in ("of", "copy", "row", "place", "same", "one", "stays", "corpus_pipeline_row_copies")})
+
+
+def kept_by_dedup(rows: list[tuple]) -> list[tuple]:
+    """Brute force of the first three stages."""
+    rows = [r for r in rows if any(c.isalpha() for c in r[1] or "")]
+    left = list(first_rows(rows, {k: squeezed(r[1]) for k, r in enumerate(rows)}, True).elements())
+    same = {k: c for k, (_, c) in near_components(list(enumerate(x[1] for x in left)), 5).items()}
+    return list(first_rows(left, same, False).elements())
+
+
+def pieces(text: str) -> Counter:
+    """(start, length) of the pieces of a text."""
+    n = len(encoder(*FILES)(text)) + 1
+    ends = [n - 1024 * k for k in range(-(-n // 1024) - 1, -1, -1)]
+    return Counter((a, b - a) for a, b in zip([0, *ends], ends, strict=False))
+
+
+def test_stages_on_edges(spark):
+    docs, texts = edges(spark), Counter((r[0], r[1]) for r in EDGES)
+    got = language_id(spark, docs, "")
+    assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter({k: n for k, n in texts.items() if any(c.isalpha() for c in k[1] or "")})
+    nothing = language_id(spark, docs.withColumn("lang", F.lit(None).cast("string")), "")
+    assert nothing.count() == got.count()  # nothing learned, nothing lost
+    exact = first_rows(EDGES, {k: squeezed(r[1]) for k, r in enumerate(EDGES)}, True)
+    assert Counter((r.doc_id, r.text) for r in exact_dedup(spark, docs, "").collect()) == exact
+    same = {k: c for k, (_, c) in near_components([(k, r[1]) for k, r in enumerate(EDGES)], 5).items()}
+    assert Counter((r.doc_id, r.text) for r in near_dedup(spark, docs, "").collect()) == first_rows(EDGES, same, False)
+    mixed = mixing(spark, docs, "")
+    assert mixed.columns == docs.columns
+    rows = Counter((r.doc_id, r.text) for r in mixed.collect())
+    assert set(rows) <= set(texts) and all(n <= 2 * texts[k] for k, n in rows.items())
+
+
+def test_run_on_edges(spark, tmp_path):
+    """What comes out are the pieces of texts that brute force keeps, each up to twice."""
+    edges(spark).write.parquet(f"{tmp_path}/some/documents.parquet")
+    no_docs(spark).write.parquet(f"{tmp_path}/none/documents.parquet")
+    got: dict = {}
+    for r in run(spark, f"{tmp_path}/some").collect():
+        got.setdefault(r.doc_id, Counter())[r.start, r.length] += 1
+    want = {d: pieces(t) for d, t in kept_by_dedup(EDGES)}
+    assert got and set(got) <= set(want)
+    for d, found in got.items():
+        times = {n / want[d][k] for k, n in found.items()}
+        assert set(found) == set(want[d]) and times <= {1, 2} and len(times) == 1
+    assert 10 in got and 11 in got  # the longest
+    assert run(spark, f"{tmp_path}/none").count() == 0
+    assert [name for name, _ in STAGES] == ["language ID", "exact dedup", "near dedup", "mixing", "packing"]
