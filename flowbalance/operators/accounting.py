@@ -51,33 +51,50 @@ def reject_reason(
     return f"CASE {' '.join(checks)} END"
 
 
+def _within(inputs: Sequence[str], bounds: Mapping[str, tuple[float, float]]) -> str:
+    """The complement of ``reject_reason`` as plain comparisons; NULL counts as false.
+
+    NaN is greater than any bound and NULL fails every comparison, so a bounded input needs no other
+    check. The sum of all inputs is only checked where the bounds let it overflow.
+    """
+    checks = []
+    for c in inputs:
+        low, high = bounds.get(c, (float("-inf"), float("inf")))
+        low = max(low, 0.0) if c == "volume" else low
+        if c in bounds:
+            checks += [f"{c} >= {number(low)}", f"{c} <= {number(high)}"]
+        else:
+            checks.append(f"ABS({c}) < DOUBLE('Infinity')")
+            checks += ["volume >= 0D"] if c == "volume" else []
+    most_of_all = sum(max(map(abs, bounds[c])) if c in bounds else float("inf") for c in inputs)
+    if most_of_all == float("inf"):
+        checks.append(f"ABS({' + '.join(inputs)}) < DOUBLE('Infinity')")
+    if (solids := _solids(inputs)) is not None:
+        checks.append(f"{solids} <= 100D")
+    return " AND ".join(checks)
+
+
 def usable(
     lots: DataFrame, inputs: Sequence[str] = MILK_INPUTS,
-    bounds: Mapping[str, tuple[float, float]] = BOUNDS,
+    bounds: Mapping[str, tuple[float, float]] = BOUNDS, apart: bool = False,
 ) -> DataFrame:
     """Lots whose ``inputs`` are numbers within ``bounds``; for the whole ledger ``PLANT_INPUTS``.
 
-    The complement of ``reject_reason``: the sum of all inputs is NaN, infinite or NULL if one is,
-    and the product of a value's distances to its bounds is negative outside them. The lambda keeps
-    the filter out of the compiled stage of the ledger behind it, whose method would become too
-    large for the JVM to compile.
+    ``apart`` compiles the filter on its own, for a stage whose method would become too large for the
+    JVM to compile with it: a stage ends at a lambda, and the comparisons before it stay compiled.
     """
-    room = [f"({c} - {number(bounds[c][0])}) * ({number(bounds[c][1])} - {c})"
-            for c in inputs if c in bounds]
-    if (solids := _solids(inputs)) is not None:
-        room.append(f"100D - ({solids})")
-    finite = f"ABS({' + '.join(inputs)}) < DOUBLE('Infinity')"
-    inside = f"NOT EXISTS(ARRAY({', '.join(room)}), r -> r < 0D)" if room else "TRUE"
-    return lots.where(f"{finite} AND {inside}")
+    checks = _within(inputs, bounds)
+    return lots.where(f"{checks} AND FORALL(ARRAY(volume), v -> v >= 0D)" if apart else checks)
 
 
 def rejected(
     lots: DataFrame, inputs: Sequence[str] = MILK_INPUTS,
     bounds: Mapping[str, tuple[float, float]] = BOUNDS,
 ) -> DataFrame:
-    """The other side of ``usable``: nothing is dropped without being listed here."""
-    return lots.selectExpr("*", f"{reject_reason(inputs, bounds)} AS reject_reason").where(
-        "reject_reason IS NOT NULL")
+    """The other side of ``usable``: nothing is dropped without being listed here. The cheap
+    complement filters first, so that only rejected lots go through the list of reasons."""
+    return lots.where(f"NOT COALESCE({_within(inputs, bounds)}, FALSE)").selectExpr(
+        "*", f"{reject_reason(inputs, bounds)} AS reject_reason")
 
 
 def component_masses(lots: DataFrame) -> DataFrame:

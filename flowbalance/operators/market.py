@@ -7,21 +7,52 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from ..constants import PRODUCTS
 from ..functions.composition import number
 from ..functions.exact import exact_sum
 from ..functions.pricing import constant_elasticity_price, direction
 from .accounting import densify, producing
+from .pairing import paired
 
 MARKET_FIELDS = ("base_price", "demand", "elasticity")
+#: Products that sums are written out for as columns; a larger market is joined as a table.
+MOST_COLUMNS = 64
 
 
-def with_market(supply: DataFrame, market: DataFrame) -> DataFrame:
-    """Add the market parameters of each product.
+def market_products(market: DataFrame, most: int = MOST_COLUMNS) -> list[str] | None:
+    """The market's products in its own order, or None if there are more than ``most``.
+
+    At most ``most`` + 1 names reach the driver; for an inline market that takes no job.
+    """
+    order = "product_ord" if "product_ord" in market.columns else "product"
+    first = market.where("product IS NOT NULL").select("product", F.col(order).alias("_ord"))
+    names = [r["product"] for r in first.orderBy("_ord", "product").limit(most + 1).collect()]
+    return names if len(names) <= most else None
+
+
+def market_supply(
+    supply: DataFrame, market: DataFrame, keys: Sequence[str],
+    products: Sequence[str] | None = None, most: int = MOST_COLUMNS,
+) -> DataFrame:
+    """Supply per key and product of the market, 0 where there is none: the market drives.
 
-    On dense supply every product of the market is there; ``quotes`` makes it dense. Products that
-    the market does not know are in ``unmarketed``.
+    Products come from the market unless they are given. Up to ``most`` of them are conditional sums,
+    which take one shuffle; beyond that the keys are paired with the market's rows, and the
+    pairs enter the sum as zeros. Products that the market does not know are in ``unmarketed``.
     """
+    listed = market_products(market, most) if products is None else products
+    if listed is not None:
+        return densify(supply, keys, listed)
+    sums = supply.groupBy(*keys, "product").agg(exact_sum("volume").alias("volume"))
+    order = "product_ord" if "product_ord" in market.columns else "product"
+    wanted = market.where("product IS NOT NULL").select("product", F.col(order).alias("product_ord"))
+    zeros = paired(sums.select(*keys).distinct(), wanted, keys).withColumn("volume", F.lit(0.0))
+    known = sums.join(wanted, "product").select(*zeros.columns)
+    return zeros.unionByName(known).groupBy(*keys, "product_ord", "product").agg(
+        exact_sum("volume").alias("volume"))
+
+
+def with_market(supply: DataFrame, market: DataFrame) -> DataFrame:
+    """Add the market parameters of each product to supply that ``market_supply`` made dense."""
     return supply.join(market.select("product", *MARKET_FIELDS), "product")
 
 
@@ -42,10 +73,10 @@ def elastic_price(supply: DataFrame, market: DataFrame) -> DataFrame:
 
 def quotes(
     supply: DataFrame, market: DataFrame, keys: Sequence[str],
-    products: Sequence[str] = PRODUCTS,
+    products: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Supply events rolled up to one priced row per key and product."""
-    return elastic_price(densify(supply, keys, products), market)
+    """Supply events rolled up to one priced row per key and product of the market."""
+    return elastic_price(market_supply(supply, market, keys, products), market)
 
 
 def price_sensitivity(

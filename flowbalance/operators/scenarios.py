@@ -14,7 +14,8 @@ from ..functions.exact import exact_sum
 from ..plans.ledger import plant, plant_totals
 from ..sources.dims import sql_literal
 from .accounting import to_long
-from .market import elastic_price
+from .market import elastic_price, market_products, market_supply
+from .pairing import paired
 from .params import apply_overrides
 
 
@@ -47,18 +48,14 @@ def with_scenarios(
 
 
 def with_scenario_table(
-    configs: DataFrame, scenarios: DataFrame, keys: Sequence[str], copies: int = 64
+    configs: DataFrame, scenarios: DataFrame, keys: Sequence[str], shares: int | None = None
 ) -> DataFrame:
     """Every configuration under every scenario of a table, overrides applied.
 
     ``scenarios`` has ``scenario_id`` and, per group of settings it touches, a nullable struct named
-    after the group. Configurations are dealt by ``keys`` to as many shares as there are ``copies``
-    of the table, and each share meets one copy: an equi-join, spread over the shares.
+    after the group. See ``paired`` for how configurations and scenarios meet.
     """
-    dealt = configs.withColumn("_share", F.pmod(F.xxhash64(*keys), F.lit(copies)))
-    copied = scenarios.withColumn("_share", F.explode(F.sequence(
-        F.lit(0).cast("long"), F.lit(copies - 1).cast("long"))))
-    return apply_overrides(dealt.join(copied, "_share").drop("_share"))
+    return apply_overrides(paired(configs, scenarios, keys, shares))
 
 
 def scenario_grid(
@@ -103,7 +100,12 @@ def evaluate_scenarios(
     residuals = [f"residual_{c}" for c in COMPONENTS]
     totals = plant_totals(plant(configs, recipes, check), keys).selectExpr(
         "*", *[f"in_{c} - out_{c} AS residual_{c}" for c in COMPONENTS])
-    return elastic_price(to_long(totals, [*keys, *residuals], PRODUCTS), market)
+    listed = market_products(market)
+    if listed is None:
+        made = to_long(totals, [*keys, *residuals], PRODUCTS)
+        return elastic_price(market_supply(made, market, [*keys, *residuals]), market)
+    unmade = {p: F.lit(0.0) for p in listed if p not in PRODUCTS}
+    return elastic_price(to_long(totals.withColumns(unmade), [*keys, *residuals], listed), market)
 
 
 def compare_scenarios(

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..constants import DEFAULT_CONFIG, PARAM_PATHS, STRESS_SCENARIOS
+from ..constants import DEFAULT_CONFIG, MASSES, PARAM_PATHS, STRESS_SCENARIOS
 from ..functions.clock import hour_tick
 from ..functions.exact import exact_sum, rounded
 from ..operators.accounting import (
@@ -40,6 +40,7 @@ from ..operators.fanout import (
 from ..operators.lookup import unknown_powder, unknown_recipe
 from ..operators.market import (
     bar_ratio,
+    market_supply,
     priced,
     price_direction,
     price_sensitivity,
@@ -174,10 +175,16 @@ def pooled_cream(spark: SparkSession, path: str) -> DataFrame:
 
 
 def milk_union(spark: SparkSession, path: str) -> DataFrame:
-    """Supplier sites' milk and an empty flow of every supplier, so that idle sites show as zeros."""
+    """Separated cream and the surplus cream of either cheese plant, each making its cheese of whole
+    milk, and an empty flow of every supplier, so that idle sites show as zeros."""
+    milk = _milk(spark, path)
+    cream = split_to_target(milk, "cream_fat_pct").where("kind = 'cream'")
+    surplus = [
+        yield_split(milk.withColumn("cheese_type", F.col(plant)), recipes(spark)).where(
+            "kind = 'excess_cream'") for plant in ("cheese_a", "cheese_b")]
     idle = spark.read.parquet(f"{path}/supplier.parquet").select(F.col("s_suppkey").alias("site"))
-    cream = split_to_target(_milk(spark, path), "cream_fat_pct")
-    return pool(union_flows(cream.select("site", "volume", "fat", "snf", "water")), ["site"], idle)
+    flows = [f.select("site", *MASSES) for f in (cream, *surplus)]
+    return pool(union_flows(*flows), ["site"], idle)
 
 
 def lot_volume_decimal(spark: SparkSession, path: str) -> DataFrame:
@@ -290,7 +297,7 @@ def elastic_prices(spark: SparkSession, path: str) -> DataFrame:
 
 
 def price_sensitivity_by_site(spark: SparkSession, path: str) -> DataFrame:
-    supply = densify(_daily(spark, path), ["site"])
+    supply = market_supply(_daily(spark, path), market_params(spark), ["site"])
     rows = price_sensitivity(supply, market_params(spark), [0.1, 0.2, 0.3, 0.5, 1.0])
     return _rounded(rows, "price", "revenue")
 
@@ -359,7 +366,7 @@ def bar_ratio_by_day(spark: SparkSession, path: str) -> DataFrame:
 
 def market_override(spark: SparkSession, path: str) -> DataFrame:
     """Demand of each site and product set to its mean daily supply over its days."""
-    supply = densify(_daily(spark, path), ["site", "tick"])
+    supply = market_supply(_daily(spark, path), market_params(spark), ["site", "tick"])
     overrides = supply.groupBy("site", "product").agg(
         (exact_sum("volume") / F.count(F.lit(1))).alias("demand"))
     rows = override_market(with_market(supply, market_params(spark)), overrides,

@@ -68,7 +68,7 @@ def plant(
     have no recipe, or whose powders nobody makes, in ``unknown_lots``. ``check=False`` is for lots
     whose numbers were checked before.
     """
-    known = usable(lots, PLANT_INPUTS) if check else lots
+    known = usable(lots, PLANT_INPUTS, apart=True) if check else lots
     listed = ", ".join(sql_literal(p) for p in powders)
     known = known.where(f"powder_a IN ({listed}) AND powder_b IN ({listed})")
     df = with_recipe(known, recipes, "cheese_a", "recipe_a")

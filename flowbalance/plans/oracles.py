@@ -347,9 +347,13 @@ SELECT site, to_node, {sums()} FROM sent GROUP BY site, to_node""",
  SELECT site, volume, fat, snf, water FROM split WHERE kind = 'cream'
  UNION ALL SELECT site, volume, fat, snf, water FROM curd WHERE kind = 'excess_cream')
 SELECT site, {sums()} FROM both_creams GROUP BY site""",
-    "milk_union": f"""WITH {SEPARATED}, both_sides AS (SELECT site, volume, fat, snf, water FROM split
+    "milk_union": f"""WITH {SEPARATED}, {RECIPES}, surplus AS (
+ SELECT site, fat - least(snf * 0.296e0 / cf_ratio, fat) AS ex FROM milk JOIN recipes ON cheese = cheese_a
+ UNION ALL SELECT site, fat - least(snf * 0.296e0 / cf_ratio, fat) FROM milk JOIN recipes ON cheese = cheese_b),
+united AS (SELECT site, volume, fat, snf, water FROM split WHERE kind = 'cream'
+ UNION ALL SELECT site, ex, ex, 0e0, 0e0 FROM surplus WHERE ex > 0.001e0
  UNION ALL SELECT s_suppkey, 0e0, 0e0, 0e0, 0e0 FROM supplier)
-SELECT site, {sums()} FROM both_sides GROUP BY site""",
+SELECT site, {sums()} FROM united GROUP BY site""",
     "lot_volume_decimal": f"""WITH {MILK} SELECT site, """ + ", ".join(
         f"{r(f'CAST(SUM(CAST({c} AS DECIMAL(38, 15))) AS DOUBLE)', 2)} AS {c}"
         for c in ("volume", "fat", "snf")) + " FROM milk GROUP BY site",

@@ -10,6 +10,7 @@ from flowbalance.constants import PRODUCTS
 from flowbalance.operators.market import (
     bar_ratio,
     elastic_price,
+    market_supply,
     price_direction,
     price_sensitivity,
     price_trend,
@@ -20,6 +21,7 @@ from flowbalance.operators.market import (
     sort_revenue,
     with_market,
 )
+from flowbalance.operators.pairing import shares_of
 from flowbalance.operators.params import override_market
 from flowbalance.sources import read_supply_events
 
@@ -145,3 +147,28 @@ def test_dense_supply_has_all_products_everywhere(spark, market):
         market)
     assert rows.groupBy("site", "day").count().where(f"count <> {len(PRODUCTS)}").isEmpty()
     assert rows.where("price IS NULL OR isnan(price) OR price <= 0").isEmpty()
+
+
+def tenth_product(market):
+    return market.unionByName(market.where("product = 'whey'").selectExpr(
+        "9 AS product_ord", "'kefir' AS product", "0.9D AS base_price", "demand", "elasticity"))
+
+
+@pytest.mark.parametrize("most", [64, 3])
+def test_the_market_drives(spark, market, most):
+    """A product of the market that nobody supplies has its base price, one it does not know has none."""
+    supply = supply_of(spark, butter=50, whey=10, tofu=5).unionByName(
+        spark.createDataFrame([(None, "butter", 7.0)], SUPPLY))
+    dense = market_supply(supply, tenth_product(market), ["site"], most=most)
+    got = by(elastic_price(dense, tenth_product(market)), "site", "product")
+    assert len(got) == 20 and not any(p == "tofu" for _, p in got)
+    assert (got[1, "kefir"].price, got[1, "kefir"].volume, got[1, "kefir"].product_ord) == (0.9, 0.0, 9)
+    assert got[1, "butter"].price > 2.5 and got[None, "butter"].volume == 7.0
+    assert got[None, "whey"].price == 0.4
+    assert [r.product_ord for r in quotes(supply, tenth_product(market), ["site"]).where(
+        "site = 1").orderBy("product_ord").collect()] == list(range(10))
+
+
+def test_shares_grow_with_the_pairs():
+    assert shares_of(10, 25) == 1 and shares_of(4_000_000, 10) == 20
+    assert shares_of(3, 10**9) == 3 and shares_of(0, 5) == 1
