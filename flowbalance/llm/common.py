@@ -19,11 +19,14 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``, which all executors share; only a session without one (a
-    test on one machine) gets a temporary folder."""
+    """The session's ``spark.checkpoint.dir``, which all executors share; only a local session may go
+    without one and gets a temporary folder."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
     return context.getCheckpointDir()
 
 
@@ -93,3 +96,13 @@ def stored(df: DataFrame) -> DataFrame:
     path = f"{checkpoint_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+#: Bits of ``at`` in ``in_order`` below the number of the task.
+TASK_BITS = 33
+
+
+def in_order(df: DataFrame, *order: Column) -> DataFrame:
+    """The rows written in a global order, with ``at``, which grows in that order: the number of the
+    task that sorted the row, and below ``TASK_BITS`` its place in the task."""
+    return stored(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()))
