@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from ..constants import DEFAULT_CONFIG, MASSES, PARAM_PATHS, STRESS_SCENARIOS
 from ..functions.clock import hour_tick
@@ -68,6 +69,8 @@ from ..operators.scenarios import (
 from ..sources.dims import allocations, market_params, recipes
 from ..sources.sinks import shared_folder, write_quotes
 from ..sources.tables import (
+    late_slices,
+    read_arrivals,
     read_fact_stream,
     read_facts,
     read_lots,
@@ -77,6 +80,7 @@ from ..sources.tables import (
     read_supply_stream,
     spread,
 )
+from ..streaming.amend import latest, write_amended
 from ..streaming.feed import (
     DIRECTION_SCHEMA,
     ROCKSDB_PROVIDER,
@@ -84,6 +88,7 @@ from ..streaming.feed import (
     price_direction_stream,
     price_feed,
 )
+from ..streaming.keyed import params_in_effect_keyed
 from .ledger import (
     cream_pool,
     lot_ledger,
@@ -512,6 +517,51 @@ def params_stream(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(out).drop("batch_id")
 
 
+def _keyed_session(spark: SparkSession) -> SparkSession:
+    """A session with the state store that keyed state needs; the caller's stays as it is."""
+    own = spark.newSession()
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER)
+    for key in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
+        own.conf.set(key, spark.conf.get(key))
+    return own
+
+
+def _arriving(spark: SparkSession, path: str, run: Callable[[str], StreamingQuery]) -> None:
+    """Events come late and out of order, a slice at a time; after each, the stream goes on where it was."""
+    folder = shared_folder(spark, "arrivals")
+    for k, part in enumerate(late_slices(spark, path, 3)):
+        part.write.parquet(f"{folder}/events-{k}.parquet")
+        run(folder).awaitTermination()
+
+
+def price_feed_amended(spark: SparkSession, path: str) -> DataFrame:
+    """Last versions of the hourly feed, whose windows late events amend."""
+    out, state = shared_folder(spark, "versions"), shared_folder(spark, "versions-state")
+
+    def run(folder: str) -> StreamingQuery:
+        feed = price_feed(read_supply_stream(spark, folder), market_params(spark))
+        return write_amended(feed, out, state)
+
+    _arriving(spark, path, run)
+    return _rounded(latest(spark, out).drop("version"), "price", "revenue")
+
+
+def params_keyed_stream(spark: SparkSession, path: str) -> DataFrame:
+    """Facts with the parameters in effect from keyed state, where changes come after facts as well."""
+    out, state = shared_folder(spark, "keyed"), shared_folder(spark, "keyed-state")
+    own = _keyed_session(spark)
+    paths = {p: PARAM_PATHS[p] for p in _LOG_PATHS}
+    schema = []
+
+    def run(folder: str) -> StreamingQuery:
+        found = params_in_effect_keyed(read_arrivals(own, folder), ["site"], paths, DEFAULT_CONFIG, salts=2)
+        schema[:] = [found.schema]
+        return write_quotes(found, out, state)
+
+    _arriving(spark, path, run)
+    return spark.read.schema(schema[0]).parquet(out)
+
+
 CATALOGUE: dict[str, Query] = {
     "cream_and_skim_by_site": cream_and_skim_by_site,
     "lot_masses_by_site": lot_masses_by_site,
@@ -565,4 +615,6 @@ CATALOGUE: dict[str, Query] = {
     "price_feed_stream": price_feed_stream,
     "price_direction_stream": price_direction_feed,
     "params_stream": params_stream,
+    "price_feed_amended": price_feed_amended,
+    "params_keyed_stream": params_keyed_stream,
 }

@@ -459,4 +459,8 @@ SELECT site, grid_id, {r(s('revenue'), 4)} AS revenue FROM results GROUP BY site
     "price_feed_stream": f"""WITH {FEED} SELECT tick, site, product, volume, {r('price')} AS price,
  {r('revenue', 4)} AS revenue FROM quotes""",
     "price_direction_stream": f"WITH {FEED} {_MOVES}",
+    "price_feed_amended": f"""WITH {FEED.replace(_CLOSED, _CLOSED.rsplit(" WHERE ", 1)[0] + ")")} SELECT tick, site,
+ product, volume, {r('price')} AS price, {r('revenue', 4)} AS revenue FROM quotes""",
+    "params_keyed_stream": f"""SELECT * FROM ({ASOF}) WHERE ts <= (SELECT date_trunc('millisecond', max(ts))
+ - INTERVAL 2 HOUR FROM events WHERE event_type IN ('purchase', 'signup', 'click'))""",
 }

@@ -3,6 +3,8 @@
 from .dims import allocations, defaults, market_params, recipes
 from .sinks import write_quotes
 from .tables import (
+    late_slices,
+    read_arrivals,
     read_fact_stream,
     read_facts,
     read_lots,
@@ -16,7 +18,9 @@ from .tables import (
 __all__ = [
     "allocations",
     "defaults",
+    "late_slices",
     "market_params",
+    "read_arrivals",
     "read_fact_stream",
     "read_facts",
     "read_lots",

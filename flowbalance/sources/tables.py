@@ -146,3 +146,33 @@ def read_fact_stream(
 ) -> DataFrame:
     """The same facts as they arrive."""
     return _as_facts(_event_stream(spark, path, max_files_per_trigger))
+
+
+def read_arrivals(
+    spark: SparkSession, path: str, max_files_per_trigger: int | None = None
+) -> DataFrame:
+    """Facts and parameter changes as one stream: kind 1 and 0, each with its number."""
+    log = _event_stream(spark, path, max_files_per_trigger).where(
+        "event_type IN ('purchase', 'signup', 'click')")
+    return log.selectExpr(
+        "user_id % 10 AS site", f"{as_instant('ts')} AS ts", "IF(event_type = 'purchase', 1, 0) AS kind",
+        "event_id AS id",
+        "CAST(CASE event_type WHEN 'purchase' THEN value WHEN 'signup' THEN 30 + FLOOR(value) % 16 "
+        "ELSE FLOOR(value) % 21 * 5 END AS DOUBLE) AS number",
+        "CASE event_type WHEN 'signup' THEN 'separator.targetCreamFatPercent' "
+        "WHEN 'click' THEN 'skimSplitPercent' END AS path")
+
+
+def late_slices(spark: SparkSession, path: str, slices: int, late: str = "INTERVAL 1 HOUR") -> list[DataFrame]:
+    """The events as they might arrive: each up to ``late`` after its time, cut into equal times of arrival.
+
+    The delay follows from the event's id, so every slice can be made again.
+    """
+    events = _events(spark, path)
+    arrival = f"ts + {late} * (PMOD(XXHASH64(event_id), 1000) / 1000D)"
+    first, last = events.selectExpr("MIN(ts)", f"MAX(ts) + {late}").first()
+    if first is None:
+        return [events]
+    cuts = [first + (last - first) * k / slices for k in range(1, slices)]
+    number = " + ".join(f"IF({arrival} >= TIMESTAMP_NTZ'{c}', 1, 0)" for c in cuts) or "0"
+    return [events.where(f"COALESCE({number}, 0) = {k}") for k in range(slices)]
