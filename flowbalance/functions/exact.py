@@ -58,3 +58,15 @@ def exact_sum(
         return F.expr(f"COALESCE({high} * {float(1 << _LOW_BITS)}D + {low}, 0D) / {unit!r}D")
     total = F.expr(high).over(over) * float(1 << _LOW_BITS) + F.expr(low).over(over)
     return F.coalesce(total, F.lit(0.0)) / unit
+
+
+def exact_halves(*xs: str, weight: str, digits: int = DIGITS) -> tuple[Column, Column]:
+    """The two BIGINTs of ``exact_sum`` with rows counted ``weight`` times; their sums form a group."""
+    units = " + ".join(units_of(x, digits) for x in xs)
+    return (F.expr(f"SUM({weight} * SHIFTRIGHT({units}, {_LOW_BITS}))"),
+            F.expr(f"SUM({weight} * (({units}) & {(1 << _LOW_BITS) - 1}L))"))
+
+
+def whole(high: str, low: str, digits: int = DIGITS) -> str:
+    """The sum that two halves stand for, as ``exact_sum`` gives it."""
+    return f"(COALESCE({high} * {float(1 << _LOW_BITS)}D + {low}, 0D) / {float(10 ** digits)!r}D)"

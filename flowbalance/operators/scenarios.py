@@ -97,9 +97,13 @@ def evaluate_scenarios(
     Everything up to the one aggregate is narrow. Unusable configurations are left out as in
     ``plant``; where the rows were filtered before they were multiplied, ``check=False`` saves it.
     """
+    return price_totals(plant_totals(plant(configs, recipes, check), keys), market, keys)
+
+
+def price_totals(totals: DataFrame, market: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Price and revenue per key and product from ``plant_totals``, computed or maintained."""
     residuals = [f"residual_{c}" for c in COMPONENTS]
-    totals = plant_totals(plant(configs, recipes, check), keys).selectExpr(
-        "*", *[f"in_{c} - out_{c} AS residual_{c}" for c in COMPONENTS])
+    totals = totals.selectExpr("*", *[f"in_{c} - out_{c} AS residual_{c}" for c in COMPONENTS])
     listed = market_products(market)
     if listed is None:
         made = to_long(totals, [*keys, *residuals], PRODUCTS)

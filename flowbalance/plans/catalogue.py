@@ -27,10 +27,12 @@ from ..operators.accounting import (
     domain_summary,
     pool,
     rejected,
+    to_long,
     to_wide,
     union_flows,
     usable,
 )
+from ..operators.announce import announced_moves
 from ..operators.fanout import (
     allocate,
     churn_split,
@@ -39,6 +41,7 @@ from ..operators.fanout import (
     yield_split,
 )
 from ..operators.lookup import unknown_powder, unknown_recipe
+from ..operators.maintain import apply_changes, read_sums, signed_changes, signed_sums
 from ..operators.market import (
     bar_ratio,
     market_supply,
@@ -54,6 +57,7 @@ from ..operators.market import (
     unmarketed,
     with_market,
 )
+from ..operators.network import propagate
 from ..operators.params import asof_params, override_market
 from ..operators.reconcile import OUTFLOW_KINDS, mass_balance, node_balance, reconcile
 from ..operators.scenarios import (
@@ -62,12 +66,13 @@ from ..operators.scenarios import (
     evaluate_scenarios,
     flow_invariants,
     invariants,
+    price_totals,
     scenario_grid,
     with_scenario_table,
     with_scenarios,
 )
 from ..sources.dims import allocations, market_params, recipes
-from ..sources.sinks import shared_folder, write_quotes
+from ..sources.sinks import shared_folder, with_checkpoints, write_quotes
 from ..sources.tables import (
     late_slices,
     read_arrivals,
@@ -94,6 +99,7 @@ from .ledger import (
     lot_ledger,
     plant,
     plant_balance,
+    plant_measures,
     production_by_product,
     sold_flows,
     unknown_lots,
@@ -483,6 +489,84 @@ def grid_sweep(spark: SparkSession, path: str) -> DataFrame:
     return _rounded(revenue(rows, ["site", "grid_id"]), "revenue")
 
 
+# ---- maintained results, networks, announcements
+
+def _changed_lots(spark: SparkSession, path: str) -> list[DataFrame]:
+    """All lots but the new ones as a first delta; then new, lost and halved lots as signed rows."""
+    lots = read_lots(spark, path)
+    def part(digit: int) -> DataFrame:
+        return lots.where(f"order_key % 10 = {digit}")
+
+    halved = part(2).withColumn("volume", F.col("volume") * 0.5)
+    return [signed_changes(lots.where("order_key % 10 <> 0")), signed_changes(part(0), part(1)),
+            signed_changes(changed=(part(2), halved))]
+
+
+def _maintained(
+    spark: SparkSession, deltas: list[DataFrame], keys: list[str]
+) -> DataFrame:
+    """The plant's totals after all deltas, each merged into the version before it."""
+    path = shared_folder(spark, "maintained")
+    for number, delta in enumerate(deltas):
+        wide = plant(delta, recipes(spark))
+        sums = apply_changes(spark, path, number, signed_sums(wide, keys, plant_measures()), keys)
+    return read_sums(sums, keys, list(plant_measures()))
+
+
+def maintained_production(spark: SparkSession, path: str) -> DataFrame:
+    """Production by site and product, kept up to date with inserted, deleted and changed lots."""
+    return to_long(_maintained(spark, _changed_lots(spark, path), ["site"]), ["site"])
+
+
+def maintained_scenarios(spark: SparkSession, path: str) -> DataFrame:
+    """The scenario sweep, kept up to date with inserted, deleted and changed lots."""
+    keys = ["site", "scenario_id"]
+    tasks = spark.sparkContext.defaultParallelism
+    deltas = [with_scenarios(spread(d, tasks), STRESS_SCENARIOS) for d in _changed_lots(spark, path)]
+    rows = price_totals(_maintained(spark, deltas, keys), market_params(spark), keys)
+    return _rounded(rows, "price", "revenue", "residual_fat", "residual_snf", "residual_water")
+
+
+def _trade_routes(spark: SparkSession, path: str) -> DataFrame:
+    """Sites deliver to their nation and region, nations also to a later nation, regions to the market."""
+    def dim(name: str) -> DataFrame:
+        return spark.read.parquet(f"{path}/{name}.parquet")
+
+    nations = dim("nation").select("n_nationkey", "n_regionkey")
+    later = dim("nation").select(F.col("n_nationkey").alias("later"))
+    sites = dim("supplier").select("s_suppkey", F.col("s_nationkey").alias("n_nationkey")).join(nations, "n_nationkey")
+    onward = nations.join(later, F.col("n_nationkey") + 9 == F.col("later"), "left")
+    return (
+        sites.selectExpr("INLINE(ARRAY("
+                         "STRUCT('site-' || s_suppkey AS from_node, 'nation-' || n_nationkey AS to_node, 0 AS ord, 0.7D AS fraction),"
+                         "STRUCT('site-' || s_suppkey AS from_node, 'region-' || n_regionkey AS to_node, 1 AS ord, 0.3D AS fraction)))")
+        .unionByName(onward.where("later IS NOT NULL").selectExpr(
+            "'nation-' || n_nationkey AS from_node", "'nation-' || later AS to_node", "0 AS ord", "0.25D AS fraction"))
+        .unionByName(onward.selectExpr(
+            "'nation-' || n_nationkey AS from_node", "'region-' || n_regionkey AS to_node", "1 AS ord",
+            "IF(later IS NULL, 1D, 0.75D) AS fraction"))
+        .unionByName(dim("region").selectExpr("INLINE(ARRAY("
+                     "STRUCT('region-' || r_regionkey AS from_node, 'market' AS to_node, 0 AS ord, 0.9D AS fraction),"
+                     "STRUCT('region-' || r_regionkey AS from_node, 'reserve' AS to_node, 1 AS ord, 0.1D AS fraction)))")))
+
+
+def network_throughput(spark: SparkSession, path: str) -> DataFrame:
+    """Each site's milk, by cheese type, through a network of nations and regions."""
+    with_checkpoints(spark)
+    milk = pool(_milk(spark, path), ["cheese_type", "site"])
+    sources = milk.selectExpr("cheese_type", "'site-' || site AS node", *MASSES)
+    return propagate(sources, _trade_routes(spark, path), ["cheese_type"])
+
+
+def price_announced(spark: SparkSession, path: str) -> DataFrame:
+    """Hourly prices, announced when they leave a band of 5 cents around the last announced one."""
+    with_checkpoints(spark)
+    hourly = read_supply_events(spark, path).withColumnRenamed("hour", "tick")
+    rows = _rounded(quotes(hourly, market_params(spark), ["site", "tick"]), "price")
+    moves = announced_moves(rows.select("site", "product", "tick", "price"), ["site", "product"], 0.05, F.expr("tick DIV 168"), fan=2)
+    return _rounded(moves, "delta")
+
+
 # ---- streaming
 
 #: Files that a micro-batch takes, so that a backlog is worked off in steps.
@@ -612,6 +696,10 @@ CATALOGUE: dict[str, Query] = {
     "result_invariants": result_invariants,
     "scenario_table": scenario_table,
     "grid_sweep": grid_sweep,
+    "maintained_production": maintained_production,
+    "maintained_scenarios": maintained_scenarios,
+    "network_throughput": network_throughput,
+    "price_announced": price_announced,
     "price_feed_stream": price_feed_stream,
     "price_direction_stream": price_direction_feed,
     "params_stream": params_stream,

@@ -147,23 +147,26 @@ def production_by_product(movements: DataFrame, keys: Sequence[str]) -> DataFram
             .groupBy(*keys, "product").agg(exact_sum("volume").alias("volume")))
 
 
+def plant_measures() -> dict[str, list[str]]:
+    """What is summed over lots: production of every product and both sides of the audit, each as
+    the columns of ``plant`` that add up to it."""
+    sold = [(prefix, product) for _, target, _, prefix, product in EDGES if target == "market"]
+    measures = {name: [
+        f"{prefix}_volume" if product == name
+        else f"IF({product} = '{name}', {prefix}_volume, 0D)"
+        for prefix, product in sold if product == name or name in _NAMED_BY.get(product, ())]
+        for name in PRODUCTS}
+    measures |= {f"in_{c}": [f"milk_{c}"] for c in COMPONENTS}
+    return measures | {f"out_{c}": [f"{prefix}_{c}" for prefix, _ in sold] for c in COMPONENTS}
+
+
 def plant_totals(wide: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Production of every product and both sides of the audit per key, in one aggregate.
 
     It works on wide rows: per lot one row enters the hash aggregate instead of sixteen.
     """
-    sold = [(prefix, product) for _, target, _, prefix, product in EDGES if target == "market"]
-    volumes = []
-    for name in PRODUCTS:
-        parts = [
-            f"{prefix}_volume" if product == name
-            else f"IF({product} = '{name}', {prefix}_volume, 0D)"
-            for prefix, product in sold if product == name or name in _NAMED_BY.get(product, ())]
-        volumes.append(exact_sum(*parts).alias(name))
-    sides = [exact_sum(f"milk_{c}").alias(f"in_{c}") for c in COMPONENTS]
-    sides += [exact_sum(*[f"{prefix}_{c}" for prefix, _ in sold]).alias(f"out_{c}")
-              for c in COMPONENTS]
-    return wide.groupBy(*keys).agg(*volumes, *sides)
+    return wide.groupBy(*keys).agg(*[
+        exact_sum(*parts).alias(name) for name, parts in plant_measures().items()])
 
 
 def plant_balance(

@@ -305,6 +305,9 @@ SELECT site, product, tick, {r('CAST(sum(p) OVER w AS DOUBLE) / 1e6 / count(p) O
  {r('min(price) OVER w')} AS min_price, {r('max(price) OVER w')} AS max_price FROM micro
  WINDOW w AS (PARTITION BY site, product ORDER BY tick ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)"""
 
+_CHANGED = f"""{LOTS}, changed AS (SELECT * REPLACE (CASE WHEN order_key % 10 = 2 THEN volume * 0.5e0 ELSE volume END AS volume)
+ FROM lots WHERE order_key % 10 <> 1)"""
+
 ORACLES: dict[str, str] = {
     "cream_and_skim_by_site": f"""WITH {SEPARATED} SELECT site, kind, {sums()},
  count(*) FILTER (WHERE NOT abs(fat + snf + water - volume) < 0.001e0) AS n_open
@@ -463,4 +466,32 @@ SELECT site, grid_id, {r(s('revenue'), 4)} AS revenue FROM results GROUP BY site
  product, volume, {r('price')} AS price, {r('revenue', 4)} AS revenue FROM quotes""",
     "params_keyed_stream": f"""SELECT * FROM ({ASOF}) WHERE ts <= (SELECT date_trunc('millisecond', max(ts))
  - INTERVAL 2 HOUR FROM events WHERE event_type IN ('purchase', 'signup', 'click'))""",
+    "maintained_production": f"""WITH {_CHANGED}, {plant('changed')}, {moves('site')}, {MARKET},
+made AS (SELECT site, product, {s('volume')} AS volume FROM moves WHERE product IS NOT NULL GROUP BY site, product)
+SELECT k.site, m.ord AS product_ord, m.product, coalesce(v.volume, 0e0) AS volume
+ FROM (SELECT DISTINCT site FROM changed) k CROSS JOIN market m LEFT JOIN made v ON v.site = k.site AND v.product = m.product""",
+    "maintained_scenarios": f"""WITH {_CHANGED}, {SCENARIO_LOTS.replace(LOTS + ", ", "").replace("FROM lots CROSS", "FROM changed CROSS")},
+ {plant('configs')}, {evaluated('site, scenario_id')} SELECT site, scenario_id, product_ord, product, volume,
+ {r('price')} AS price, {r('revenue', 4)} AS revenue, {r('residual_fat')} AS residual_fat,
+ {r('residual_snf')} AS residual_snf, {r('residual_water')} AS residual_water FROM results""",
+    "network_throughput": f"""WITH RECURSIVE {MILK}, sites AS (SELECT cheese_type, 'site-' || site AS node, {sums()} FROM milk GROUP BY cheese_type, site),
+routes(from_node, to_node, share) AS (
+ SELECT 'site-' || s_suppkey, 'nation-' || s_nationkey, 0.7e0 FROM supplier JOIN nation ON n_nationkey = s_nationkey
+ UNION ALL SELECT 'site-' || s_suppkey, 'region-' || n_regionkey, 1e0 - 0.7e0 FROM supplier JOIN nation ON n_nationkey = s_nationkey
+ UNION ALL SELECT 'nation-' || n.n_nationkey, 'nation-' || m.n_nationkey, 0.25e0 FROM nation n JOIN nation m ON m.n_nationkey = n.n_nationkey + 9
+ UNION ALL SELECT 'nation-' || n.n_nationkey, 'region-' || n.n_regionkey, CASE WHEN m.n_nationkey IS NULL THEN 1e0 ELSE 1e0 - 0.25e0 END
+  FROM nation n LEFT JOIN nation m ON m.n_nationkey = n.n_nationkey + 9
+ UNION ALL SELECT 'region-' || r_regionkey, 'market', 0.9e0 FROM region
+ UNION ALL SELECT 'region-' || r_regionkey, 'reserve', 1e0 - 0.9e0 FROM region),
+wave AS (SELECT 0 AS hop, * FROM sites
+ UNION ALL SELECT hop + 1, cheese_type, to_node, {", ".join(f"{s(f'{m} * share')} AS {m}" for m in ("volume", "fat", "snf", "water"))}
+ FROM wave JOIN routes ON from_node = node GROUP BY hop, cheese_type, to_node)
+SELECT cheese_type, node, {sums()} FROM wave GROUP BY cheese_type, node""",
+    "price_announced": f"""WITH RECURSIVE {quoted('site, tick').replace("'day', DATE '1970-01-01', CAST(ts AS DATE)", "'hour', TIMESTAMP '1970-01-01', date_trunc('hour', ts)")},
+told AS (SELECT site, product, tick, {r('price')} AS price, row_number() OVER (PARTITION BY site, product ORDER BY tick) AS k FROM quotes),
+moves AS (SELECT site, product, tick, price, k, price AS announced, 0e0 AS delta, 'flat' AS direction FROM told WHERE k = 1
+ UNION ALL SELECT t.site, t.product, t.tick, t.price, t.k, CASE WHEN abs(t.price - m.announced) > 0.05e0 THEN t.price ELSE m.announced END,
+  t.price - m.announced, CASE WHEN t.price - m.announced > 0.05e0 THEN 'up' WHEN t.price - m.announced < -0.05e0 THEN 'down' ELSE 'flat' END
+ FROM moves m JOIN told t ON t.site = m.site AND t.product = m.product AND t.k = m.k + 1)
+SELECT site, product, tick, price, announced, {r('delta')} AS delta, direction FROM moves""",
 }

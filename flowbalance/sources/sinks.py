@@ -22,6 +22,12 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
+def with_checkpoints(spark: SparkSession) -> None:
+    """Give the session a checkpoint folder under the rule of ``shared_folder``, if it has none yet."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark, "checkpoints"))
+
+
 def write_quotes(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Append closed windows to parquet, reading all that is available and then stopping."""
     return (stream.writeStream.format("parquet").outputMode("append")
