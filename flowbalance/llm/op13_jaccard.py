@@ -15,9 +15,9 @@ is shared by a fixed part of all documents, so it is left out as long as the tot
 of the spare segments and then of a deletion neighbourhood of the first segment, if its subset has two
 elements or more, where lookups are as good as unique.
 
-Pairs of a bucket aren't all made. Its members meet its smallest class; then, where members aren't yet in one
-component, the exact completion of the near dedup takes the rest: classes of which too few shingles occur in other
-components can't be linked to one and go, the others are compared in blocks. Every link is confirmed on the
+Pairs of a bucket aren't all made. Its members meet its first class; then, where the others aren't yet in one
+component, classes that share too few keys or shingles with other components go, as they can't be linked to one,
+and the rest is compared in blocks. Every link is confirmed on the
 full sets of whole texts.
 
 Defined results: words are runs of anything but white space, A-Z lower-cased; a text of fewer words than
@@ -32,12 +32,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowbalance.llm.common import blocks, cut, keyed, lists, mixed, signed, stored, utf8
 from flowbalance.llm.components import components
-from flowbalance.llm.op4_minhash import _across, text_sets
+from flowbalance.llm.op4_minhash import BLOCK, _block_links, text_sets
 
 #: Segments of a group beyond those that the pigeonhole principle needs.
 SPARE = 3
@@ -69,15 +69,17 @@ def stamps(hashes: np.ndarray, first: np.ndarray, salt: int) -> np.ndarray:
     return np.where(n > 0, mixed((total[first[1:]] - total[first[:-1]]) ^ n.astype(np.uint64)), np.uint64(0))
 
 
-def set_keys(hashes: np.ndarray, first: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key, number of the set, whether the set looks it up or is only found by it) of all segments."""
+def set_keys(hashes: np.ndarray, first: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(key, number of the set, whether the set looks it up or is only found by it, how many keys the set shares at
+    least with any linked one) of all segments. Linked sets agree in ``SPARE`` + 1 segments or more, which are keys of
+    both unless they are empty."""
     n = np.diff(first)
     starts, differ = bands(int(n.max(initial=1)), percent)
     band = np.searchsorted(starts, n, side="right") - 1
     of = np.repeat(np.arange(len(n)), n)
     value = mixed(hashes ^ _VALUE)
     dealt = mixed(hashes ^ _DEAL)
-    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    out: list[tuple[np.ndarray, ...]] = []
     for side in (0, 1):  # lower, upper
         group = band - side
         far = np.where((n > 0) & (group >= 0), differ[np.maximum(group, 0)], 0)
@@ -106,11 +108,12 @@ def set_keys(hashes: np.ndarray, first: np.ndarray, percent: int) -> tuple[np.nd
         empties = np.zeros(len(n), np.int64)
         np.add.at(empties, owner, empty)
         promoted = deletes & (empties > SPARE)
-        out.append((mixed(total ^ name), owner, looked))
+        least = np.clip(SPARE + 1 - empties, 1, None)
+        out.append((mixed(total ^ name), owner, looked, least[owner]))
         head = np.flatnonzero(segment == 0)
-        out.append((mixed((total[slot[head]] - worth[head]) ^ name[slot[head]]), mine[head], promoted[mine[head]]))
+        out.append((mixed((total[slot[head]] - worth[head]) ^ name[slot[head]]), mine[head], promoted[mine[head]], least[mine[head]]))
     if not out:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, np.int64)
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
@@ -141,8 +144,8 @@ def _keys(width: int, percent: int, salt: int):
                     continue
                 n = np.diff(first)[new]
                 at = np.concatenate([np.arange(first[i], first[i + 1]) for i in new.tolist()])
-                key, of, looked = set_keys(hashes[at], np.concatenate(([0], np.cumsum(n))), percent)
-                yield pa.RecordBatch.from_arrays([pa.array(signed(key)), pa.array(signed(stamp[new][of])), pa.array(looked)], names=["key", "s", "looked"])
+                key, of, looked, least = set_keys(hashes[at], np.concatenate(([0], np.cumsum(n))), percent)
+                yield pa.RecordBatch.from_arrays([pa.array(signed(key)), pa.array(signed(stamp[new][of])), pa.array(looked), pa.array(least.astype(np.int8))], names=["key", "s", "looked", "least"])
 
     return rows
 
@@ -155,10 +158,10 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        rows = [batch["key"].to_numpy(), batch["s"].to_numpy(), batch["looked"].to_numpy(zero_copy_only=False)]
+        rows = [batch["key"].to_numpy(), batch["s"].to_numpy(), batch["looked"].to_numpy(zero_copy_only=False), batch["least"].to_numpy()]
         if held is not None:
             rows = [np.concatenate(([h], r)) for h, r in zip(held, rows, strict=True)]
-        key, s, looked = rows
+        key, s, looked, least = rows
         heads = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         bucket = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(key))))
         lead = s[heads][bucket]
@@ -166,8 +169,8 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = fine & np.concatenate(([True], (key[1:] != key[:-1]) | (s[1:] != s[:-1])))
         out[0] &= not (held is not None and sent)
         sent = bool(fine[-1]) or (held is not None and sent and len(heads) == 1)
-        held = (key[heads[-1]], s[heads[-1]], looked[heads[-1]])
-        yield pa.RecordBatch.from_arrays([pa.array(key[out]), pa.array(s[out]), pa.array(lead[out])], names=["key", "id", "u"])
+        held = tuple(r[heads[-1]] for r in rows)
+        yield pa.RecordBatch.from_arrays([pa.array(key[out]), pa.array(s[out]), pa.array(lead[out]), pa.array(least[out])], names=["key", "id", "u", "least"])
 
 
 def _sets(width: int, salt: int):
@@ -207,30 +210,82 @@ def _classes(body: DataFrame, width: int) -> tuple[DataFrame, DataFrame, int]:
         salt += 2
 
 
+def _unique(rows: DataFrame, thin: DataFrame, needed: DataFrame, width: int, salt: int) -> DataFrame:
+    """(id, set) of each class in ``needed`` once. Only documents of several rows can repeat one, or hold others."""
+    several = stored(thin.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id"))
+    schema = "id long, set array<long>"
+    if several.isEmpty():
+        return rows.mapInArrow(_sets(width, salt), schema)
+    once = rows.join(several, "doc_id", "left_anti").mapInArrow(_sets(width, salt), schema)
+    again = rows.join(several, "doc_id", "left_semi").mapInArrow(_sets(width, salt), schema)
+    return once.unionByName(again.join(needed, "id", "left_semi").dropDuplicates(["id"]))
+
+
+def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (u, v) that the full sets confirm. Pairs are written out, so that their size is known: sets then only
+    move for the pairs that need them, the first sets of buckets (u), which are few, to the others."""
+    pairs = stored(pairs)
+    firsts = sets.select(F.col("id").alias("u"), F.col("set").alias("u_set")).join(pairs.select("u").distinct(), "u", "left_semi")
+    others = sets.select(F.col("id").alias("v"), F.col("set").alias("v_set"))
+    return pairs.join(others, "v").join(firsts, "u").select("u", "v", "u_set", "v_set").mapInArrow(_confirmed(percent), "u long, v long")
+
+
+def _apart(met: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """(u, v) of all links between sets of different components that share a key.
+
+    A bucket's first set has met all others, so only the others of a bucket can hide a link, and those that have too few
+    keys in common with other components can't. Of what is left, a set needs ``percent`` of its shingles in other
+    components; few sets have that, and they are compared in blocks of their clusters.
+    """
+    placed = met.where("id <> u").join(labels, "id", "left").select("key", "id", "least", F.coalesce("label", "id").alias("label"))
+    mixed_keys = placed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
+    shown = cut(placed.join(mixed_keys, "key"))
+    owners = cut(shown.groupBy("id", "label").agg(F.countDistinct("key").alias("keys"), F.min("least").alias("least")).where("keys >= least").select("id", "label"))
+    # 40 bits do: two shingles taken for one can only let a set through
+    held = owners.join(sets, "id").select("id", "label", F.size("set").alias("n"), F.explode("set").alias("h")).withColumn("h", F.col("h").bitwiseAND((1 << 40) - 1))
+    group = Window.partitionBy("h")
+    spread = held.withColumns({"lo": F.min("label").over(group), "hi": F.max("label").over(group)}).where("lo <> hi")
+    left = cut(spread.groupBy("id", "label").agg(F.count("*").alias("shared"), F.min("n").alias("n")).where(F.col("shared") * 100 >= F.col("n") * percent).select("id", "label"))
+    still = shown.join(left.select("id"), "id", "left_semi").select("key", "id")
+    heads = still.groupBy("key").agg(F.min("id").alias("v"))
+    clusters = components(still.join(heads, "key").select(F.col("id").alias("u"), "v").distinct())
+    members = left.join(clusters.withColumnRenamed("label", "cluster"), "id", "left").withColumn("cluster", F.coalesce("cluster", "id"))
+    size = members.groupBy("cluster").agg(F.count("*").alias("size")).where("size > 1")
+    dealt = (members.join(size, "cluster").withColumn("parts", F.ceil(F.col("size") / BLOCK).cast("int"))
+             .withColumn("side", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+             .select("cluster", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "id", "label", "side"))
+    return dealt.join(sets, "id").groupBy("cluster", "i", "j").applyInArrow(_block_links(percent), "u long, v long")
+
+
 def similar_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """Per row of ``docs(doc_id, text)``: doc_id, n_shingles, component_id."""
     body = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("body"))
     thin, classes, salt = _classes(body, width)
-    keys = body.where("doc_id is not null").mapInArrow(_keys(width, percent, salt), "key long, s long, looked boolean")
-    met = stored(keys.repartition("key").sortWithinPartitions("key", F.desc("looked"), "s").mapInArrow(_buckets, "key long, id long, u long"))
+    keys = body.where("doc_id is not null").mapInArrow(_keys(width, percent, salt), "key long, s long, looked boolean, least byte")
+    met = stored(keys.repartition("key").sortWithinPartitions("key", F.desc("looked"), "s").mapInArrow(_buckets, "key long, id long, u long, least byte"))
 
     needed = met.select("id").distinct()
-    holders = needed.join(classes, F.col("id") == F.col("s")).select(F.col("doc").alias("doc_id"))
-    found = body.join(holders.distinct(), "doc_id", "left_semi").mapInArrow(_sets(width, salt), "id long, set array<long>")
-    sets = cut(found.join(needed, "id", "left_semi").dropDuplicates(["id"]))
+    # written out, so that its size is known and Catalyst moves texts for the join only if it is too large to be broadcast
+    holders = stored(needed.join(classes, F.col("id") == F.col("s")).select(F.col("doc").alias("doc_id")).distinct())
+    sets = cut(_unique(body.join(holders, "doc_id", "left_semi"), thin, needed, width, salt))
 
-    stars = met.where("u <> id").select("u", F.col("id").alias("v")).distinct()
+    met_by = met.where("u <> id").groupBy("u", F.col("id").alias("v")).agg(F.count("*").alias("shared"))
     sized = sets.select("id", F.size("set").alias("n"))
-    alike = (stars.join(sized.select(F.col("id").alias("u"), F.col("n").alias("un")), "u").join(sized.select(F.col("id").alias("v"), F.col("n").alias("vn")), "v")
-             .where(f"100 * least(un, vn) >= {percent} * greatest(un, vn)").select("u", "v"))
-    links = (alike.join(sets.select(F.col("id").alias("v"), F.col("set").alias("v_set")), "v")
-             .join(sets.select(F.col("id").alias("u"), F.col("set").alias("u_set")), "u")
-             .select("u", "v", "u_set", "v_set").mapInArrow(_confirmed(percent), "u long, v long"))
+    stars = cut(met_by.join(sized.select(F.col("id").alias("u"), F.col("n").alias("un")), "u").join(sized.select(F.col("id").alias("v"), F.col("n").alias("vn")), "v")
+                .where(f"100 * least(un, vn) >= {percent} * greatest(un, vn)").select("u", "v", "shared"))
+    # each set first against the one with which it shares most keys; of the rest, what that left apart
+    likely = stars.groupBy("v").agg(F.max_by("u", F.struct("shared", -F.col("u"))).alias("u")).select("u", "v")
+    joined = components(_linked(likely, sets, percent))
+    ends = [joined.select(F.col("id").alias(c), F.col("label").alias(f"{c}_label")) for c in "uv"]
+    apart = (stars.join(ends[0], "u", "left").join(ends[1], "v", "left")
+             .where("coalesce(u_label, u) <> coalesce(v_label, v)").select("u", "v").exceptAll(likely))
+    links = joined.select(F.col("id").alias("u"), F.col("label").alias("v")).unionByName(_linked(apart, sets, percent))
     # texts of one document in several classes
     own = thin.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("s").alias("u"), F.max("s").alias("most")).where("u <> most")
     again = cut(thin.where("n > 0").join(own.select("doc_id", "u"), "doc_id").select("u", F.col("s").alias("v")).where("u <> v").distinct())
     first = components(links if again.isEmpty() else links.unionByName(again))
-    more = _across(met.select("key", "id"), sets, first, percent)
+    more = _apart(met, sets, first, percent)
     labels = components(first.select(F.col("id").alias("u"), F.col("label").alias("v")).unionByName(more))
 
     placed = cut(classes.join(labels.withColumnRenamed("id", "s"), "s", "left").withColumn("label", F.coalesce("label", "s")))

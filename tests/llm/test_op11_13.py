@@ -305,10 +305,11 @@ def test_linked_sets_share_a_key(percent):
         other = np.unique(np.concatenate([one[:both], whole[n:n + extra]]))
         if 100 * both < percent * (n + extra):
             continue
-        key, of, looked = set_keys(np.concatenate([one, other]), np.array([0, len(one), len(one) + len(other)]), percent)
+        key, of, looked, least = set_keys(np.concatenate([one, other]), np.array([0, len(one), len(one) + len(other)]), percent)
         seen = [set(key[of == k].tolist()) for k in (0, 1)]
         if set(one.tolist()) != set(other.tolist()):
             assert seen[0] & seen[1] & set(key[looked].tolist())
+            assert all(len(seen[0] & seen[1]) >= least[of == k].min() for k in (0, 1))
 
 
 def test_bands_hold_every_linked_pair():
