@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -79,16 +79,17 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], default: str = "a
     """Per row of ``pages(page_id, url)``: page_id, host, path, rule, verdict."""
     shared = pages.sparkSession.sparkContext.broadcast(trie(rules))
 
-    def verdicts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        root, known = shared.value, {}
+    def verdicts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        root = shared.value
         for batch in batches:
-            found = [longest(root, h, p) for h, p in zip(batch["host"], batch["path"], strict=True)]
-            yield batch.assign(rule=pd.Series([f[0] for f in found], dtype=object, index=batch.index), verdict=[f[1] or default for f in found])
+            found = [longest(root, h, p) for h, p in zip(batch["host"].to_pylist(), batch["path"].to_pylist(), strict=True)]
+            added = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] or default for f in found], pa.string())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=["page_id", "host", "path", "rule", "verdict"])
 
     after = F.expr("substring(url, instr(url, '://') + 3)")
     rest = F.when(F.instr("url", "://") > 0, after).otherwise("")
-    parts = pages.select("page_id", F.coalesce(rest, F.lit("")).alias("rest")).select(
+    parts = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(rest, F.lit("")).alias("rest")).select(
         "page_id",
         F.translate(F.regexp_extract("rest", r"^[^/?#]*", 0), UPPER, LOWER).alias("host"),
         F.regexp_extract("rest", r"^[^/?#]*([^?#]*)", 1).alias("path"))
-    return parts.mapInPandas(verdicts, "page_id long, host string, path string, rule string, verdict string")
+    return parts.mapInArrow(verdicts, "page_id long, host string, path string, rule string, verdict string")

@@ -88,8 +88,9 @@ def descend(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epoch
 
 def fit(labelled: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarray:
     """Model from ``labelled(doc_id, text)`` and ``labels(doc_id, label 0/1)``, both already without
-    the rows held out."""
-    chosen = (labels.where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1)).select("doc_id", F.col("label").cast("int").alias("label")).distinct()
+    the rows held out. Labels without a document don't count against the sample."""
+    known = labels.join(labelled.select("doc_id"), "doc_id", "left_semi")
+    chosen = (known.where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1)).select("doc_id", F.col("label").cast("int").alias("label")).distinct()
               .orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id", "label").limit(sample))
     # at most `sample` rows of two numbers
     rows = labelled.select("doc_id", utf8().alias("body")).join(F.broadcast(chosen), "doc_id").select(F.col("doc_id").cast("long").alias("doc_id"), "label", "body")
