@@ -1,6 +1,7 @@
 """From raw documents to packed sequences in five stages, each on all that the one before kept.
 
-1. language ID: documents without text or without a letter go; those of no learned language stay;
+1. language ID: documents without text or without a letter go; those of no learned language stay; a
+   missing ``lang`` is filled with the language found;
 2. exact dedup: of equal texts one row stays;
 3. MinHash near-dedup: of each group of near copies (five-word shingles, similarity 0.8) the row of the smallest id stays;
 4. mixing: sources are brought to their target weights, a document is dropped, kept or repeated;
@@ -65,8 +66,9 @@ def _firsts(docs: DataFrame, groups: DataFrame, *before: Column) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = identify(docs, *learn(docs))
-    return _with_numbers(found.where(F.col("row.text").rlike(r"\p{L}")).select("row.*"))
+    found = identify(docs, *learn(docs)).where(F.col("row.text").rlike(r"\p{L}"))
+    named = F.coalesce("row.lang", F.nullif("lang_pred", F.lit("und")))
+    return _with_numbers(found.select(F.col("row").withField("lang", named).alias("row")).select("row.*"))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
