@@ -87,6 +87,9 @@ def test_stages_on_edges(spark):
     docs, texts = edges(spark), Counter((r[0], r[1]) for r in EDGES)
     got = language_id(spark, docs, "")
     assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter({k: n for k, n in texts.items() if any(c.isalpha() for c in k[1] or "")})
+    langs = {(r.doc_id, r.lang) for r in got.collect()}
+    assert (3, "en") in langs and (1, "en") in langs  # a missing language is found, a given one stays
+    assert got.columns[:5] == docs.columns[:5]
     nothing = language_id(spark, docs.withColumn("lang", F.lit(None).cast("string")), "")
     assert nothing.count() == got.count()  # nothing learned, nothing lost
     exact = first_rows(EDGES, {k: squeezed(r[1]) for k, r in enumerate(EDGES)}, True)
