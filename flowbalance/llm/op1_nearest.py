@@ -16,7 +16,10 @@ Defined results: vectors that are null, zero, or hold null or non-finite compone
 do rows without an id. Vectors of different lengths aren't compared. Rows that repeat id and vector
 count once; of rows with one id and different vectors all are candidates, and all queries too. The
 query's own row is every row of its id. Ties go to the smaller id: equal vectors have equal scores, as
-the products are added in the order of the components. Further columns are ignored.
+the products are added in the order of the components. Further columns are ignored. Estimates see
+directions only and keep lengths as doubles, so components may be of any finite size; where products
+of a query leave the range of a double, it scores all vectors exactly, and a product without a value (the
+difference of two infinities) comes last.
 """
 
 from __future__ import annotations
@@ -45,11 +48,18 @@ def usable(vector: str) -> Column:
     return x.isNotNull() & ~F.coalesce(F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))), F.lit(True)) & F.coalesce(F.exists(x, lambda v: v != 0), F.lit(False))
 
 
+def lengths(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(lengths of the rows, rows of length one); squares neither overflow nor vanish."""
+    big = np.abs(x).max(axis=1, initial=0)
+    unit = x / np.where(big > 0, big, 1)[:, None]
+    norm = np.linalg.norm(unit, axis=1)
+    return big * norm, unit / np.where(norm > 0, norm, 1)[:, None]
+
+
 def encode(x: np.ndarray, centre: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(packed signs, length of x - centre, inner product of its direction with its code)."""
-    rest = x - centre
-    length = np.linalg.norm(rest, axis=1)
-    turned = (rest / np.where(length > 0, length, 1)[:, None]) @ turn.T
+    length, unit = lengths(x - centre)
+    turned = unit @ turn.T
     own = np.abs(turned).sum(axis=1) / np.sqrt(x.shape[1])
     return np.packbits(turned >= 0, axis=1), length, np.where(length > 0, own, 1)
 
@@ -69,7 +79,7 @@ def _codes(centres: dict[int, np.ndarray], seed: int):
 
 
 def _nearest(centres: dict[int, np.ndarray], seed: int, k: int, width: float):
-    names, kinds = ["query_id", "vec_id", "score"], [pa.int64(), pa.int64(), pa.float64()]
+    names, kinds = ["query_id", "vec_id", "score", "no_value"], [pa.int64(), pa.int64(), pa.float64(), pa.bool_()]
 
     def best(queries: pa.Table, vectors: pa.Table) -> pa.Table:
         if not queries.num_rows or not vectors.num_rows:
@@ -90,16 +100,19 @@ def _nearest(centres: dict[int, np.ndarray], seed: int, k: int, width: float):
         q_ids = queries["vec_id"].to_numpy()
         q = np.frombuffer(b"".join(queries["raw"].to_pylist()), np.float64).reshape(-1, dim)
         centre = centres.get(dim, np.zeros(dim))
-        scale = (length / own / np.sqrt(dim)).astype(np.float32)
-        spread = length * np.sqrt(np.maximum(1 - own * own, 0)) / own * width / np.sqrt(max(dim - 1, 1))
-        turned = (q @ rotation(dim, seed).T).astype(np.float32)
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        scale = length / own / np.sqrt(dim)
+        # the last term is for the rounding of the estimates' float32 products
+        spread = length * (np.sqrt(np.maximum(1 - own * own, 0)) / own * width / np.sqrt(max(dim - 1, 1)) + 1e-6 * dim)
+        q_length, q_unit = lengths(q)
+        turned = (q_unit @ rotation(dim, seed).T).astype(np.float32)
+        out: list[tuple[np.ndarray, ...]] = []
         for lo in range(0, len(q), 128):
-            guess = turned[lo:lo + 128] @ signs.T * scale + (q[lo:lo + 128] @ centre).astype(np.float32)[:, None]
+            guess = turned[lo:lo + 128] @ signs.T * scale + (q_unit[lo:lo + 128] @ centre)[:, None]
             for i, row in enumerate(guess, lo):
                 def exact(at: np.ndarray, i: int = i) -> tuple[np.ndarray, np.ndarray]:
                     """(ids, scores) of all rows of these vectors but the query's own."""
-                    score = np.cumsum(x[at] * q[i], axis=1)[:, -1]
+                    with np.errstate(over="ignore", invalid="ignore"):
+                        score = np.cumsum(x[at] * q[i], axis=1)[:, -1]
                     n = starts[at + 1] - starts[at]
                     which = np.repeat(starts[at] - np.cumsum(n) + n, n) + np.arange(n.sum())
                     found = ids[order[which]]
@@ -109,13 +122,16 @@ def _nearest(centres: dict[int, np.ndarray], seed: int, k: int, width: float):
                 first = np.argpartition(-row, min(2 * k, len(row)) - 1)[:2 * k]
                 found, score = exact(first)
                 floor = np.partition(score, len(score) - k)[len(score) - k] if len(score) >= k else -np.inf
-                reach = row + spread * np.linalg.norm(q[i]) >= floor - 1e-6 * abs(floor)
+                if np.isfinite(score).all() and np.abs(score).max(initial=0) > 1e-280:
+                    reach = ~(row + spread < (floor - 1e-6 * abs(floor)) / q_length[i])
+                else:
+                    reach = np.ones(len(row), bool)
                 reach[first] = False
                 more = exact(np.flatnonzero(reach))
                 found, score = np.concatenate((found, more[0])), np.concatenate((score, more[1]))
                 top = np.lexsort((found, -score))[:k]
-                out.append((np.full(len(top), q_ids[i]), found[top], score[top]))
-        return pa.table([pa.array(np.concatenate([o[c] for o in out]), kinds[c]) for c in range(3)], names=names)
+                out.append((np.full(len(top), q_ids[i]), found[top], score[top], np.isnan(score[top])))
+        return pa.table([pa.array(np.concatenate([o[c] for o in out]), kinds[c]) for c in range(4)], names=names)
 
     return best
 
@@ -128,7 +144,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, vector: str = "em
     by_dim: dict[int, list[list[float]]] = {}
     for v in sample.to_pylist():
         by_dim.setdefault(len(v), []).append(v)
-    centres = {dim: np.mean(np.array(x), axis=0) for dim, x in by_dim.items()}
+    centres = {dim: np.sum(np.array(x) / len(x), axis=0) for dim, x in by_dim.items()}
     coded = cut(rows.mapInArrow(_codes(centres, seed), "vec_id long, dim int, raw binary, code binary, length double, own double").distinct())
     asks = coded.where(is_query).select("vec_id", "dim", "raw")
     n, n_asks = coded.count(), asks.count()
@@ -141,6 +157,6 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, vector: str = "em
     key = ["dim", "ask_part", "part"]
     best = (dealt(asks, "ask_part", ask_parts, "part", parts).groupBy(*key)
             .cogroup(dealt(coded, "part", parts, "ask_part", ask_parts).groupBy(*key))
-            .applyInArrow(_nearest(centres, seed, k, width), "query_id long, vec_id long, score double"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+            .applyInArrow(_nearest(centres, seed, k, width), "query_id long, vec_id long, score double, no_value boolean"))
+    order = Window.partitionBy("query_id").orderBy("no_value", F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

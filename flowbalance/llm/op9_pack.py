@@ -5,7 +5,7 @@ than a sequence is cut into pieces of full length, the first of which takes the
 are sequences of their own. The others are dealt at random into groups of about ``group`` pieces, packed
 best-fit, and then improved: one document for one, two for one, one for two, or one moved, always from
 an emptier to a fuller bin, so that the sum of squared fills grows until bins are empty. Bins that are
-still underfull meet other groups' in the next round.
+still underfull meet other groups' in the next round, and a round that emptied no bin is the last.
 
 The ids are those of the ``tokenizers`` file. They are computed by ``tiktoken`` from the same vocabulary,
 which takes a quarter of the CPU time; words of over 4,096 bytes, on which it is slow, go through
@@ -23,6 +23,7 @@ import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import cache
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -118,11 +119,12 @@ def _parts(members: list[int], lengths: np.ndarray) -> dict[int, tuple[int, ...]
     return {n: m for n, m in out.items() if n not in one} | {n: (i,) for n, i in one.items()}
 
 
-def local_search(bins: list[list[int]], lengths: np.ndarray, most: int, passes: int = 3) -> list[list[int]]:
+def local_search(bins: list[list[int]], lengths: np.ndarray, most: int) -> list[list[int]]:
     """Exchanges between underfull bins, each of which makes the sum of squared fills larger.
 
-    A pass takes the bins from the emptiest on as givers, each until no exchange improves; it ends the
-    search if it changed nothing, and so does the last of ``passes``.
+    A pass takes the bins from the emptiest on as givers, each until no exchange improves; a pass that
+    changed nothing ends the search. There is always such a pass, as fills are whole numbers of tokens and
+    the sum of their squares is bounded.
     """
     fills = np.array([lengths[b].sum() for b in bins], np.int64)
     full = [b for b, f in zip(bins, fills, strict=True) if f == most]
@@ -135,7 +137,8 @@ def local_search(bins: list[list[int]], lengths: np.ndarray, most: int, passes:
         return np.array([(0, 0, k), *((n, len(m), k) for n, m in parts[k].items())], np.int32).T
 
     table = np.concatenate([options(k) for k in range(len(bins))], axis=1) if bins else np.zeros((3, 0), np.int32)
-    for _ in range(passes):
+    moved = True
+    while moved:
         moved = False
         for a in np.argsort(fills, kind="stable").tolist():
             while 0 < fills[a] < most:
@@ -164,8 +167,6 @@ def local_search(bins: list[list[int]], lengths: np.ndarray, most: int, passes:
                     if 0 < fills[k] < most:
                         table = np.concatenate((table, options(k)), axis=1)
                 moved = True
-        if not moved:
-            break
     return full + [b for b in bins if b]
 
 
@@ -193,7 +194,7 @@ def _round(most: int, first: bool):
     return packed
 
 
-def pack(docs: DataFrame, vocabulary: str, ranks: str, pattern: str, end_id: int = 2, most: int = 1024, group: int = 4096, rounds: int = 3) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, ranks: str, pattern: str, end_id: int = 2, most: int = 1024, group: int = 4096) -> DataFrame:
     """Per piece of ``docs(doc_id, text)``: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A sequence's id is the number of its first piece.
@@ -203,18 +204,18 @@ def pack(docs: DataFrame, vocabulary: str, ranks: str, pattern: str, end_id: int
     placed = [pieces.where(F.col("length") == most).withColumns({"bin": F.col("rid"), "offset": F.lit(0).cast("long")})]
     left = pieces.where(F.col("length") < most)
     schema = f"{PIECE}, rid long, bin long, fill long, offset long"
-    for k in range(rounds):
+    for k in count():
         unit = "rid" if k == 0 else "bin"
-        n = left.count()
+        n, bins = left.agg(F.count("*"), F.count_distinct(unit)).first()
         if n == 0:
             break
         dealt = F.pmod(F.xxhash64(unit, F.lit(k)), F.lit(-(-n // group)))
-        left = cut(left.withColumn("deal", dealt).repartition(min(-(-n // group), MOST_TASKS), "deal").groupBy("deal").applyInArrow(_round(most, k == 0), schema))
-        placed.append(left.where(F.col("fill") == most).drop("fill"))
-        last, left = left.drop("fill"), left.where(F.col("fill") < most)
-        if n <= group or k == rounds - 1:
-            placed[-1] = last
+        last = cut(left.withColumn("deal", dealt).repartition(min(-(-n // group), MOST_TASKS), "deal").groupBy("deal").applyInArrow(_round(most, k == 0), schema))
+        if n <= group or k > 0 and last.select("bin").distinct().count() == bins:
+            placed.append(last.drop("fill"))
             break
+        placed.append(last.where(F.col("fill") == most).drop("fill"))
+        left = last.where(F.col("fill") < most)
     out = placed[0]
     for part in placed[1:]:
         out = out.unionByName(part)
