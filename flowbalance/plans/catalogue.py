@@ -40,6 +40,8 @@ from ..operators.fanout import (
     unallocated,
     yield_split,
 )
+from ..operators.fitting import demand_moments, fit_demand, merge_moments
+from ..operators.frontier import frontier
 from ..operators.lookup import unknown_powder, unknown_recipe
 from ..operators.maintain import apply_changes, read_sums, signed_changes, signed_sums
 from ..operators.market import (
@@ -74,6 +76,7 @@ from ..operators.scenarios import (
 from ..sources.dims import allocations, market_params, recipes
 from ..sources.sinks import shared_folder, with_checkpoints, write_quotes
 from ..sources.tables import (
+    LINEITEM_SCHEMA,
     late_slices,
     read_arrivals,
     read_fact_stream,
@@ -573,6 +576,38 @@ def price_announced(spark: SparkSession, path: str) -> DataFrame:
 FILES_PER_BATCH = 1000
 
 
+def _fitted(moments: DataFrame) -> DataFrame:
+    return _rounded(fit_demand(moments), "elasticity", "demand", "r2")
+
+
+def fitted_market(spark: SparkSession, path: str) -> DataFrame:
+    """The market's parameters of each site and product, read back from its daily quotes."""
+    market = market_params(spark)
+    supply = market_supply(_daily(spark, path), market, ["site", "tick"])
+    return _fitted(demand_moments(priced(with_market(supply, market)), ["site", "product"]))
+
+
+def fitted_order_prices(spark: SparkSession, path: str) -> DataFrame:
+    """How the unit prices of a supplier's order lines react to quantity, merged from the moments of line numbers."""
+    lines = spark.read.schema(LINEITEM_SCHEMA).parquet(f"{path}/lineitem.parquet").selectExpr(
+        "l_suppkey AS site", "l_linenumber AS line_number", "l_quantity AS volume",
+        "l_extendedprice / NULLIF(l_quantity, 0D) AS price", "1D AS base_price", "1D AS demand")
+    parts = demand_moments(lines, ["site", "line_number"])
+    return _fitted(merge_moments(parts, ["site"])).drop("demand")
+
+
+def scenario_frontier(spark: SparkSession, path: str) -> DataFrame:
+    """The settings of each site's grid that no other beats in revenue, volume made and mass left over."""
+    with_checkpoints(spark)
+    tasks = spark.sparkContext.defaultParallelism
+    grid = scenario_grid(_pooled_configs(spark, path), GRID, ["site"], tasks)
+    results = evaluate_scenarios(grid, recipes(spark), market_params(spark), ["site", "grid_id"])
+    totals = results.groupBy("site", "grid_id").agg(
+        exact_sum("revenue").alias("revenue"), exact_sum("volume").alias("made"),
+        F.max(F.expr("ABS(residual_fat) + ABS(residual_snf) + ABS(residual_water)")).alias("left_over"))
+    return frontier(_rounded(totals, "revenue", "made", "left_over"), ["site"], ["revenue"], ["made", "left_over"])
+
+
 def price_feed_stream(spark: SparkSession, path: str) -> DataFrame:
     """Hourly feed of everything that closes, through the parquet sink."""
     out, state = shared_folder(spark, "feed"), shared_folder(spark, "feed-state")
@@ -700,6 +735,9 @@ CATALOGUE: dict[str, Query] = {
     "maintained_scenarios": maintained_scenarios,
     "network_throughput": network_throughput,
     "price_announced": price_announced,
+    "fitted_market": fitted_market,
+    "fitted_order_prices": fitted_order_prices,
+    "scenario_frontier": scenario_frontier,
     "price_feed_stream": price_feed_stream,
     "price_direction_stream": price_direction_feed,
     "params_stream": params_stream,

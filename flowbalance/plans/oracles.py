@@ -308,6 +308,14 @@ SELECT site, product, tick, {r('CAST(sum(p) OVER w AS DOUBLE) / 1e6 / count(p) O
 _CHANGED = f"""{LOTS}, changed AS (SELECT * REPLACE (CASE WHEN order_key % 10 = 2 THEN volume * 0.5e0 ELSE volume END AS volume)
  FROM lots WHERE order_key % 10 <> 1)"""
 
+#: Least squares of y over x per key: ``logs`` has them, NULL where a row is not used.
+_FIT = """fits AS (SELECT {keys}, count(x) AS n, CAST(count(*) - count(x) AS BIGINT) AS left_out, max(goal) AS goal,
+ max(x) - min(x) > 1e-9 AS varied, -regr_slope(y, x) AS slope, regr_intercept(y, x) AS cut, regr_r2(y, x) AS fit
+ FROM logs GROUP BY {keys}),
+told AS (SELECT *, CASE WHEN n >= 2 AND varied THEN slope END AS elasticity,
+ CASE WHEN n >= 2 AND varied THEN goal * exp(cut / slope) END AS fitted, CASE WHEN n >= 2 AND varied THEN fit END AS r2,
+ CASE WHEN n = 0 THEN 'none' WHEN n = 1 THEN 'point' WHEN NOT varied THEN 'constant' ELSE 'fitted' END AS outcome FROM fits)"""
+
 ORACLES: dict[str, str] = {
     "cream_and_skim_by_site": f"""WITH {SEPARATED} SELECT site, kind, {sums()},
  count(*) FILTER (WHERE NOT abs(fat + snf + water - volume) < 0.001e0) AS n_open
@@ -494,4 +502,18 @@ moves AS (SELECT site, product, tick, price, k, price AS announced, 0e0 AS delta
   t.price - m.announced, CASE WHEN t.price - m.announced > 0.05e0 THEN 'up' WHEN t.price - m.announced < -0.05e0 THEN 'down' ELSE 'flat' END
  FROM moves m JOIN told t ON t.site = m.site AND t.product = m.product AND t.k = m.k + 1)
 SELECT site, product, tick, price, announced, {r('delta')} AS delta, direction FROM moves""",
+    "fitted_market": f"""WITH {DAILY}, logs AS (SELECT site, product, demand AS goal, base, volume > 0 AS use,
+ CASE WHEN volume > 0 THEN ln(volume / demand) END AS x, CASE WHEN volume > 0 THEN ln(price / base) END AS y
+ FROM quotes JOIN market USING (product)), {_FIT.format(keys='site, product')}
+SELECT site, product, n, left_out, {r('elasticity')} AS elasticity, {r('fitted')} AS demand, {r('r2')} AS r2, outcome FROM told""",
+    "fitted_order_prices": f"""WITH logs AS (SELECT l_suppkey AS site, 1e0 AS goal, l_quantity > 0 AND l_extendedprice > 0 AS use,
+ CASE WHEN use THEN ln(l_quantity) END AS x, CASE WHEN use THEN ln(l_extendedprice / l_quantity) END AS y
+ FROM lineitem), {_FIT.format(keys='site')}
+SELECT site, n, left_out, {r('elasticity')} AS elasticity, {r('r2')} AS r2, outcome FROM told""",
+    "scenario_frontier": f"""WITH {_GRID}, {plant('configs')}, {evaluated('site, grid_id')},
+tried AS (SELECT site, grid_id, {r(s('revenue'), 4)} AS revenue, {r(s('volume'))} AS made,
+ {r('max(abs(residual_fat) + abs(residual_snf) + abs(residual_water))')} AS left_over FROM results GROUP BY site, grid_id)
+SELECT * FROM tried t WHERE NOT EXISTS (SELECT 1 FROM tried o WHERE o.site = t.site AND o.revenue >= t.revenue
+ AND o.made <= t.made AND o.left_over <= t.left_over
+ AND (o.revenue > t.revenue OR o.made < t.made OR o.left_over < t.left_over))""",
 }
