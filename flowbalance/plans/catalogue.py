@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..constants import DEFAULT_CONFIG, MASSES, PARAM_PATHS, STRESS_SCENARIOS
-from ..functions.clock import hour_tick
+from ..functions.clock import hour_tick, minute_tick
 from ..functions.exact import exact_sum, rounded
 from ..operators.accounting import (
     BOUNDS,
@@ -61,6 +61,7 @@ from ..operators.market import (
 )
 from ..operators.network import propagate
 from ..operators.params import asof_params, override_market
+from ..operators.ranges import range_trend
 from ..operators.reconcile import OUTFLOW_KINDS, mass_balance, node_balance, reconcile
 from ..operators.scenarios import (
     best_scenario,
@@ -73,6 +74,7 @@ from ..operators.scenarios import (
     with_scenario_table,
     with_scenarios,
 )
+from ..operators.watch import invariant_limits, watched
 from ..sources.dims import allocations, market_params, recipes
 from ..sources.sinks import shared_folder, with_checkpoints, write_quotes
 from ..sources.tables import (
@@ -596,6 +598,29 @@ def fitted_order_prices(spark: SparkSession, path: str) -> DataFrame:
     return _fitted(merge_moments(parts, ["site"])).drop("demand")
 
 
+def price_range_trend(spark: SparkSession, path: str) -> DataFrame:
+    """Prices of the last week, however many hours of it have a quote; panes of half a day."""
+    hourly = read_supply_events(spark, path).withColumnRenamed("hour", "tick")
+    rows = _rounded(quotes(hourly, market_params(spark), ["site", "tick"]), "price").select("site", "product", "tick", "price")
+    return _rounded(range_trend(rows, ["site", "product"], 168, 12), "mean_price")
+
+
+def supply_range_trend(spark: SparkSession, path: str) -> DataFrame:
+    """Volumes that a site received in the five days up to each event, by the minute, from panes of three hours."""
+    events = read_supply_events(spark, path).selectExpr("event_id", "site", f"{minute_tick('ts')} AS tick", "volume")
+    return _rounded(range_trend(events, ["site"], 7200, 180, value="volume"), "mean_volume")
+
+
+def watched_supply(spark: SparkSession, path: str) -> DataFrame:
+    """Supply of every site, product and day as written, and beside it what its limits say, from the same pass."""
+    supply, watch = watched(_daily(spark, path).groupBy("site", "product", "tick").agg(
+        exact_sum("volume").alias("volume")), invariant_limits("volume", high=400.0))
+    out = shared_folder(spark, "watched")
+    supply.write.parquet(out)
+    rows = spark.read.schema(supply.schema).parquet(out)
+    return rows.unionByName(watch.report(spark), allowMissingColumns=True)
+
+
 def scenario_frontier(spark: SparkSession, path: str) -> DataFrame:
     """The settings of each site's grid that no other beats in revenue, volume made and mass left over."""
     with_checkpoints(spark)
@@ -738,6 +763,9 @@ CATALOGUE: dict[str, Query] = {
     "fitted_market": fitted_market,
     "fitted_order_prices": fitted_order_prices,
     "scenario_frontier": scenario_frontier,
+    "price_range_trend": price_range_trend,
+    "supply_range_trend": supply_range_trend,
+    "watched_supply": watched_supply,
     "price_feed_stream": price_feed_stream,
     "price_direction_stream": price_direction_feed,
     "params_stream": params_stream,

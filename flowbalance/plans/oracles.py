@@ -516,4 +516,23 @@ tried AS (SELECT site, grid_id, {r(s('revenue'), 4)} AS revenue, {r(s('volume'))
 SELECT * FROM tried t WHERE NOT EXISTS (SELECT 1 FROM tried o WHERE o.site = t.site AND o.revenue >= t.revenue
  AND o.made <= t.made AND o.left_over <= t.left_over
  AND (o.revenue > t.revenue OR o.made < t.made OR o.left_over < t.left_over))""",
+    "price_range_trend": f"""WITH {quoted('site, tick').replace("'day', DATE '1970-01-01', CAST(ts AS DATE)", "'hour', TIMESTAMP '1970-01-01', date_trunc('hour', ts)")},
+told AS (SELECT site, product, tick, {r('price')} AS price FROM quotes)
+SELECT *, count(*) OVER w AS n_price, {r(f"CAST(sum({u('price')}) OVER w AS DOUBLE) / 1e6 / count(*) OVER w")} AS mean_price,
+ min(price) OVER w AS min_price, max(price) OVER w AS max_price FROM told
+ WINDOW w AS (PARTITION BY site, product ORDER BY tick RANGE BETWEEN 168 PRECEDING AND CURRENT ROW)""",
+    "supply_range_trend": f"""WITH told AS (SELECT event_id, user_id % 10 AS site,
+ date_diff('minute', TIMESTAMP '1970-01-01', date_trunc('minute', ts)) AS tick, value AS volume FROM events)
+SELECT *, count(*) OVER w AS n_volume, {r(f"CAST(sum({u('volume')}) OVER w AS DOUBLE) / 1e6 / count(*) OVER w")} AS mean_volume,
+ min(volume) OVER w AS min_volume, max(volume) OVER w AS max_volume FROM told
+ WINDOW w AS (PARTITION BY site ORDER BY tick RANGE BETWEEN 7200 PRECEDING AND CURRENT ROW)""",
+    "watched_supply": f"""WITH {SUPPLY}, made AS (SELECT site, product, tick, {s('volume')} AS volume FROM supply GROUP BY site, product, tick),
+told AS (SELECT count(*) AS n, count(*) FILTER (WHERE isnan(volume)) AS bad, count(*) FILTER (WHERE volume IS NULL) AS gone,
+ min(volume) AS least, max(volume) AS most FROM made),
+judged(metric, value, low, high) AS (SELECT 'n_rows', CAST(n AS DOUBLE), 1e0, NULL FROM told UNION ALL SELECT 'n_nan', bad, NULL, 0e0 FROM told
+ UNION ALL SELECT 'n_missing', gone, NULL, 0e0 FROM told UNION ALL SELECT 'least', least, 0e0, 400e0 FROM told
+ UNION ALL SELECT 'most', most, 0e0, 400e0 FROM told)
+SELECT site, product, tick, volume, NULL AS metric, CAST(NULL AS DOUBLE) AS value, CAST(NULL AS DOUBLE) AS low, CAST(NULL AS DOUBLE) AS high,
+ CAST(NULL AS BOOLEAN) AS ok FROM made UNION ALL
+SELECT NULL, NULL, NULL, NULL, metric, value, low, high, coalesce(value >= low, true) AND coalesce(value <= high, true) FROM judged""",
 }
