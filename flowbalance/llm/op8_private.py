@@ -3,15 +3,21 @@
 E-mail addresses, phone numbers, IPv4 addresses, payment card numbers, social security numbers, IBANs,
 secrets (``token = "..."`` and the like, and keys of known prefixes) and names after a title are found in
 whole texts. An entity's identity is its normal form (lower case, bare digits), so all its spellings get
-one surrogate, written in the spelling's own format: punctuation, case and digit groups stay, a card
-number that passes its checksum is replaced by one that passes, an address keeps its top domain, and a
-name's surrogate has its script and the gender of its title. Parts of a name are entities of their
-own, so "Mr John Smith" and "Mr Smith" stay one family.
+one surrogate, written in the spelling's own format: punctuation, case (inner capitals too) and digit groups
+stay, a card number that passes its checksum is replaced by one that passes, an IPv4 address keeps the lengths of
+its numbers, an e-mail address keeps its top domain, and a name's surrogate has its script (Latin,
+Cyrillic, Greek or Han; names in other scripts get Latin ones) and the gender of its title. Parts of a name are
+entities of their own, so "Mr John Smith" and "Mr Smith" stay one family.
+
+Within a document a name is one entity whatever its title: it takes the gender of the first title that
+has one, and mentions without a title, spelled like a titled one, are replaced as well. In Han texts,
+which have no spaces, such mentions are found only where no letter adjoins.
 
 Surrogates are drawn by a keyed hash. Over all distinct entities of the corpus it is then checked that no
-two share a surrogate and that none is a real entity; those that fail draw again, from the fourth time
-on a longer form, until none fails. Entities on other than their first draw are few; up to
-``MOST_REDRAWN`` of them are counted and broadcast, more are joined to their documents.
+two share a surrogate (given names and surnames count as one kind) and that none is a real entity; those that
+fail draw again until none fails. Later draws have longer forms, texts from the fourth on and numbers from the
+ninth on, so that a form of which too many are in use comes to an end. Entities on other than their first
+draw are few; up to ``MOST_REDRAWN`` of them are counted and broadcast, more are joined to their texts.
 
 Defined results: a null text stays null and has no entities, an empty text stays empty. Overlapping
 finds go to the earlier, then the longer one. Repeated rows are replaced alike. An empty table gives no
@@ -50,10 +56,20 @@ TITLES = {"m": ["Mr", "Sir", "Herr", "Herrn", "Monsieur", "Señor", "Sr", "Don",
           "f": ["Mrs", "Ms", "Miss", "Lady", "Frau", "Madame", "Mme", "Mademoiselle", "Señora", "Señorita", "Sra", "Doña", "Г-жа", "Госпожа"],
           "n": ["Dr", "Prof"]}
 _GENDER = {t: g for g, ts in TITLES.items() for t in ts}
-_NAME = re.compile(rf"(?<!\w)({'|'.join(sorted(_GENDER, key=len, reverse=True))})\.?[  ]((?:[^\W\d_a-zà-öø-ÿа-яё][^\W\d_]+)(?:[  -](?:[^\W\d_a-zà-öø-ÿа-яё][^\W\d_]+)){{0,2}})(?!\w)")
+#: A word of a name: no lower-case letter of a cased script first, apostrophes within.
+_NAMED = r"[^\W\d_a-zà-öø-ÿа-яёα-ωάέήίόύώ](?:['’]?[^\W\d_])+"
+_NAME = re.compile(rf"(?<!\w)({'|'.join(sorted(_GENDER, key=len, reverse=True))})\.?[  ]({_NAMED}(?:[  -]{_NAMED}){{0,2}})(?!\w)")
+_PART = re.compile(r"[^\W\d_](?:['’]?[^\W\d_])*")
+_POSSESSIVE = re.compile(r"['’]s?\Z")
 #: Syllables of made-up names by script, and how given names end by gender.
-SYLLABLES = {"latin": ("bdfgklmnprstv", "aeiou"), "cyrillic": ("бвгдклмнпрст", "аеиоу")}
-ENDINGS = {("latin", "m"): "n", ("latin", "f"): "a", ("latin", "n"): "i", ("cyrillic", "m"): "н", ("cyrillic", "f"): "а", ("cyrillic", "n"): "и"}
+SYLLABLES = {"latin": ("bdfgklmnprstv", "aeiou"), "cyrillic": ("бвгдклмнпрст", "аеиоу"), "greek": ("βγδκλμνπρστ", "αειου")}
+ENDINGS = {("latin", "m"): "n", ("latin", "f"): "a", ("latin", "n"): "i", ("cyrillic", "m"): "н", ("cyrillic", "f"): "а", ("cyrillic", "n"): "и",
+           ("greek", "m"): "ν", ("greek", "f"): "α", ("greek", "n"): "ι", ("han", "m"): "强军勇伟", ("han", "f"): "丽芳娜英", ("han", "n"): "文华"}
+HAN = "安白方高何林马宋唐吴杨张"
+_SCRIPTS = {"cyrillic": re.compile("[а-яё]"), "greek": re.compile("[α-ωάέήίόύώ]"), "han": re.compile("[\u4e00-\u9fff]")}
+
+#: Draws after which a form becomes longer, or an IPv4 address gives up the lengths of its numbers.
+TEXTS_GROW, NUMBERS_GROW = 2, 7
 
 #: Entities on other than their first draw that are broadcast, about 20 MB.
 MOST_REDRAWN = 200_000
@@ -65,6 +81,31 @@ def _luhn(digits: str) -> int:
     return sum(sum(divmod(2 * int(d), 10)) if k % 2 else int(d) for k, d in enumerate(reversed(digits)))
 
 
+def _names(text: str) -> list[tuple[int, int, str, str]]:
+    """Every mention of the names that a title announces somewhere in the text."""
+    kinds: dict[str, str] = {}
+    spelled: dict[str, str] = {}
+    for m in _NAME.finditer(text):
+        parts = [_POSSESSIVE.sub("", p.group()) for p in _PART.finditer(m.group(2))]
+        for k, part in enumerate(parts):
+            norm = re.sub(r"\W", "", part.casefold())
+            kind = "name" + (_GENDER[m.group(1)] if k < len(parts) - 1 else "")
+            spelled[part] = norm
+            if kinds.get(norm, "name") == "name" or (kinds[norm] == "namen" and kind in ("namem", "namef")):
+                kinds[norm] = kind
+    if not spelled:
+        return []
+    found = []
+    for m in _PART.finditer(text):
+        whole, heads = m.group(), re.split("['’]", m.group())
+        for mention in (whole, "'".join(heads[:-1]), "’".join(heads[:-1]), heads[0]):
+            if mention in spelled:
+                norm = spelled[mention]
+                found.append((m.start(), m.start() + len(mention), kinds[norm], norm))
+                break
+    return found
+
+
 def entities(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, normal form) of every entity, in order, without overlap."""
     found: list[tuple[int, int, str, str]] = []
@@ -96,11 +137,7 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
     if _IBAN_HINT.search(text):
         found += [(*m.span(), "iban", m.group().replace(" ", "")) for m in _IBAN.finditer(text) if sum(c.isdigit() for c in m.group()) >= 10]
     if any(t in text for t in _GENDER):
-        for m in _NAME.finditer(text):
-            parts = list(re.finditer(r"\w+", m.group(2)))
-            for k, part in enumerate(parts):
-                given = _GENDER[m.group(1)] if k < len(parts) - 1 else ""
-                found.append((m.start(2) + part.start(), m.start(2) + part.end(), f"name{given}", part.group().casefold()))
+        found += _names(text)
     found.sort(key=lambda e: (e[0], -e[1]))
     kept, end = [], 0
     for e in found:
@@ -111,8 +148,9 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
 
 
 def surrogate(kind: str, norm: str, attempt: int, key: str) -> str:
-    """Normal form of the surrogate, of the length of the entity's (longer from attempt 3 on)."""
-    stream = iter(hashlib.shake_256(f"{key}\0{kind}\0{norm}\0{attempt}".encode()).digest(8 * len(norm) + 256))
+    """Normal form of the surrogate, of the length of the entity's (longer on late attempts)."""
+    stream = iter(hashlib.shake_256(f"{key}\0{kind}\0{norm}\0{attempt}".encode()).digest(8 * len(norm) + 256 + 32 * attempt))
+    longer, digits = max(0, attempt - TEXTS_GROW), max(0, attempt - NUMBERS_GROW)
 
     def pick(choices: str) -> str:
         return choices[(next(stream) << 16 | next(stream) << 8 | next(stream)) % len(choices)]
@@ -126,28 +164,34 @@ def surrogate(kind: str, norm: str, attempt: int, key: str) -> str:
         local, _, domain = norm.rpartition("@")
         *labels, top = domain.split(".")
         named = [x if x == "example" else "".join(map(like, x)) for x in labels]
-        more = "".join(like("a") for _ in range(max(0, attempt - 2)))
+        more = "".join(like("a") for _ in range(longer))
         return "".join(map(like, local)) + more + "@" + ".".join([*named, top])
     if kind == "ip":
-        return ".".join(str(1 + (next(stream) << 8 | next(stream)) % 254) for _ in range(4))
+        if digits > 4:  # so many addresses are in use that only the wider form has room
+            return "fd" + ":".join(f"{next(stream):02x}{next(stream):02x}"[2 * (k == 0):] for k in range(8))
+        sizes = [(1, 9), (10, 90), (100, 155)]
+        lows = [sizes[len(part) - 1] if longer == 0 else (1, 254) for part in norm.split(".")]
+        return ".".join(str(low + (next(stream) << 8 | next(stream)) % n) for low, n in lows)
     if kind == "secret":
         is_hex = all(c in "0123456789abcdef" for c in norm)
-        return "".join(pick("0123456789abcdef") if is_hex else like(c) for c in norm) + "".join(like("a") for _ in range(max(0, attempt - 2)))
+        return "".join(pick("0123456789abcdef") if is_hex else like(c) for c in norm) + "".join(like("a") for _ in range(longer))
     if kind == "card":
-        body = norm[0] + "".join(map(like, norm[1:-1]))
+        body = norm[0] + "".join(map(like, norm[1:-1] + "0" * digits))
         fit = (10 - _luhn(body + "0")) % 10
         return body + str(fit if _luhn(norm) % 10 == 0 else (fit + 1 + int(pick("012345678"))) % 10)
     if kind == "iban":
-        body = "".join(like(c).upper() for c in norm[4:])
+        body = "".join(like(c).upper() for c in norm[4:] + "0" * digits)
         value = int("".join(str(int(c, 36)) for c in body + norm[:2] + "00"))
         return f"{norm[:2]}{98 - value % 97:02d}{body}"
     if kind.startswith("name"):
-        script = "cyrillic" if re.search("[а-яё]", norm) else "latin"
+        script = next((name for name, letters in _SCRIPTS.items() if letters.search(norm)), "latin")
+        if script == "han":
+            return "".join(pick(HAN) for _ in range(len(norm) - 1 + attempt // 2)) + pick(ENDINGS.get((script, kind[4:]), HAN))
         a, b = SYLLABLES[script]
         stem = "".join(pick(a) + pick(b) for _ in range(3 + attempt // 2))
         return stem + ENDINGS.get((script, kind[4:]), pick(a))
     code = len(norm) - 10 if kind == "phone" and len(norm) > 10 else 0  # a country code stays
-    return norm[:code] + "".join(map(like, norm[code:]))  # phone, ssn
+    return norm[:code] + "".join(map(like, norm[code:] + "0" * digits))  # phone, ssn
 
 
 def written(kind: str, spelling: str, norm: str, drawn: str) -> str:
@@ -160,9 +204,15 @@ def written(kind: str, spelling: str, norm: str, drawn: str) -> str:
                 k += 1
             else:
                 out.append(c)
-        return "".join(out)
+        return "".join(out) + drawn[k:]
     if kind.startswith("name"):
-        return drawn.upper() if spelling.isupper() and len(spelling) > 1 else drawn.capitalize()
+        letters = [c for c in spelling if c.isalpha()]
+        new = drawn.upper() if spelling.isupper() and len(letters) > 1 else "".join(
+            d.upper() if k == 0 or k < len(letters) and letters[k].isupper() else d for k, d in enumerate(drawn))
+        for k, c in enumerate(spelling):
+            if not c.isalpha() and k < len(new):
+                new = new[:k] + c + new[k:]
+        return new
     if spelling.lower() == spelling:
         return drawn
     if spelling.upper() == spelling:
@@ -187,8 +237,8 @@ def _draws(key: str):
 
 def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        seen = {(d, *e[2:]) for d, text in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True) for e in entities(text.as_py() or "")}
-        yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in seen], pa.int64()), *(pa.array([e[k] for e in seen], pa.string()) for k in (1, 2))], names=["doc_id", "kind", "norm"])
+        seen = {(d, *e[2:]) for d, text in zip(batch["same"].to_pylist(), batch["text"], strict=True) for e in entities(text.as_py() or "")}
+        yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in seen], pa.int64()), *(pa.array([e[k] for e in seen], pa.string()) for k in (1, 2))], names=["same", "kind", "norm"])
 
 
 def _replace(key: str, redrawn):
@@ -220,13 +270,14 @@ def draws(docs: DataFrame, key: str) -> DataFrame:
     """(kind, norm, attempt) of all distinct entities, so that their surrogates are distinct and none
     is a real entity."""
     real = cut(docs.select("text").where("text is not null").mapInArrow(_distinct, "kind string, norm string").distinct())
+    family = F.expr("IF(kind LIKE 'name%', 'name', kind)")
+    known = real.select(family.alias("family"), F.col("norm").alias("drawn"), F.lit(True).alias("is_real")).distinct()
     state = real.withColumn("attempt", F.lit(0))
     while True:
-        drawn = state.mapInArrow(_draws(key), "kind string, norm string, attempt int, drawn string")
-        first = drawn.groupBy("kind", "drawn").agg(F.min("norm").alias("keeps"))
-        known = real.select("kind", F.col("norm").alias("drawn"), F.lit(True).alias("is_real"))
-        checked = cut(drawn.join(first, ["kind", "drawn"]).join(known, ["kind", "drawn"], "left")
-                      .select("kind", "norm", "attempt", (F.col("is_real").isNotNull() | (F.col("norm") != F.col("keeps"))).alias("again")))
+        drawn = state.mapInArrow(_draws(key), "kind string, norm string, attempt int, drawn string").withColumn("family", family)
+        first = drawn.groupBy("family", "drawn").agg(F.min(F.struct("norm", "kind")).alias("keeps"))
+        checked = cut(drawn.join(first, ["family", "drawn"]).join(known, ["family", "drawn"], "left").select(
+            "kind", "norm", "attempt", (F.col("is_real").isNotNull() | (F.struct("norm", "kind") != F.col("keeps"))).alias("again")))
         state = checked.select("kind", "norm", (F.col("attempt") + F.col("again").cast("int")).alias("attempt"))
         if checked.where("again").isEmpty():
             return state
@@ -243,8 +294,10 @@ def replace_private(docs: DataFrame, key: str, most_redrawn: int = MOST_REDRAWN)
         everywhere = {(x["kind"], x["norm"]): x["attempt"] for x in few}
         rows = rows.withColumn("again", F.lit(None).cast("array<struct<kind: string, norm: string, attempt: int>>"))
     else:
-        places = rows.mapInArrow(_places, "doc_id long, kind string, norm string").distinct()
-        marks = places.join(again, ["kind", "norm"]).groupBy("doc_id").agg(F.collect_list(F.struct("kind", "norm", "attempt")).alias("again"))
-        rows = rows.alias("d").join(marks.alias("m"), F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")), "left").select("d.doc_id", "d.text", "m.again")
+        # by text and not by id: ids may be missing or repeat, equal texts have equal entities
+        keyed = rows.withColumn("same", F.xxhash64("text"))
+        places = keyed.mapInArrow(_places, "same long, kind string, norm string").distinct()
+        marks = places.join(again, ["kind", "norm"]).groupBy("same").agg(F.collect_list(F.struct("kind", "norm", "attempt")).alias("again"))
+        rows = keyed.join(marks, "same", "left").select("doc_id", "text", "again")
     shared = docs.sparkSession.sparkContext.broadcast(everywhere)
     return rows.mapInArrow(_replace(key, shared), f"doc_id long, text string, n_entities int, found {FOUND}")
