@@ -7,7 +7,10 @@ that make its n-grams likeliest. Languages are then taken away, the least likely
 penalised likelihood (each language costs half the logarithm of the number of words) gets better. The
 prediction is the largest proportion, and the score is that proportion.
 
-The model's size is known before it is sent to the executors: ``MOST_CELLS`` bounds languages x buckets.
+The model's size is known before it is sent to the executors: ``MOST_CELLS`` bounds languages x sizes x buckets.
+Buckets are halved until that holds, which merges neighbouring ones: up to 128 languages have all of them, and
+each doubling beyond costs a bit of the hash. Blocks of text shrink in the same measure. At ``LEAST_BUCKETS``, over
+16,384 languages, learning stops with an error, as that is no set of languages any more.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; so is everything if no
 language was learned. Ties go to the language that sorts first. Repeated rows are judged each; an
@@ -29,6 +32,8 @@ from flowbalance.llm.common import LOWER, UPPER, blocks, cut, utf8
 BUCKETS = 1 << 15
 SIZES = (1, 2, 3, 4)
 MOST_CELLS = 1 << 24
+LEAST_BUCKETS = 1 << 8
+BLOCK = 512 << 10
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[list(UPPER.encode())] = list(LOWER.encode())
 _FOLD[[9, 10, 11, 12, 13]] = 32
@@ -88,16 +93,22 @@ def _counts(buckets: int):
     return rows
 
 
-def learn(labelled: DataFrame, buckets: int = BUCKETS) -> tuple[list[str], np.ndarray]:
+def learn(labelled: DataFrame, buckets: int = BUCKETS, most_cells: int = MOST_CELLS) -> tuple[list[str], np.ndarray]:
     """Languages in order, and float32 log probabilities [sizes x buckets, languages], from all of
-    ``labelled(text, lang)``; rows without a language are left out."""
+    ``labelled(text, lang)``; rows without a language are left out. Many languages have fewer buckets."""
     rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", utf8().alias("body"))
     counts = rows.mapInArrow(_counts(buckets), "lang string, cell long, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n"))
     counts = cut(counts)
-    most = MOST_CELLS // (len(SIZES) * buckets)
+    most = most_cells // (len(SIZES) * min(buckets, LEAST_BUCKETS))
     langs = sorted(row[0] for row in counts.select("lang").distinct().limit(most + 1).collect())
     if len(langs) > most:
-        raise ValueError(f"over {most} languages; use fewer buckets")
+        raise ValueError(f"over {most} languages")
+    halved = 0
+    while len(langs) * len(SIZES) * (buckets >> halved) > most_cells:
+        halved += 1
+    if halved:  # a bucket is the upper bits of a hash, and a cell's row is a multiple of the buckets
+        buckets >>= halved
+        counts = counts.groupBy("lang", F.shiftright("cell", halved).alias("cell")).agg(F.sum("n").alias("n"))
     found = counts.toArrow()
     tables = np.full((len(langs), len(SIZES) * buckets), 0.5)
     coded = found["lang"].combine_chunks().dictionary_encode()
@@ -143,14 +154,14 @@ def proportions(likely: np.ndarray, first: np.ndarray, steps: int = 12, again: i
     return pi
 
 
-def _judge(shared, buckets: int):
+def _judge(shared, buckets: int, most: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, model = shared.value
         names = np.array([*langs, "und"], object)
         for batch in batches:
             pred, score = np.full(batch.num_rows, len(langs)), np.zeros(batch.num_rows)
             text = batch["row"].field("text").cast(pa.binary()).fill_null(b"")
-            for lo, hi, data, offsets in blocks(text, 512 << 10):
+            for lo, hi, data, offsets in blocks(text, most):
                 if not langs or not len(data):
                     continue
                 grams, word, begin = _grams(data, offsets, buckets)
@@ -175,10 +186,12 @@ def _judge(shared, buckets: int):
     return rows
 
 
-def identify(docs: DataFrame, langs: list[str], model: np.ndarray, buckets: int = BUCKETS) -> DataFrame:
+def identify(docs: DataFrame, langs: list[str], model: np.ndarray) -> DataFrame:
     """Per row of ``docs``, which has a text: the row as a struct, lang_pred, score."""
+    buckets = len(model) // len(SIZES)
+    most = min(BLOCK, 128 * BLOCK // max(1, len(langs)))  # bytes of text; each has a float per language
     shared = docs.sparkSession.sparkContext.broadcast((langs, model))
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
     rows = docs.select(row, F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("lettered"))
     schema = T.StructType([rows.schema["row"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return rows.mapInArrow(_judge(shared, buckets), schema)
+    return rows.mapInArrow(_judge(shared, buckets, most), schema)
