@@ -3,7 +3,8 @@
 Facts and changes are one stream. A fact waits in its key's state until the watermark has passed its
 time; by then every change that counts for it has come, whatever the order of arrival. An event-time
 timer wakes the key. What is in effect before the watermark stays as one change per path, older ones
-go, so that the state holds what is open and not the history. (State expiry by age exists for
+go, so that the state holds what is open and not the history. Facts and changes are kept in blocks and
+resolved by sorting and searching arrays, so that a row costs no call to the state store of its own. (State expiry by age exists for
 processing time only; here the watermark does it.)
 """
 
@@ -20,51 +21,84 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 CHANGE, FACT = 0, 1
 
 
+#: Rows of the state. A state value holds many of them, as their bytes: one call to the store a block, not a row.
+_WAITING = np.dtype([("us", "i8"), ("id", "i8"), ("volume", "f8")])
+_LOG = np.dtype([("path", "i4"), ("us", "i8"), ("id", "i8"), ("value", "f8")])
+_BLOCK = 1 << 16
+
+
+def _packed(kind: np.dtype, *columns: pd.Series) -> np.ndarray:
+    rows = np.empty(len(columns[0]), kind)
+    for name, column in zip(kind.names, columns, strict=True):
+        rows[name] = column.to_numpy(kind[name], na_value=np.nan) if kind[name].kind == "f" else column.to_numpy(kind[name])
+    return rows
+
+
+def _blocks(rows: np.ndarray) -> list[tuple[bytes]]:
+    return [(rows[k:k + _BLOCK].tobytes(),) for k in range(0, len(rows), _BLOCK)]
+
+
+def _rows(blocks: Iterator[tuple[bytes]], kind: np.dtype) -> np.ndarray:
+    return np.frombuffer(b"".join(bytes(block) for block, in blocks), kind)
+
+
 class _InEffect(StatefulProcessor):
     def __init__(self, defaults: Sequence[float], keys: Sequence[str], columns: Sequence[str]) -> None:
         self._defaults, self._keys, self._columns = defaults, keys, columns
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
-        self._waiting = handle.getListState("waiting", "us long, fact_id long, volume double")
-        self._changes = handle.getMapState("changes", "path int, us long, change_id long", "value double")
+        self._waiting = handle.getListState("waiting", "block binary")
+        self._changes = handle.getListState("changes", "block binary")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):  # noqa: N802, N803
-        undated = []
+        first = None
         for batch in rows:
-            facts = batch[batch["kind"] == FACT]
-            dated = facts[facts["us"].notna()]
-            if len(dated):
-                self._waiting.appendList([(int(u), int(i), v) for u, i, v in zip(
-                    dated["us"], dated["id"], dated["number"], strict=True)])
-                self._wake(int(dated["us"].min()))
-            undated.append(facts[facts["us"].isna()])
-            for c in batch[(batch["kind"] == CHANGE) & batch["us"].notna()].itertuples():
-                self._changes.updateValue((int(c.path), int(c.us), int(c.id)), (float(c.number),))
-        for facts in undated:
-            yield self._output(key, [None] * len(facts), facts["id"].tolist(), facts["number"].tolist(),
-                               [[d] * len(facts) for d in self._defaults])
+            dated = batch["us"].notna()
+            facts = batch[(batch["kind"] == FACT) & dated]
+            if len(facts):
+                self._waiting.appendList(_blocks(_packed(_WAITING, facts["us"], facts["id"], facts["number"])))
+                least = int(facts["us"].min())
+                first = least if first is None else min(first, least)
+            log = batch[(batch["kind"] == CHANGE) & dated]
+            if len(log):
+                self._changes.appendList(_blocks(_packed(_LOG, log["path"], log["us"], log["id"], log["number"])))
+            undated = batch[(batch["kind"] == FACT) & ~dated]
+            if len(undated):
+                yield self._output(key, None, undated["id"], undated["number"], [np.full(len(undated), d) for d in self._defaults])
+        if first is not None:
+            self._wake(first)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
         now = timerValues.getCurrentWatermarkInMs() * 1000
-        waiting = sorted(self._waiting.get(), key=lambda f: f[0])
-        ready = [f for f in waiting if f[0] <= now]
-        rest = waiting[len(ready):]
-        if rest:
-            self._waiting.put(rest)
-            self._wake(max(rest[0][0], now + 1000))
+        waiting = _rows(self._waiting.get(), _WAITING)
+        ready, rest = waiting[waiting["us"] <= now], waiting[waiting["us"] > now]
+        if len(rest):
+            self._wake(max(int(rest["us"].min()), now + 1000))
+        if not len(ready):  # an earlier timer of this watermark has served them
+            return
+        if len(rest):
+            self._waiting.put(_blocks(rest))
         else:
             self._waiting.clear()
-        log = sorted((*change, value[0]) for change, value in self._changes.iterator())
-        found = []
+        log = _rows(self._changes.get(), _LOG)
+        names = ["path", "us", "id"]
+        log = log[np.lexsort([log[c] for c in reversed(names)])]
+        # of a change that came twice the later one counts; the sort keeps the order of arrival
+        log = log[np.append(log[names][1:] != log[names][:-1], np.ones(min(len(log), 1), bool))]
+        found, kept = [], []
         for path, default in enumerate(self._defaults):
-            own = [c for c in log if c[0] == path]
-            at = np.searchsorted([c[1] for c in own], [f[0] for f in ready], side="right") if own else [0] * len(ready)
-            found.append([own[k - 1][3] if k else default for k in at])
-            passed = [c for c in own if c[1] <= now]
-            for c in passed[:-1]:
-                self._changes.removeKey(c[:3])
-        yield self._output(key, [f[0] for f in ready], [f[1] for f in ready], [f[2] for f in ready], found)
+            own = log[log["path"] == path]
+            at = np.searchsorted(own["us"], ready["us"], side="right")
+            found.append(np.append(default, own["value"])[at])
+            passed = int(np.searchsorted(own["us"], now, side="right"))
+            kept.append(own[max(passed - 1, 0):])
+        self._changes.clear()
+        if sum(map(len, kept)):
+            self._changes.put(_blocks(np.concatenate(kept)))
+        for k in range(0, len(ready), _BLOCK):
+            part = slice(k, k + _BLOCK)
+            yield self._output(key, ready["us"][part], ready["id"][part], ready["volume"][part], [f[part] for f in found])
 
     def close(self) -> None:
         pass
@@ -72,10 +106,11 @@ class _InEffect(StatefulProcessor):
     def _wake(self, us: int) -> None:
         self._handle.registerTimer(us // 1000)
 
-    def _output(self, key, us: list, ids: list, volumes: list, found: list[list]) -> pd.DataFrame:
+    def _output(self, key, us: np.ndarray | None, ids, volumes, found: list[np.ndarray]) -> pd.DataFrame:
+        n = len(ids)
         return pd.DataFrame({
-            "fact_id": pd.Series(ids, dtype="int64"), **{k: pd.Series([v] * len(ids)) for k, v in zip(self._keys, key, strict=False)},
-            "us": pd.Series(us, dtype="Int64"), "volume": pd.Series(volumes, dtype="float64"),
+            "fact_id": pd.Series(np.asarray(ids), dtype="int64"), **{k: pd.Series([v] * n) for k, v in zip(self._keys, key, strict=False)},
+            "us": pd.Series([None] * n if us is None else us, dtype="Int64"), "volume": pd.Series(np.asarray(volumes), dtype="float64"),
             **{c: pd.Series(f, dtype="float64") for c, f in zip(self._columns, found, strict=True)}})
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 import datetime as dt
 import random
 
+import pandas as pd
+import pandas as pd
 import pytest
 from conftest import by
 
@@ -15,7 +17,7 @@ from flowbalance.sources import read_arrivals, read_supply_events, read_supply_s
 from flowbalance.sources.tables import EVENT_SCHEMA
 from flowbalance.streaming.amend import KEYS, create, latest, merge, versions, write_amended
 from flowbalance.streaming.feed import ROCKSDB_PROVIDER, price_feed
-from flowbalance.streaming.keyed import params_in_effect_keyed
+from flowbalance.streaming.keyed import CHANGE, FACT, _InEffect, params_in_effect_keyed
 
 START = dt.datetime(2024, 1, 1)
 
@@ -97,3 +99,48 @@ def test_changes_may_come_after_their_facts(spark, tmp_path, rocksdb, salts):
             return float(max(own)[2]) if own else default
         want[i] = (user % 10, ts, value, last("signup", lambda v: 30 + v % 16, 40.0), last("click", lambda v: v % 21 * 5, 50.0))
     assert got == want and len(got) > 80
+
+
+def test_a_row_in_effect_costs_no_call_to_the_state_store():
+    """Calls to the store grow with blocks, whatever the number of facts and changes."""
+    calls = []
+
+    class State:
+        def __init__(self):
+            self.values = []
+
+        def __getattr__(self, name):
+            def call(*given):
+                calls.append(name)
+                if name in ("put", "clear"):
+                    self.values = []
+                if name in ("put", "appendList"):
+                    self.values += given[0]
+                return iter(list(self.values))
+            return call
+
+    class Handle:
+        def getListState(self, *_):  # noqa: N802
+            return State()
+
+        getMapState = getListState  # noqa: N815
+
+        def registerTimer(self, at):  # noqa: N802
+            calls.append("timer")
+
+    class Now:
+        def getCurrentWatermarkInMs(self):  # noqa: N802
+            return 5
+
+    def run(n):
+        calls.clear()
+        state = _InEffect([7.0, 8.0], ["site"], ["a", "b"])
+        state.init(Handle())
+        rows = [(FACT, 10 * i, i, 1.0, None) for i in range(n)] + [(CHANGE, 10 * i + 5, i, float(i), 0) for i in range(n)]
+        list(state.handleInputRows((1,), iter([pd.DataFrame(rows, columns=["kind", "us", "id", "number", "path"])]), Now()))
+        found = pd.concat(state.handleExpiredTimer((1,), Now(), None))
+        assert found["fact_id"].tolist() == list(range(min(n, 501))) and set(found["b"]) == {8.0}
+        assert found["a"].tolist() == [7.0, *map(float, range(min(n, 501) - 1))]
+        return len(calls)
+
+    assert run(400) == run(40) and run(4000) <= run(400) + 2
