@@ -51,7 +51,7 @@ def reject_reason(
     return f"CASE {' '.join(checks)} END"
 
 
-def _within(inputs: Sequence[str], bounds: Mapping[str, tuple[float, float]]) -> str:
+def within(inputs: Sequence[str], bounds: Mapping[str, tuple[float, float]]) -> str:
     """The complement of ``reject_reason`` as plain comparisons; NULL counts as false.
 
     NaN is greater than any bound and NULL fails every comparison, so a bounded input needs no other
@@ -83,7 +83,7 @@ def usable(
     ``apart`` compiles the filter on its own, for a stage whose method would become too large for the
     JVM to compile with it: a stage ends at a lambda, and the comparisons before it stay compiled.
     """
-    checks = _within(inputs, bounds)
+    checks = within(inputs, bounds)
     return lots.where(f"{checks} AND FORALL(ARRAY(volume), v -> v >= 0D)" if apart else checks)
 
 
@@ -93,7 +93,7 @@ def rejected(
 ) -> DataFrame:
     """The other side of ``usable``: nothing is dropped without being listed here. The cheap
     complement filters first, so that only rejected lots go through the list of reasons."""
-    return lots.where(f"NOT COALESCE({_within(inputs, bounds)}, FALSE)").selectExpr(
+    return lots.where(f"NOT COALESCE({within(inputs, bounds)}, FALSE)").selectExpr(
         "*", f"{reject_reason(inputs, bounds)} AS reject_reason")
 
 

@@ -73,6 +73,7 @@ from ..operators.scenarios import (
     scenario_grid,
     with_scenario_table,
     with_scenarios,
+    with_usable_scenarios,
 )
 from ..operators.watch import invariant_limits, watched
 from ..sources.dims import allocations, market_params, recipes
@@ -508,12 +509,12 @@ def _changed_lots(spark: SparkSession, path: str) -> list[DataFrame]:
 
 
 def _maintained(
-    spark: SparkSession, deltas: list[DataFrame], keys: list[str]
+    spark: SparkSession, deltas: list[DataFrame], keys: list[str], check: bool = True
 ) -> DataFrame:
     """The plant's totals after all deltas, each merged into the version before it."""
     path = shared_folder(spark, "maintained")
     for number, delta in enumerate(deltas):
-        wide = plant(delta, recipes(spark))
+        wide = plant(delta, recipes(spark), check)
         sums = apply_changes(spark, path, number, signed_sums(wide, keys, plant_measures()), keys)
     return read_sums(sums, keys, list(plant_measures()))
 
@@ -527,8 +528,8 @@ def maintained_scenarios(spark: SparkSession, path: str) -> DataFrame:
     """The scenario sweep, kept up to date with inserted, deleted and changed lots."""
     keys = ["site", "scenario_id"]
     tasks = spark.sparkContext.defaultParallelism
-    deltas = [with_scenarios(spread(d, tasks), STRESS_SCENARIOS) for d in _changed_lots(spark, path)]
-    rows = price_totals(_maintained(spark, deltas, keys), market_params(spark), keys)
+    deltas = [with_usable_scenarios(spread(d, tasks), STRESS_SCENARIOS) for d in _changed_lots(spark, path)]
+    rows = price_totals(_maintained(spark, deltas, keys, check=False), market_params(spark), keys)
     return _rounded(rows, "price", "revenue", "residual_fat", "residual_snf", "residual_water")
 
 

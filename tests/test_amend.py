@@ -5,7 +5,6 @@ from __future__ import annotations
 import datetime as dt
 import random
 
-import pandas as pd
 import pandas as pd
 import pytest
 from conftest import by

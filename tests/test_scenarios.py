@@ -5,9 +5,10 @@ from itertools import product as combinations
 
 import pytest
 from pyspark.sql import functions as F
-from conftest import by
+from conftest import TINY, by
 
 from flowbalance.constants import DEFAULT_CONFIG, STRESS_SCENARIOS
+from flowbalance.operators.accounting import PLANT_INPUTS, usable
 from flowbalance.operators.scenarios import (
     best_scenario,
     compare_scenarios,
@@ -16,8 +17,9 @@ from flowbalance.operators.scenarios import (
     invariants,
     scenario_grid,
     with_scenarios,
+    with_usable_scenarios,
 )
-from flowbalance.sources import defaults
+from flowbalance.sources import defaults, read_lots
 
 KEYS = ["scenario_id"]
 
@@ -107,3 +109,20 @@ def test_grid_is_the_full_product(spark, partitions):
     assert "Cartesian" not in text and "NestedLoop" not in text
     if partitions:
         assert grid.rdd.getNumPartitions() == partitions
+
+
+def test_settings_judged_once_give_the_lots_usable_under_each_scenario(spark):
+    lots = read_lots(spark, TINY).limit(12)
+    odd = [("volume", v) for v in ("-1D", "DOUBLE('NaN')", "DOUBLE('Infinity')", "1.7e308D")]
+    odd += [(c, v) for c in PLANT_INPUTS for v in ("CAST(NULL AS DOUBLE)", "-0.5D", "100D", "100.5D", "DOUBLE('NaN')")]
+    for column, value in odd:
+        lots = lots.unionByName(read_lots(spark, TINY).limit(1).selectExpr("* EXCEPT (" + column + ")", f"{value} AS {column}"))
+    scenarios = [("none", {}), ("herd", {"producer": {"fat_pct": 3.0, "snf_pct": 7.5, "volume": 100.0}}), ("solid", {"producer": {"fat_pct": 60.0, "snf_pct": 50.0}}),
+                 ("cream", {"separator": {"cream_fat_pct": 30.0}}), ("beyond", {"skim_split": {"skim_split_pct": 101.0}}),
+                 ("two", {"cream_split": {"cream_split_pct": 5.0}, "butter_plant_a": {"butter_a_fat_pct": 78.0, "powder_a": "wmp"}})]
+    lots = lots.cache()
+    want = usable(with_scenarios(lots, scenarios), PLANT_INPUTS)
+    got = with_usable_scenarios(lots, scenarios)
+    assert got.columns == want.columns
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    assert want.groupBy("scenario_id").count().count() == 4
