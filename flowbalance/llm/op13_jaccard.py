@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowbalance.llm.common import blocks, cut, keyed, lists, mixed, signed, stored, utf8
+from flowbalance.llm.common import blocks, cut, keyed, lists, mixed, shuffles_freed, signed, stored, utf8
 from flowbalance.llm.components import components
 from flowbalance.llm.op4_minhash import BLOCK, _block_links, text_sets
 
@@ -240,12 +240,17 @@ def _apart(met: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) ->
     placed = met.where("id <> u").join(labels, "id", "left").select("key", "id", "least", F.coalesce("label", "id").alias("label"))
     mixed_keys = placed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
     shown = cut(placed.join(mixed_keys, "key"))
-    owners = cut(shown.groupBy("id", "label").agg(F.countDistinct("key").alias("keys"), F.min("least").alias("least")).where("keys >= least").select("id", "label"))
+    owners = cut(shown.groupBy("id", "label").agg(F.countDistinct("key").alias("keys"), F.min("least").alias("least")).where("keys >= least")
+                 .select("id", "label", F.monotonically_increasing_id().alias("no")))
+    # numbers, not stamps, go with the shingles: they compress. A component's is its least owner's
+    numbered = cut(owners.join(owners.groupBy("label").agg(F.min("no").alias("part")), "label").select("id", "label", "no", "part"))
     # 40 bits do: two shingles taken for one can only let a set through
-    held = owners.join(sets, "id").select("id", "label", F.size("set").alias("n"), F.explode("set").alias("h")).withColumn("h", F.col("h").bitwiseAND((1 << 40) - 1))
+    held = numbered.join(sets, "id").select("no", "part", F.explode("set").alias("h")).withColumn("h", F.col("h").bitwiseAND((1 << 40) - 1))
     group = Window.partitionBy("h")
-    spread = held.withColumns({"lo": F.min("label").over(group), "hi": F.max("label").over(group)}).where("lo <> hi")
-    left = cut(spread.groupBy("id", "label").agg(F.count("*").alias("shared"), F.min("n").alias("n")).where(F.col("shared") * 100 >= F.col("n") * percent).select("id", "label"))
+    spread = held.withColumns({"lo": F.min("part").over(group), "hi": F.max("part").over(group)}).where("lo <> hi")
+    shared = spread.groupBy("no").agg(F.count("*").alias("shared"))
+    sized = sets.select("id", F.size("set").alias("n"))
+    left = cut(shared.join(numbered, "no").join(sized, "id").where(F.col("shared") * 100 >= F.col("n") * percent).select("id", "label"))
     still = shown.join(left.select("id"), "id", "left_semi").select("key", "id")
     heads = still.groupBy("key").agg(F.min("id").alias("v"))
     clusters = components(still.join(heads, "key").select(F.col("id").alias("u"), "v").distinct())
@@ -258,8 +263,8 @@ def _apart(met: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) ->
     return dealt.join(sets, "id").groupBy("cluster", "i", "j").applyInArrow(_block_links(percent), "u long, v long")
 
 
-def similar_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """Per row of ``docs(doc_id, text)``: doc_id, n_shingles, component_id."""
+def _named(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(thin rows doc_id, n, s; classes s, component), both written out."""
     body = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("body"))
     thin, classes, salt = _classes(body, width)
     keys = body.where("doc_id is not null").mapInArrow(_keys(width, percent, salt), "key long, s long, looked boolean, least byte")
@@ -291,5 +296,12 @@ def similar_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFr
     placed = cut(classes.join(labels.withColumnRenamed("id", "s"), "s", "left").withColumn("label", F.coalesce("label", "s")))
     least = placed.groupBy("label").agg(F.min("doc").alias("component"))
     named = cut(placed.join(least, "label").select("s", "component"))
+    return thin, named
+
+
+def similar_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """Per row of ``docs(doc_id, text)``: doc_id, n_shingles, component_id."""
+    with shuffles_freed(docs.sparkSession):
+        thin, named = _named(docs, width, percent)
     return (thin.join(named, "s", "left")
             .select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id")))

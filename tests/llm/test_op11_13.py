@@ -9,6 +9,7 @@ import random
 import re
 import subprocess
 import sys
+import time
 import zlib
 from collections import defaultdict
 
@@ -321,3 +322,25 @@ def test_bands_hold_every_linked_pair():
                 assert band[high] - band[low] in (0, 1)
                 least = -(-percent * (low + high) // (100 + percent))
                 assert low + high - 2 * least <= differ[band[low]]
+
+
+def test_the_jaccard_join_gives_back_its_shuffles(spark):
+    """Shuffles of steps whose results are written out leave the disk, without a garbage collection of the driver."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffles():
+        found = manager.getAllBlocks()
+        return {str(found.apply(k)).split("_")[1] for k in range(found.size()) if str(found.apply(k)).startswith("shuffle_")}
+
+    held = shuffles()
+    words = [f"w{i}" for i in range(60)]
+    docs = spark.createDataFrame([(i, " ".join(words[:50 + i % 7])) for i in range(40)] + [(99, "alone")], "doc_id long, text string")
+    found = similar_groups(docs, 4, 85)
+    for _ in range(50):
+        if len(shuffles() - held) <= 2:
+            break
+        time.sleep(0.2)
+    assert len(shuffles() - held) <= 2 and spark.conf.get(key) == before
+    assert {r.component_id for r in found.collect()} == {0, 99}
