@@ -99,13 +99,24 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-@contextmanager
-def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+def cut_by(df: DataFrame, key: str) -> DataFrame:
+    """Like ``cut``, a row for each ``key``, dealt by it once: joins on it then leave these rows where they are. Rows keep
+    that only if their query isn't adaptive, so ``df`` should do no joins."""
+    spark = df.sparkSession
+    with _set(spark, "spark.sql.adaptive.enabled", "false"):
+        return cut(df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), key).dropDuplicates([key]))
+
+
+def shuffles_freed(spark: SparkSession):
     """Queries made and run within give back the disk of their shuffles as soon as they end, rather than when the
     driver's garbage collector finds them. For steps whose results are written out; the caller's setting stays."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    return _set(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
+@contextmanager
+def _set(spark: SparkSession, key: str, value: str) -> Iterator[None]:
     before = spark.conf.get(key, None)
-    spark.conf.set(key, "true")
+    spark.conf.set(key, value)
     try:
         yield
     finally:

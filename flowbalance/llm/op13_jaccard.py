@@ -15,10 +15,11 @@ is shared by a fixed part of all documents, so it is left out as long as the tot
 of the spare segments and then of a deletion neighbourhood of the first segment, if its subset has two
 elements or more, where lookups are as good as unique.
 
-Pairs of a bucket aren't all made. Its members meet its first class; then, where the others aren't yet in one
+Pairs of a bucket aren't all made. Its members meet its first class, and those go whose sketches (parities of
+elements) differ in more bits than linked sets can in elements; then, where the others aren't yet in one
 component, classes that share too few keys or shingles with other components go, as they can't be linked to one,
 and the rest is compared in blocks. Every link is confirmed on the
-full sets of whole texts.
+full sets of whole texts, which are dealt by their class once and stay there.
 
 Defined results: words are runs of anything but white space, A-Z lower-cased; a text of fewer words than
 a shingle is one shingle. Documents without words, null texts included, have no shingles and no links; so
@@ -35,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowbalance.llm.common import blocks, cut, keyed, lists, mixed, shuffles_freed, signed, stored, utf8
+from flowbalance.llm.common import blocks, cut, cut_by, keyed, lists, mixed, shuffles_freed, signed, stored, utf8
 from flowbalance.llm.components import components
 from flowbalance.llm.op4_minhash import BLOCK, _block_links, text_sets
 
@@ -43,7 +44,7 @@ from flowbalance.llm.op4_minhash import BLOCK, _block_links, text_sets
 SPARE = 3
 #: Stamps of sets that a task remembers, so that it sends the keys of a repeated set once.
 SEEN = 1 << 20
-_STAMP, _DEAL, _VALUE = keyed(3, 1301)
+_STAMP, _DEAL, _VALUE, _SKETCH = keyed(4, 1301)
 
 
 def bands(most: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -174,11 +175,56 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(width: int, salt: int):
+    """Each different set of a task."""
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             for _, _, data, offsets in blocks(batch["body"], 1 << 20):
                 hashes, first = text_sets(data, offsets, width)
-                yield pa.RecordBatch.from_arrays([pa.array(signed(stamps(hashes, first, salt))), lists(pa.array(signed(hashes)), first)], names=["id", "set"])
+                stamp = stamps(hashes, first, salt)
+                _, once = np.unique(stamp, return_index=True)
+                new = np.array([i for i in once.tolist() if first[i] < first[i + 1] and int(stamp[i]) not in seen], np.int64)
+                if len(seen) < SEEN:
+                    seen.update(stamp[new].tolist())
+                if len(new):
+                    at = np.concatenate([np.arange(first[i], first[i + 1]) for i in new.tolist()])
+                    yield pa.RecordBatch.from_arrays([pa.array(signed(stamp[new])), lists(pa.array(signed(hashes[at])), np.append(0, np.cumsum(np.diff(first)[new])))], names=["id", "set"])
+
+    return rows
+
+
+def sketches(hashes: np.ndarray, first: np.ndarray) -> list[bytes]:
+    """Of each set the parities of its elements, dealt to the power of 2 next to its size (64 at least): two sets
+    differ in as many elements at least as their sketches in bits."""
+    n = np.diff(first)
+    bits = np.int64(1) << np.ceil(np.log2(np.maximum(n, 64))).astype(np.int64)
+    base = np.concatenate(([0], np.cumsum(bits)))
+    slot = np.repeat(base[:-1], n) + (mixed(hashes ^ _SKETCH) & np.repeat(bits - 1, n).astype(np.uint64)).astype(np.int64)
+    packed = np.packbits((np.bincount(slot, minlength=base[-1]) & 1).astype(bool)).tobytes()
+    return [packed[a // 8:b // 8] for a, b in zip(base[:-1].tolist(), base[1:].tolist(), strict=True)]
+
+
+def sketched_apart(one: bytes, other: bytes) -> int:
+    """In how many bits two sketches differ, the longer one folded to the other's size."""
+    a, b = sorted((np.frombuffer(one, np.uint8), np.frombuffer(other, np.uint8)), key=len)
+    return int(np.bitwise_count(a ^ np.bitwise_xor.reduce(b.reshape(-1, len(a)), axis=0)).sum())
+
+
+def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        n = np.array(batch["set"].value_lengths(), np.int64)
+        made = sketches(batch["set"].flatten().to_numpy().view(np.uint64), np.append(0, np.cumsum(n)))
+        yield pa.RecordBatch.from_arrays([batch["id"], pa.array(n), pa.array(made, pa.binary())], names=["id", "n", "sketch"])
+
+
+def _near(percent: int):
+    """The pairs that sizes and sketches leave possible."""
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = batch["un"].to_numpy() + batch["vn"].to_numpy()
+            most = both + 2 * (-percent * both // (100 + percent))  # elements that linked sets of these sizes can differ in
+            mask = pa.array([sketched_apart(a.as_py(), b.as_py()) <= m for a, b, m in zip(batch["u_sketch"], batch["v_sketch"], most.tolist(), strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch[c].filter(mask) for c in ("u", "v", "shared")], names=["u", "v", "shared"])
 
     return rows
 
@@ -210,27 +256,17 @@ def _classes(body: DataFrame, width: int) -> tuple[DataFrame, DataFrame, int]:
         salt += 2
 
 
-def _unique(rows: DataFrame, thin: DataFrame, needed: DataFrame, width: int, salt: int) -> DataFrame:
-    """(id, set) of each class in ``needed`` once. Only documents of several rows can repeat one, or hold others."""
-    several = stored(thin.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id"))
-    schema = "id long, set array<long>"
-    if several.isEmpty():
-        return rows.mapInArrow(_sets(width, salt), schema)
-    once = rows.join(several, "doc_id", "left_anti").mapInArrow(_sets(width, salt), schema)
-    again = rows.join(several, "doc_id", "left_semi").mapInArrow(_sets(width, salt), schema)
-    return once.unionByName(again.join(needed, "id", "left_semi").dropDuplicates(["id"]))
-
-
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) that the full sets confirm. Pairs are written out, so that their size is known: sets then only
-    move for the pairs that need them, the first sets of buckets (u), which are few, to the others."""
+    """The pairs (u, v) that the full sets confirm. Pairs are few bytes and go to the sets, which stay where they are; only
+    a set (v) that a pair needs moves on, to the first sets of buckets (u), which are few. Those are written out, as Spark
+    then splits the partition of a hot one."""
     pairs = stored(pairs)
-    firsts = sets.select(F.col("id").alias("u"), F.col("set").alias("u_set")).join(pairs.select("u").distinct(), "u", "left_semi")
+    firsts = stored(sets.select(F.col("id").alias("u"), F.col("set").alias("u_set")).join(pairs.select("u").distinct(), "u", "left_semi"))
     others = sets.select(F.col("id").alias("v"), F.col("set").alias("v_set"))
     return pairs.join(others, "v").join(firsts, "u").select("u", "v", "u_set", "v_set").mapInArrow(_confirmed(percent), "u long, v long")
 
 
-def _apart(met: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+def _apart(met: DataFrame, sets: DataFrame, sized: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """(u, v) of all links between sets of different components that share a key.
 
     A bucket's first set has met all others, so only the others of a bucket can hide a link, and those that have too few
@@ -249,7 +285,6 @@ def _apart(met: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) ->
     group = Window.partitionBy("h")
     spread = held.withColumns({"lo": F.min("part").over(group), "hi": F.max("part").over(group)}).where("lo <> hi")
     shared = spread.groupBy("no").agg(F.count("*").alias("shared"))
-    sized = sets.select("id", F.size("set").alias("n"))
     left = cut(shared.join(numbered, "no").join(sized, "id").where(F.col("shared") * 100 >= F.col("n") * percent).select("id", "label"))
     still = shown.join(left.select("id"), "id", "left_semi").select("key", "id")
     heads = still.groupBy("key").agg(F.min("id").alias("v"))
@@ -270,15 +305,14 @@ def _named(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFr
     keys = body.where("doc_id is not null").mapInArrow(_keys(width, percent, salt), "key long, s long, looked boolean, least byte")
     met = stored(keys.repartition("key").sortWithinPartitions("key", F.desc("looked"), "s").mapInArrow(_buckets, "key long, id long, u long, least byte"))
 
-    needed = met.select("id").distinct()
-    # written out, so that its size is known and Catalyst moves texts for the join only if it is too large to be broadcast
-    holders = stored(needed.join(classes, F.col("id") == F.col("s")).select(F.col("doc").alias("doc_id")).distinct())
-    sets = cut(_unique(body.join(holders, "doc_id", "left_semi"), thin, needed, width, salt))
+    # all sets, as chance keys soon need most of them
+    sets = cut_by(body.where("doc_id is not null").mapInArrow(_sets(width, salt), "id long, set array<long>"), "id")
+    sketched = cut(sets.mapInArrow(_sketched, "id long, n long, sketch binary"))
 
     met_by = met.where("u <> id").groupBy("u", F.col("id").alias("v")).agg(F.count("*").alias("shared"))
-    sized = sets.select("id", F.size("set").alias("n"))
-    stars = cut(met_by.join(sized.select(F.col("id").alias("u"), F.col("n").alias("un")), "u").join(sized.select(F.col("id").alias("v"), F.col("n").alias("vn")), "v")
-                .where(f"100 * least(un, vn) >= {percent} * greatest(un, vn)").select("u", "v", "shared"))
+    ends = [sketched.select(F.col("id").alias(c), F.col("n").alias(f"{c}n"), F.col("sketch").alias(f"{c}_sketch")) for c in "uv"]
+    stars = cut(met_by.join(ends[0], "u").join(ends[1], "v").where(f"100 * least(un, vn) >= {percent} * greatest(un, vn)")
+                .mapInArrow(_near(percent), "u long, v long, shared long"))
     # each set first against the one with which it shares most keys; of the rest, what that left apart
     likely = stars.groupBy("v").agg(F.max_by("u", F.struct("shared", -F.col("u"))).alias("u")).select("u", "v")
     joined = components(_linked(likely, sets, percent))
@@ -290,7 +324,7 @@ def _named(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFr
     own = thin.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("s").alias("u"), F.max("s").alias("most")).where("u <> most")
     again = cut(thin.where("n > 0").join(own.select("doc_id", "u"), "doc_id").select("u", F.col("s").alias("v")).where("u <> v").distinct())
     first = components(links if again.isEmpty() else links.unionByName(again))
-    more = _apart(met, sets, first, percent)
+    more = _apart(met, sets, sketched.select("id", "n"), first, percent)
     labels = components(first.select(F.col("id").alias("u"), F.col("label").alias("v")).unionByName(more))
 
     placed = cut(classes.join(labels.withColumnRenamed("id", "s"), "s", "left").withColumn("label", F.coalesce("label", "s")))

@@ -17,9 +17,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from flowbalance.llm.common import cut_by
 from flowbalance.llm.op11_merkle import butterfly, manifest
 from flowbalance.llm.op12_repair import damaged, folded, lr_table, parsed, repair, stacks, transfer
-from flowbalance.llm.op13_jaccard import bands, set_keys, similar_groups
+from flowbalance.llm.op13_jaccard import bands, set_keys, similar_groups, sketched_apart, sketches
 from tests.llm.helpers import EDGES, edge_docs, no_docs, word_set
 
 # ---- op11
@@ -344,3 +345,27 @@ def test_the_jaccard_join_gives_back_its_shuffles(spark):
         time.sleep(0.2)
     assert len(shuffles() - held) <= 2 and spark.conf.get(key) == before
     assert {r.component_id for r in found.collect()} == {0, 99}
+
+
+def test_sketches_differ_in_no_more_bits_than_sets_in_elements():
+    draw = np.random.default_rng(5)
+    for _ in range(300):
+        n, m = draw.integers(1, 700, 2).tolist()
+        both = int(draw.integers(0, min(n, m) + 1))
+        values = draw.integers(0, 1 << 63, n + m - both).astype(np.uint64)
+        one, other = values[:n], values[n - both:]
+        made = sketches(np.concatenate([one, other]), np.array([0, n, n + m]))
+        assert sketched_apart(*made) <= n + m - 2 * both
+    far = sketches(draw.integers(0, 1 << 63, 800).astype(np.uint64), np.array([0, 400, 800]))
+    assert sketched_apart(*far) > 800 * 15 // 185 and sketched_apart(far[0], far[0]) == 0
+
+
+def test_sets_dealt_once_stay_where_they_are(spark):
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    rows = spark.range(300).select((F.col("id") % 100).alias("id"), F.array("id").alias("set"))
+    dealt = cut_by(rows, "id")
+    assert dealt.count() == 100 and spark.conf.get("spark.sql.adaptive.enabled") == adaptive
+    pairs = spark.range(50).select(F.col("id").alias("u"), (F.col("id") * 3).alias("v"))
+    found = pairs.join(dealt.withColumnRenamed("id", "v").hint("merge"), "v")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert found.count() == 34 and plan.count("Exchange hashpartitioning") == 1
