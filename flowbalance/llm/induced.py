@@ -269,18 +269,25 @@ def _range_least(x: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarra
         table = np.minimum(table[:-(1 << (k - 1))], table[1 << (k - 1):])
 
 
-def _common(t: np.ndarray, a: np.ndarray, b: np.ndarray, cap: int) -> np.ndarray:
-    """Common prefixes of suffix pairs, up to cap symbols, four at a time."""
-    padded = np.append(t.astype("<u2"), np.zeros(4, "<u2"))
-    wide = np.ndarray((len(padded) - 3,), "<u8", padded, strides=(2,))
+def _words(t: np.ndarray) -> tuple[np.ndarray, int]:
+    """From each position the next symbols as one integer (zeros beyond the end), and the bits of a symbol."""
+    kind = "<u1" if t.dtype.itemsize == 1 else "<u2"
+    size = np.dtype(kind).itemsize
+    padded = np.append(t.astype(kind), np.zeros(8 // size, kind))
+    return np.ndarray((len(t) + 1,), "<u8", padded, strides=(size,)), 8 * size
+
+
+def _common(words: tuple[np.ndarray, int], a: np.ndarray, b: np.ndarray, cap: int) -> np.ndarray:
+    """Common prefixes of suffix pairs, up to cap symbols, a word at a time."""
+    wide, bits = words
     out = np.zeros(len(a), np.int64)
     active = np.arange(len(a))
     last = len(wide) - 1
     while len(active):
         x = wide[np.minimum(a[active] + out[active], last)] ^ wide[np.minimum(b[active] + out[active], last)]
-        same = (x == 0)
-        part = np.where(x & 0xFFFF, 0, np.where(x & 0xFFFFFFFF, 1, np.where(x & 0xFFFFFFFFFFFF, 2, 3)))
-        out[active] += np.where(same, 4, part)
+        same = x == 0
+        lowest = np.frexp((x & (~x + np.uint64(1))).astype(np.float64))[1] - 1
+        out[active] += np.where(same, 64 // bits, lowest // bits)
         active = active[same & (out[active] < cap)]
     return np.minimum(out, cap).astype(np.int16)
 
@@ -297,7 +304,8 @@ def repeated(t: np.ndarray, length: int, limit: int = IN_MEMORY) -> np.ndarray:
     stars = np.flatnonzero(smaller & np.append(True, ~smaller[:-1]))
     stars = stars[stars > 0]
     ranked = stars[_order(name_substrings(t, smaller, stars), limit)]
-    star_lcp = np.append(np.int16(0), _common(t, ranked[:-1], ranked[1:], length))
+    words = _words(t)
+    star_lcp = np.append(np.int16(0), _common(words, ranked[:-1], ranked[1:], length))
     keys = int(t.max()) + 1
     bounds = np.searchsorted(t[ranked], np.arange(keys + 1))
 
@@ -330,7 +338,7 @@ def repeated(t: np.ndarray, length: int, limit: int = IN_MEMORY) -> np.ndarray:
             kept.push(c, pos, lcp)
         if len(star):
             own = star_lcp[bounds[c]:bounds[c + 1]].copy()
-            own[0] = _common(t, pos[-1:], star[:1], length)[0] if len(pos) else 0
+            own[0] = _common(words, pos[-1:], star[:1], length)[0] if len(pos) else 0
             up.feed(star, own, c + 1, keys - 1)
     down = _Inducer(t, length, limit)
     for c in range(keys - 1, -1, -1):
@@ -354,7 +362,7 @@ def repeated(t: np.ndarray, length: int, limit: int = IN_MEMORY) -> np.ndarray:
         if len(p):
             p, n = p[::-1], np.append(np.int16(0), n[:0:-1])
             if len(pos):
-                n[0] = seam = _common(t, p[:1], pos[-1:], length)[0]
+                n[0] = seam = _common(words, p[:1], pos[-1:], length)[0]
                 if seam >= length:
                     hit[p[0]] = hit[pos[-1]] = True
             down.feed(p, n, 0, c - 1)
