@@ -99,12 +99,16 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def cut_by(df: DataFrame, key: str) -> DataFrame:
-    """Like ``cut``, a row for each ``key``, dealt by it once: joins on it then leave these rows where they are. Rows keep
-    that only if their query isn't adaptive, so ``df`` should do no joins."""
+def cut_by(df: DataFrame, key: str, among: DataFrame | None = None) -> DataFrame:
+    """Like ``cut``, a row for each ``key`` (for those in ``among``, if given), dealt by it once: joins on it then leave
+    these rows where they are. Rows keep that only if their query isn't adaptive, so ``df`` and ``among`` should do no
+    joins."""
     spark = df.sparkSession
     with _set(spark, "spark.sql.adaptive.enabled", "false"):
-        return cut(df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), key).dropDuplicates([key]))
+        dealt = df.repartition(parts := int(spark.conf.get("spark.sql.shuffle.partitions")), key)
+        if among is not None:
+            dealt = dealt.join(among.select(key).repartition(parts, key).hint("shuffle_hash"), key, "left_semi")
+        return cut(dealt.dropDuplicates([key]))
 
 
 def shuffles_freed(spark: SparkSession):

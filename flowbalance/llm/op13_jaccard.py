@@ -17,9 +17,10 @@ elements or more, where lookups are as good as unique.
 
 Pairs of a bucket aren't all made. Its members meet its first class, and those go whose sketches (parities of
 elements) differ in more bits than linked sets can in elements; then, where the others aren't yet in one
-component, classes that share too few keys or shingles with other components go, as they can't be linked to one,
-and the rest is compared in blocks. Every link is confirmed on the
-full sets of whole texts, which are dealt by their class once and stay there.
+component, classes that share too few keys or shingles with other components go, as they can't be linked to one.
+Of the rest, linked sets share one of their rarest shingles: classes that do are paired, and where many share one,
+compared in blocks. Every link is confirmed on the full sets of whole texts. Those of classes that can be asked for
+one are dealt by their class once and stay there.
 
 Defined results: words are runs of anything but white space, A-Z lower-cased; a text of fewer words than
 a shingle is one shingle. Documents without words, null texts included, have no shingles and no links; so
@@ -42,6 +43,8 @@ from flowbalance.llm.op4_minhash import BLOCK, _block_links, text_sets
 
 #: Segments of a group beyond those that the pigeonhole principle needs.
 SPARE = 3
+#: A shingle that is among the rarest of more sets than this pairs them in blocks.
+CROWD = 32
 #: Stamps of sets that a task remembers, so that it sends the keys of a repeated set once.
 SEEN = 1 << 20
 _STAMP, _DEAL, _VALUE, _SKETCH = keyed(4, 1301)
@@ -124,7 +127,7 @@ def _thin(width: int, salt: int):
             for lo, hi, data, offsets in blocks(batch["body"], 1 << 20):
                 hashes, first = text_sets(data, offsets, width)
                 made = [signed(stamps(hashes, first, x)) for x in (salt, salt + 1)]
-                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(lo, hi - lo), pa.array(np.diff(first)), pa.array(made[0]), pa.array(made[1])], names=["doc_id", "n", "s", "check"])
+                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(lo, hi - lo), pa.array(np.diff(first)), pa.array(made[0]), pa.array(made[1]), pa.array(sketches(hashes, first), pa.binary())], names=["doc_id", "n", "s", "check", "sketch"])
 
     return rows
 
@@ -210,13 +213,6 @@ def sketched_apart(one: bytes, other: bytes) -> int:
     return int(np.bitwise_count(a ^ np.bitwise_xor.reduce(b.reshape(-1, len(a)), axis=0)).sum())
 
 
-def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        n = np.array(batch["set"].value_lengths(), np.int64)
-        made = sketches(batch["set"].flatten().to_numpy().view(np.uint64), np.append(0, np.cumsum(n)))
-        yield pa.RecordBatch.from_arrays([batch["id"], pa.array(n), pa.array(made, pa.binary())], names=["id", "n", "sketch"])
-
-
 def _near(percent: int):
     """The pairs that sizes and sketches leave possible."""
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,15 +240,15 @@ def _confirmed(percent: int):
 
 
 def _classes(body: DataFrame, width: int) -> tuple[DataFrame, DataFrame, int]:
-    """(thin rows doc_id, n, s; classes s, doc; the salt of the stamps). Should two different sets have one stamp, all
-    are stamped anew."""
+    """(thin rows doc_id, n, s; classes s, doc, n, sketch; the salt of the stamps). Should two different sets have one
+    stamp, all are stamped anew."""
     salt = 0
     while True:
-        thin = cut(body.mapInArrow(_thin(width, salt), "doc_id long, n long, s long, check long"))
+        thin = cut(body.mapInArrow(_thin(width, salt), "doc_id long, n long, s long, check long, sketch binary"))
         full = thin.where("n > 0 and doc_id is not null").groupBy("s")
-        classes = cut(full.agg(F.min("doc_id").alias("doc"), F.min("n").alias("n"), F.max("n").alias("n2"), F.min("check").alias("c"), F.max("check").alias("c2")))
+        classes = cut(full.agg(F.min("doc_id").alias("doc"), F.min("n").alias("n"), F.max("n").alias("n2"), F.min("check").alias("c"), F.max("check").alias("c2"), F.first("sketch").alias("sketch")))
         if classes.where("n <> n2 or c <> c2").isEmpty():
-            return thin, classes.select("s", "doc"), salt
+            return thin, classes.select("s", "doc", "n", "sketch"), salt
         salt += 2
 
 
@@ -263,21 +259,57 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     pairs = stored(pairs)
     firsts = stored(sets.select(F.col("id").alias("u"), F.col("set").alias("u_set")).join(pairs.select("u").distinct(), "u", "left_semi"))
     others = sets.select(F.col("id").alias("v"), F.col("set").alias("v_set"))
-    return pairs.join(others, "v").join(firsts, "u").select("u", "v", "u_set", "v_set").mapInArrow(_confirmed(percent), "u long, v long")
+    return cut(pairs.join(others, "v").join(firsts, "u").select("u", "v", "u_set", "v_set").mapInArrow(_confirmed(percent), "u long, v long"))
+
+
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, label) of components when ``links(u, v)`` join them as well. The links are taken as ones between components,
+    which are few."""
+    ends = [labels.select(F.col("id").alias(c), F.col("label").alias(f"{c}_label")) for c in "uv"]
+    between = cut(links.join(ends[0], "u", "left").join(ends[1], "v", "left")
+                  .select(F.coalesce("u_label", "u").alias("u"), F.coalesce("v_label", "v").alias("v")).where("u <> v").distinct())
+    if between.isEmpty():
+        return labels
+    joined = components(between)
+    moved = joined.select(F.col("id").alias("label"), F.col("label").alias("least"))
+    return cut(labels.join(moved, "label", "left").select("id", F.coalesce("least", "label").alias("label")).unionByName(joined))
+
+
+def _possible(stars: DataFrame, sketched: DataFrame, percent: int) -> DataFrame:
+    """The pairs (u, v, shared) that sizes and sketches leave possible."""
+    ends = [sketched.select(F.col("id").alias(c), F.col("n").alias(f"{c}n"), F.col("sketch").alias(f"{c}_sketch")) for c in "uv"]
+    alike = stars.join(ends[0], "u").join(ends[1], "v").where(f"100 * least(un, vn) >= {percent} * greatest(un, vn)")
+    return alike.mapInArrow(_near(percent), "u long, v long, shared long")
+
 
+def _enough(shown: DataFrame, *by: str) -> DataFrame:
+    """The classes that share as many keys of ``shown`` as they do with any linked one."""
+    return shown.groupBy("id", *by).agg(F.countDistinct("key").alias("keys"), F.min("least").alias("least")).where("keys >= least").select("id", *by)
 
-def _apart(met: DataFrame, sets: DataFrame, sized: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+
+def _rarest(held: DataFrame, percent: int) -> DataFrame:
+    """(h, no, part) of the shingles ``held(no, part, n, h)`` of which two linked sets of different parts have one in common.
+
+    Such sets share ``percent`` of either's shingles, all of them held by several parts. In an order of all shingles, here by
+    the sets that hold them, the first that they share has as many after it in both.
+    """
+    group, own = Window.partitionBy("h"), Window.partitionBy("no")
+    spread = held.withColumns({"lo": F.min("part").over(group), "hi": F.max("part").over(group), "sets": F.count("*").over(group)}).where("lo <> hi")
+    ranked = spread.withColumns({"shared": F.count("*").over(own), "rank": F.row_number().over(own.orderBy("sets", "h"))})
+    return ranked.where(f"100 * (shared - rank + 1) >= {percent} * n").select("h", "no", "part")
+
+
+def _apart(others: DataFrame, sets: DataFrame, sketched: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """(u, v) of all links between sets of different components that share a key.
 
     A bucket's first set has met all others, so only the others of a bucket can hide a link, and those that have too few
     keys in common with other components can't. Of what is left, a set needs ``percent`` of its shingles in other
-    components; few sets have that, and they are compared in blocks of their clusters.
+    components; few sets have that. Those that share one of their rarest shingles are paired; if more than ``CROWD`` sets do,
+    they are compared in blocks of their clusters.
     """
-    placed = met.where("id <> u").join(labels, "id", "left").select("key", "id", "least", F.coalesce("label", "id").alias("label"))
+    placed = others.join(labels, "id", "left").select("key", "id", "least", F.coalesce("label", "id").alias("label"))
     mixed_keys = placed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-    shown = cut(placed.join(mixed_keys, "key"))
-    owners = cut(shown.groupBy("id", "label").agg(F.countDistinct("key").alias("keys"), F.min("least").alias("least")).where("keys >= least")
-                 .select("id", "label", F.monotonically_increasing_id().alias("no")))
+    owners = cut(_enough(placed.join(mixed_keys, "key"), "label").withColumn("no", F.monotonically_increasing_id()))
     # numbers, not stamps, go with the shingles: they compress. A component's is its least owner's
     numbered = cut(owners.join(owners.groupBy("label").agg(F.min("no").alias("part")), "label").select("id", "label", "no", "part"))
     # 40 bits do: two shingles taken for one can only let a set through
@@ -285,17 +317,28 @@ def _apart(met: DataFrame, sets: DataFrame, sized: DataFrame, labels: DataFrame,
     group = Window.partitionBy("h")
     spread = held.withColumns({"lo": F.min("part").over(group), "hi": F.max("part").over(group)}).where("lo <> hi")
     shared = spread.groupBy("no").agg(F.count("*").alias("shared"))
-    left = cut(shared.join(numbered, "no").join(sized, "id").where(F.col("shared") * 100 >= F.col("n") * percent).select("id", "label"))
-    still = shown.join(left.select("id"), "id", "left_semi").select("key", "id")
-    heads = still.groupBy("key").agg(F.min("id").alias("v"))
-    clusters = components(still.join(heads, "key").select(F.col("id").alias("u"), "v").distinct())
-    members = left.join(clusters.withColumnRenamed("label", "cluster"), "id", "left").withColumn("cluster", F.coalesce("cluster", "id"))
+    left = cut(shared.join(numbered, "no").join(sketched.select("id", "n"), "id").where(F.col("shared") * 100 >= F.col("n") * percent).select("no", "part", "id", "label", "n"))
+
+    rare = cut(_rarest(left.join(sets, "id").select("no", "part", "n", F.explode("set").alias("h")), percent))
+    sizes = rare.groupBy("h").agg(F.count("*").alias("size"), F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("h", "size")
+    met = cut(rare.join(sizes, "h"))
+    few = met.where(F.col("size") <= CROWD)
+    ends = [few.select("h", F.col("no").alias(f"{c}_no"), F.col("part").alias(f"{c}_part")) for c in "uv"]
+    pairs = ends[0].join(ends[1], "h").where("u_no < v_no and u_part <> v_part").select("u_no", "v_no").distinct()
+    ends = [left.select(F.col("no").alias(f"{c}_no"), F.col("id").alias(c)) for c in "uv"]
+    paired = _possible(pairs.join(ends[0], "u_no").join(ends[1], "v_no").select("u", "v", F.lit(1).cast("long").alias("shared")), sketched, percent)
+    found = _linked(paired.select("u", "v"), sets, percent)
+
+    crowded = met.where(F.col("size") > CROWD)
+    heads = crowded.groupBy("h").agg(F.min("no").alias("v"))
+    clusters = components(crowded.join(heads, "h").select(F.col("no").alias("u"), "v").distinct()).select(F.col("id").alias("no"), F.col("label").alias("cluster"))
+    members = left.join(crowded.select("no").distinct(), "no").join(clusters, "no", "left").withColumn("cluster", F.coalesce("cluster", "no"))
     size = members.groupBy("cluster").agg(F.count("*").alias("size")).where("size > 1")
     dealt = (members.join(size, "cluster").withColumn("parts", F.ceil(F.col("size") / BLOCK).cast("int"))
              .withColumn("side", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
              .select("cluster", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "id", "label", "side"))
-    return dealt.join(sets, "id").groupBy("cluster", "i", "j").applyInArrow(_block_links(percent), "u long, v long")
+    return found.unionByName(dealt.join(sets, "id").groupBy("cluster", "i", "j").applyInArrow(_block_links(percent), "u long, v long"))
 
 
 def _named(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -305,29 +348,31 @@ def _named(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFr
     keys = body.where("doc_id is not null").mapInArrow(_keys(width, percent, salt), "key long, s long, looked boolean, least byte")
     met = stored(keys.repartition("key").sortWithinPartitions("key", F.desc("looked"), "s").mapInArrow(_buckets, "key long, id long, u long, least byte"))
 
-    # all sets, as chance keys soon need most of them
-    sets = cut_by(body.where("doc_id is not null").mapInArrow(_sets(width, salt), "id long, set array<long>"), "id")
-    sketched = cut(sets.mapInArrow(_sketched, "id long, n long, sketch binary"))
-
+    sketched = classes.select(F.col("s").alias("id"), "n", "sketch")
     met_by = met.where("u <> id").groupBy("u", F.col("id").alias("v")).agg(F.count("*").alias("shared"))
-    ends = [sketched.select(F.col("id").alias(c), F.col("n").alias(f"{c}n"), F.col("sketch").alias(f"{c}_sketch")) for c in "uv"]
-    stars = cut(met_by.join(ends[0], "u").join(ends[1], "v").where(f"100 * least(un, vn) >= {percent} * greatest(un, vn)")
-                .mapInArrow(_near(percent), "u long, v long, shared long"))
+    stars = cut(_possible(met_by, sketched, percent))
+    beside = met.where("u <> id").select("key", "id", "least")
+    several = beside.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("key")
+    others = cut(beside.join(several, "key"))
+
+    # the sets that are asked for a link, here or in _apart
+    asked = cut(stars.select(F.explode(F.array("u", "v")).alias("id")).unionByName(_enough(others)).distinct())
+    sets = cut_by(body.where("doc_id is not null").mapInArrow(_sets(width, salt), "id long, set array<long>"), "id", asked)
+
     # each set first against the one with which it shares most keys; of the rest, what that left apart
     likely = stars.groupBy("v").agg(F.max_by("u", F.struct("shared", -F.col("u"))).alias("u")).select("u", "v")
     joined = components(_linked(likely, sets, percent))
     ends = [joined.select(F.col("id").alias(c), F.col("label").alias(f"{c}_label")) for c in "uv"]
     apart = (stars.join(ends[0], "u", "left").join(ends[1], "v", "left")
              .where("coalesce(u_label, u) <> coalesce(v_label, v)").select("u", "v").exceptAll(likely))
-    links = joined.select(F.col("id").alias("u"), F.col("label").alias("v")).unionByName(_linked(apart, sets, percent))
+    links = _linked(apart, sets, percent)
     # texts of one document in several classes
     own = thin.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("s").alias("u"), F.max("s").alias("most")).where("u <> most")
     again = cut(thin.where("n > 0").join(own.select("doc_id", "u"), "doc_id").select("u", F.col("s").alias("v")).where("u <> v").distinct())
-    first = components(links if again.isEmpty() else links.unionByName(again))
-    more = _apart(met, sets, sketched.select("id", "n"), first, percent)
-    labels = components(first.select(F.col("id").alias("u"), F.col("label").alias("v")).unionByName(more))
+    first = _merged(joined, links if again.isEmpty() else links.unionByName(again))
+    labels = _merged(first, _apart(others, sets, sketched, first, percent))
 
-    placed = cut(classes.join(labels.withColumnRenamed("id", "s"), "s", "left").withColumn("label", F.coalesce("label", "s")))
+    placed = cut(classes.select("s", "doc").join(labels.withColumnRenamed("id", "s"), "s", "left").withColumn("label", F.coalesce("label", "s")))
     least = placed.groupBy("label").agg(F.min("doc").alias("component"))
     named = cut(placed.join(least, "label").select("s", "component"))
     return thin, named

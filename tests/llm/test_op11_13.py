@@ -17,6 +17,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from flowbalance.llm import op13_jaccard
 from flowbalance.llm.common import cut_by
 from flowbalance.llm.op11_merkle import butterfly, manifest
 from flowbalance.llm.op12_repair import damaged, folded, lr_table, parsed, repair, stacks, transfer
@@ -369,3 +370,89 @@ def test_sets_dealt_once_stay_where_they_are(spark):
     found = pairs.join(dealt.withColumnRenamed("id", "v").hint("merge"), "v")
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert found.count() == 34 and plan.count("Exchange hashpartitioning") == 1
+    among = spark.createDataFrame([(3,), (3,), (7,), (1000,)], "id long")
+    assert sorted(r.id for r in cut_by(rows, "id", among).collect()) == [3, 7]
+
+
+def near_misses(groups: int, copies: int) -> list[tuple]:
+    """Groups of 40 words each, of which a copy has 5 from other groups: similar to the others of its group, mostly under 85 percent."""
+    draw = random.Random(19)
+    base = [[f"w{g}x{k}" for k in range(40)] for g in range(groups)]
+    rows = []
+    for g in range(groups):
+        for _ in range(copies):
+            words = draw.sample(base[g], 35) + [draw.choice(draw.choice(base)) for _ in range(5)]
+            rows.append((len(rows), " ".join(words)))
+    return rows
+
+
+def test_near_misses_move_no_blocks_of_sets(spark, monkeypatch):
+    """Sets that only chains of shared keys hold together aren't dealt to each other."""
+    rows = near_misses(40, 6)
+
+    def none_asked(percent):
+        def links(block):
+            raise ValueError("compared in blocks")
+
+        return links
+
+    monkeypatch.setattr(op13_jaccard, "_block_links", none_asked)
+    monkeypatch.setattr(op13_jaccard, "BLOCK", 8)
+    assert groups(spark, rows, 1, 85) == jaccard_of(rows, 1, 85)
+
+
+def hidden_pairs(groups: int, decoys: int) -> list[tuple]:
+    """Pairs of linked sets among sets that have a part of their keys each, so that some pairs are first in no bucket."""
+    draw, rows = random.Random(21), []
+    for g in range(groups):
+        base = [f"w{g}x{k}" for k in range(40)]
+        for other in [0, 3, *([9] * decoys)]:
+            words = draw.sample(base, 40 - other) + [f"v{draw.randrange(10 ** 9)}" for _ in range(other)]
+            rows.append((len(rows), " ".join(words)))
+    return rows
+
+
+@pytest.mark.parametrize("crowd", [1, 32])
+def test_links_that_first_sets_hide(spark, monkeypatch, crowd):
+    """By blocks and by pairs."""
+    found, apart = [], op13_jaccard._apart
+
+    def counted(*args):
+        found.append(apart(*args).localCheckpoint())
+        return found[-1]
+
+    monkeypatch.setattr(op13_jaccard, "CROWD", crowd)
+    monkeypatch.setattr(op13_jaccard, "_apart", counted)
+    rows = hidden_pairs(12, 80)
+    assert groups(spark, rows, 1, 85) == jaccard_of(rows, 1, 85)
+    assert found[0].count() > 0
+
+
+@pytest.mark.parametrize("percent", [60, 85])
+def test_linked_sets_share_one_of_their_rarest(spark, percent):
+    draw = random.Random(20)
+    sets = []
+    for _ in range(40):
+        words = draw.sample(range(120), draw.choice([1, 3, 8, 20, 40]))
+        for _ in range(4):
+            sets.append(sorted({draw.randrange(120) if draw.random() < 0.1 else w for w in words}))
+    held = spark.createDataFrame([(k, k % 50, len(s), h) for k, s in enumerate(sets) for h in s], "no long, part long, n long, h long")
+    rare = defaultdict(set)
+    for r in op13_jaccard._rarest(held, percent).collect():
+        rare[r.no].add(r.h)
+    assert sum(map(len, rare.values())) < sum(map(len, sets)) / 2
+    linked = 0
+    for a, b in itertools.combinations(range(len(sets)), 2):
+        both = len(set(sets[a]) & set(sets[b]))
+        if a % 50 != b % 50 and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
+            linked += 1
+            assert rare[a] & rare[b]
+    assert linked > 20
+
+
+def test_links_between_components_merge_them(spark):
+    labels = spark.createDataFrame([(2, 1), (3, 1), (5, 4), (9, 8)], "id long, label long")
+    links = spark.createDataFrame([(3, 5), (5, 7), (2, 3), (7, 6)], "u long, v long")
+    got = {r.id: r.label for r in op13_jaccard._merged(labels, links).collect()}
+    assert got == {2: 1, 3: 1, 4: 1, 5: 1, 6: 1, 7: 1, 9: 8}
+    assert op13_jaccard._merged(labels, links.where("u = 2")).count() == 4
